@@ -1,0 +1,30 @@
+"""Intermediate tables in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-heightline-", dir="/tmp")
+        spark.conf.set(_KEY, base)
+    return base.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
+
+    The files survive the loss of any executor, so later stages never recompute what stands before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

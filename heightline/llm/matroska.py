@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heightline.llm.staging import extended
+from heightline.llm.text import buffers, slices
+
 # Element ids of the Matroska specification (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -279,17 +282,13 @@ def store(docs: DataFrame, text: str = "text", lacing: int = FIXED) -> DataFrame
 
 
 def _by_bytes(column: pa.Array) -> Iterator[tuple[int, int]]:
-    from heightline.llm.text import buffers, slices
-
     yield from slices(np.diff(buffers(column)[1]), BATCH)
 
 
 def packet_table(media: DataFrame, key: str, column: str = "media") -> DataFrame:
     """key and one row a packet of the file in `column`."""
     source = media.select(key, F.col(column).alias("_media"))
-    schema = source.select(key).schema
-    for part in PACKETS.split(", "):
-        schema = schema.add(*part.split(" "))
+    schema = extended(source.select(key), PACKETS)
 
     def run(batches):
         for batch in batches:
@@ -311,9 +310,7 @@ def read_back(media: DataFrame, column: str = "media") -> DataFrame:
     """Parses each file, takes its payload from the packets' byte ranges, and describes both."""
     kept = [c for c in media.columns if c != column]
     source = media.select(*kept, F.col(column).alias("_media"))
-    schema = source.drop("_media").schema
-    for part in READ.split(", "):
-        schema = schema.add(*part.split(" "))
+    schema = extended(source.drop("_media"), READ)
 
     def run(batches):
         for batch in batches:

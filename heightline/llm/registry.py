@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from heightline.llm import byte_bpe, matroska, sharding, url_filter
+from heightline.llm import byte_bpe, matroska, packing, quality, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_packing": packing.op1_packing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
+        "op4_quality_classifier": quality.op4_quality_classifier,
         "op6_media_columns": matroska.op6_media_columns,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_url_filters": url_filter.op9_url_filters,
     }
 
 
 def oracle_sql():
-    return {"op9_url_filters": url_filter.ORACLE}
+    return {"op7_substring_dedup": substring_dedup.ORACLE, "op9_url_filters": url_filter.ORACLE}

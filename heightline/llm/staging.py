@@ -6,10 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _KEY = "spark.checkpoint.dir"
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df followed by the columns of ddl."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one of our own only where that is unset."""
     base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)

@@ -14,6 +14,10 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Everything in ASCII but letters and digits; bytes of other scripts belong to a token.
+BREAK = np.ones(256, bool)
+BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _SEG = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -99,9 +103,9 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words(texts: pa.Array | pa.ChunkedArray) -> Words:
+def words(texts: pa.Array | pa.ChunkedArray, apart: np.ndarray = SPACE) -> Words:
     data, bounds = buffers(texts)
-    full = ~SPACE[data]
+    full = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before, after = edge[:-1].copy(), edge[1:].copy()

@@ -1,19 +1,456 @@
-"""Registry of the engine's queries and their DuckDB twins."""
+"""Registry of the engine's queries and their DuckDB twins. The comment at each names its operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heightline.functions import binary as B
+from heightline.functions import mint
+from heightline.operators import chain, commit, derived, energy, events, ledger, series, temporal
+from heightline.sources import testdata as T
+
+H, H2 = 1000, 400
+START, END, SIZE = 200, 1000, 100
+EVENT_H = 300
+ACCOUNT = 7
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracle: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, base: str | None = None):
+    def keep(f):
+        _queries[name] = f
+        if sql is not None:
+            parts = {"ledger": T.SQL_LEDGER, "history": T.SQL_HISTORY, None: ""}[base]
+            head, _, body = sql.strip().partition("SELECT") if not sql.strip().startswith(",") else (None, None, sql.strip())
+            _oracle[name] = (f"WITH {parts}{body}" if head is None else f"WITH {parts} SELECT{body}") if parts else sql.strip()
+        return f
+
+    return keep
+
+
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.running_balance(ledger.deltas(ledger.signed_rows(T.outputs(spark, d), T.spends(spark, d))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Balance of every account over buckets of heights, carried forward."""
+    rows = _ledger(spark, sf_dir)
+    return series.timeseries(rows, rows.select("account").distinct(), START, END, SIZE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracle)
+
+
+# --- ledger
+
+
+@query("ledger_delta", "SELECT * FROM deltas", "ledger")  # U1, A1
+def _(s, d):
+    return ledger.deltas(ledger.signed_rows(T.outputs(s, d), T.spends(s, d)))
+
+
+@query("ledger_running_balance", "SELECT * FROM ledger", "ledger")  # W1
+def _(s, d):
+    return _ledger(s, d)
+
+
+@query("ledger_asof_height", f", {T.sql_as_of(H)} SELECT * FROM upto", "ledger")  # J4
+def _(s, d):
+    return temporal.as_of(_ledger(s, d), H)
+
+
+@query("ledger_asof_zero_default", f", {T.sql_as_of(H2)} SELECT c_custkey AS account, coalesce(height, 0) AS height, coalesce(delta, 0) AS delta, coalesce(balance, 0) AS balance FROM customer LEFT JOIN upto ON account = c_custkey", "ledger")  # J4, Z1
+def _(s, d):
+    return temporal.as_of_keys(_ledger(s, d), T.table(s, d, "customer").select(F.col("c_custkey").alias("account")), H2)
+
+
+@query("ledger_asof_many", """, points AS (SELECT o_custkey AS account, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))::BIGINT - 30 AS at, o_orderkey AS point FROM orders)
+SELECT p.account, p.at, p.point, coalesce(l.height, 0) AS height, coalesce(l.delta, 0) AS delta, coalesce(l.balance, 0) AS balance FROM points p ASOF LEFT JOIN ledger l ON p.account = l.account AND p.at >= l.height""", "ledger")  # J7
+def _(s, d):
+    points = T.outputs(s, d).select("account", (F.col("height") - 30).alias("at"), F.col("outpoint").alias("point"))
+    return temporal.as_of_many(_ledger(s, d), points)
+
+
+@query("ledger_range", f"SELECT * FROM ledger WHERE account = {ACCOUNT} AND height >= {START} AND height < {END}", "ledger")  # Z2
+def _(s, d):
+    return temporal.in_range(_ledger(s, d), ACCOUNT, START, END)
+
+
+@query("ledger_full_history", f"SELECT * FROM ledger WHERE account = {ACCOUNT}", "ledger")  # Z4
+def _(s, d):
+    return temporal.in_range(_ledger(s, d), ACCOUNT, 0, 4294967295)
+
+
+@query("ledger_exact_delta", "SELECT * FROM ledger WHERE height = 500", "ledger")  # S12, Z3
+def _(s, d):
+    return _ledger(s, d).where("height = 500")
+
+
+@query("ledger_latest", f", {T.sql_as_of(10**9)} SELECT * FROM upto", "ledger")  # S14
+def _(s, d):
+    return temporal.latest(_ledger(s, d))
+
+
+@query("ledger_traverse_at_height", f", {T.sql_as_of(H)} SELECT * FROM upto WHERE balance > 0", "ledger")  # S15
+def _(s, d):
+    return temporal.holders_at(_ledger(s, d), H)
+
+
+@query("ledger_batch_ordered", f", {T.sql_as_of(H)}, keys(pos, account) AS (VALUES (0, 9), (1, 3), (2, -5), (3, 9), (4, 12)) SELECT pos, keys.account::BIGINT AS account, coalesce(height, 0) AS height, coalesce(delta, 0) AS delta, coalesce(balance, 0) AS balance FROM keys LEFT JOIN upto ON upto.account = keys.account", "ledger")  # J5, B2
+def _(s, d):
+    keys = s.createDataFrame([(0, 9), (1, 3), (2, -5), (3, 9), (4, 12)], "pos int, account bigint")
+    return temporal.as_of_keys(_ledger(s, d), keys, H)
+
+
+@query("ledger_keyset_page", f", {T.sql_as_of(H)} SELECT * FROM upto WHERE balance > 0 AND account > 40 ORDER BY account LIMIT 25", "ledger")  # S16
+def _(s, d):
+    return temporal.keyset_page(temporal.holders_at(_ledger(s, d), H), "account", 40, 25)
+
+
+@query("ledger_offset_page", f", {T.sql_as_of(H)} SELECT * FROM upto WHERE balance > 0 ORDER BY account LIMIT 25 OFFSET 30", "ledger")  # S16
+def _(s, d):
+    return temporal.offset_page(temporal.holders_at(_ledger(s, d), H), ["account"], 30, 25)
+
+
+@query("ledger_counts", "SELECT (SELECT count(*) FROM ledger) AS ledger_rows, (SELECT count(*) FROM outs) AS outputs, (SELECT count(*) FROM spends) AS spends", "ledger")  # S17
+def _(s, d):
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(_ledger(s, d), "ledger_rows").join(count(T.outputs(s, d), "outputs")).join(count(T.spends(s, d), "spends"))
+
+
+@query("ledger_negative_rows", "SELECT * FROM ledger WHERE balance < 0", "ledger")  # W1 assertion
+def _(s, d):
+    return ledger.negative_balances(_ledger(s, d))
+
+
+@query("ledger_verify", "SELECT account, height, 'mismatch' AS difference FROM ledger WHERE false", "ledger")  # Z18
+def _(s, d):
+    again = T.outputs(s, d).select("account", "height", F.col("value").alias("x")).unionByName(T.spends(s, d).select("account", "height", (-F.col("value")).alias("x"))).groupBy("account", "height").agg(F.sum("x").alias("delta"))
+    return ledger.ledger_difference(_ledger(s, d), again, ["account", "height"], ["delta"])
+
+
+@query("utxo_live_set", "SELECT outs.* FROM outs WHERE outpoint NOT IN (SELECT outpoint FROM spends)", "ledger")  # J3
+def _(s, d):
+    return ledger.live_outputs(T.outputs(s, d), T.spends(s, d), ["outpoint"])
+
+
+@query("utxo_batch_created", f"SELECT outs.* FROM outs WHERE height BETWEEN {START} AND {END} AND outpoint NOT IN (SELECT outpoint FROM spends WHERE height BETWEEN {START} AND {END})", "ledger")  # J3
+def _(s, d):
+    return ledger.created_and_removed(T.outputs(s, d), T.spends(s, d), ["outpoint"], START, END)[0]
+
+
+@query("utxo_batch_removed", f"SELECT spends.* FROM spends WHERE height BETWEEN {START} AND {END} AND outpoint NOT IN (SELECT outpoint FROM outs WHERE height BETWEEN {START} AND {END})", "ledger")  # J3, Z5
+def _(s, d):
+    return ledger.created_and_removed(T.outputs(s, d), T.spends(s, d), ["outpoint"], START, END)[1]
+
+
+@query("utxo_resolved_inputs", "SELECT outpoint, spends.height AS spent_height, outs.account, outs.value FROM spends JOIN outs USING (outpoint)", "ledger")  # J1, S8
+def _(s, d):
+    return ledger.resolved_inputs(T.spends(s, d).select("outpoint", F.col("height").alias("spent_height")), T.outputs(s, d), ["outpoint"])
+
+
+@query("utxo_touched_accounts", f"SELECT account FROM outs WHERE height BETWEEN {START} AND {START + 5} UNION SELECT account FROM spends WHERE height BETWEEN {START} AND {START + 5}", "ledger")  # U2, U3
+def _(s, d):
+    return ledger.touched_accounts(T.outputs(s, d), T.spends(s, d), START, START + 5)
+
+
+@query("double_spend_check", "SELECT outpoint, count(*) AS n FROM spends GROUP BY outpoint HAVING count(*) > 1", "ledger")  # J2
+def _(s, d):
+    return ledger.double_spends(T.spends(s, d), ["outpoint"])
+
+
+@query("addr_summary", f""", {T.sql_as_of(START - 1, "before")}, inside AS (SELECT * FROM ledger WHERE height >= {START} AND height < {END}),
+accounts AS (SELECT account FROM before UNION SELECT account FROM inside),
+rows_ AS (SELECT a.account, {START}::BIGINT AS height, NULL::BIGINT AS delta, coalesce(balance, 0) AS balance, 0 AS o FROM accounts a LEFT JOIN before USING (account) UNION ALL SELECT account, height, delta, balance, 1 FROM inside),
+agg AS (SELECT account, arg_min(balance, height * 2 + o) AS start_balance, arg_max(balance, height * 2 + o) AS end_balance, count(delta) AS change_count,
+  coalesce(sum(delta) FILTER (WHERE delta >= 0), 0)::BIGINT AS inflow, coalesce(-sum(delta) FILTER (WHERE delta < 0), 0)::BIGINT AS outflow, coalesce(sum(delta), 0)::BIGINT AS net_delta,
+  min(height) FILTER (WHERE o = 1) AS first_height, max(height) FILTER (WHERE o = 1) AS latest_height, max(balance) AS peak_balance, min(balance) AS low_balance FROM rows_ GROUP BY account)
+SELECT agg.*, (SELECT min(height) FROM rows_ r WHERE r.account = agg.account AND r.balance = peak_balance) AS peak_height, (SELECT min(height) FROM rows_ r WHERE r.account = agg.account AND r.balance = low_balance) AS low_height FROM agg""", "ledger")  # A3
+def _(s, d):
+    return series.summary(_ledger(s, d), START, END)
+
+
+_SPINE = f"""spine AS (SELECT account, b AS bucket_start, least(b + {SIZE}, {END})::BIGINT AS bucket_end FROM (SELECT DISTINCT account FROM ledger), (SELECT unnest(generate_series({START}, {END - 1}, {SIZE}))::BIGINT AS b)),
+inside AS (SELECT *, ({START} + ((height - {START}) // {SIZE}) * {SIZE})::BIGINT AS bucket_start FROM ledger WHERE height >= {START} AND height < {END})"""
+
+
+@query("addr_timeseries", f""", {_SPINE}, {T.sql_as_of(START - 1, "before")},
+m AS (SELECT account, bucket_start, arg_max(balance, height) AS b, sum(delta)::BIGINT AS net_delta, count(*) AS change_count, max(height) AS latest_height FROM inside GROUP BY 1, 2)
+SELECT account, bucket_start, bucket_end, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY account ORDER BY bucket_start ROWS UNBOUNDED PRECEDING), before.balance, 0) AS balance, coalesce(net_delta, 0) AS net_delta, coalesce(change_count, 0) AS change_count, latest_height
+FROM spine LEFT JOIN m USING (account, bucket_start) LEFT JOIN before USING (account)""", "ledger")  # A4, W3
+def _(s, d):
+    rows = _ledger(s, d)
+    return series.timeseries(rows, rows.select("account").distinct(), START, END, SIZE)
+
+
+@query("addr_flow_buckets", f""", {_SPINE}, m AS (SELECT account, bucket_start, coalesce(sum(delta) FILTER (WHERE delta >= 0), 0)::BIGINT AS i, coalesce(-sum(delta) FILTER (WHERE delta < 0), 0)::BIGINT AS o, sum(delta)::BIGINT AS n, count(*) AS c FROM inside GROUP BY 1, 2)
+SELECT account, bucket_start, bucket_end, coalesce(i, 0) AS inflow, coalesce(o, 0) AS outflow, coalesce(n, 0) AS net_delta, coalesce(c, 0) AS change_count FROM spine LEFT JOIN m USING (account, bucket_start)""", "ledger")  # A5
+def _(s, d):
+    rows = _ledger(s, d)
+    return series.flows(rows, rows.select("account").distinct(), START, END, SIZE)
+
+
+@query("batch_totals_rollup", "SELECT account, count(*) AS records, max(height) AS latest_height, sum(delta)::BIGINT AS total_delta FROM ledger GROUP BY ROLLUP (account)", "ledger")  # A16
+def _(s, d):
+    return series.batch_totals(_ledger(s, d))
+
+
+@query("client_summary", "SELECT account, (arg_min(balance, height) - arg_min(delta, height))::BIGINT AS start_balance, arg_max(balance, height) AS end_balance, max(balance) AS peak_balance, min(balance) AS low_balance, count(*) AS change_count, sum(delta)::BIGINT AS net_delta FROM ledger GROUP BY account", "ledger")  # Z23
+def _(s, d):
+    return series.client_summary(_ledger(s, d))
+
+
+@query("undo_window", "SELECT * FROM ledger WHERE height >= greatest(0, 2000 - 63)", "ledger")  # W9
+def _(s, d):
+    return temporal.undo_window(_ledger(s, d), 2000)
+
+
+@query("height_gap_backfill", "SELECT unnest(generate_series(0, 2600))::BIGINT AS height EXCEPT SELECT height FROM ledger", "ledger")  # R12, Z11
+def _(s, d):
+    return temporal.missing_heights(_ledger(s, d).select("height").distinct(), 0, 2600)
+
+
+@query("rollback_replay_equality", "SELECT account, height, 'mismatch' AS difference FROM ledger WHERE false", "ledger")  # R4
+def _(s, d):
+    signed = ledger.signed_rows(T.outputs(s, d), T.spends(s, d))
+    replayed = chain.rolled_back(signed, H).unionByName(signed.where(F.col("height") > H))
+    return ledger.ledger_difference(_ledger(s, d), ledger.running_balance(ledger.deltas(replayed)), ["account", "height"], ["delta", "balance"])
+
+
+_BLOCKS = "blocks AS (SELECT DISTINCT height, sha256('a' || height) AS block_hash FROM ledger), forks AS (SELECT height, CASE WHEN height > 1234 THEN sha256('b' || height) ELSE block_hash END AS block_hash FROM blocks)"
+
+
+@query("reorg_common_ancestor", f", {_BLOCKS} SELECT coalesce(max(b.height), 0)::BIGINT AS ancestor_height FROM blocks b JOIN forks f ON b.height = f.height AND b.block_hash = f.block_hash", "ledger")  # J16
+def _(s, d):
+    ours = _ledger(s, d).select("height").distinct().withColumn("block_hash", F.sha2(F.concat(F.lit("a"), F.col("height").cast("string")), 256))
+    theirs = ours.withColumn("block_hash", F.when(F.col("height") > 1234, F.sha2(F.concat(F.lit("b"), F.col("height").cast("string")), 256)).otherwise(F.col("block_hash")))
+    return chain.common_ancestor(ours, theirs)
+
+
+# --- event log
+
+
+@query("pass_snapshot_at", f", {T.sql_snapshot(EVENT_H)} SELECT * FROM snap JOIN passes USING (inscription_id)", "history")  # J8, J9, W2, P2
+def _(s, d):
+    return events.with_attributes(events.snapshot(T.history(s, d), EVENT_H), T.passes(s, d))
+
+
+@query("pass_stats_at", f", {T.sql_snapshot(EVENT_H)} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE new_state = '{x}') AS {x}" for x in ("active", "dormant", "consumed", "burned", "invalid")) + " FROM snap", "history")  # A6, P3
+def _(s, d):
+    return events.state_counts(T.history(s, d), EVENT_H)
+
+
+@query("pass_count_by_states", f", {T.sql_snapshot(EVENT_H)} SELECT count(*) AS n FROM snap WHERE new_state IN ('active', 'dormant')", "history")  # A7, A8, F9
+def _(s, d):
+    return events.in_states(events.snapshot(T.history(s, d), EVENT_H), ["active", "dormant"]).agg(F.count("*").alias("n"))
+
+
+@query("active_passes_page", f", {T.sql_snapshot(EVENT_H)} SELECT * FROM snap WHERE new_state = 'active' ORDER BY block_height DESC, id DESC LIMIT 20 OFFSET 10", "history")  # P1, T2
+def _(s, d):
+    return temporal.offset_page(events.in_states(events.snapshot(T.history(s, d), EVENT_H), ["active"]), events.by_latest_event(), 10, 20)
+
+
+@query("owner_passes_page", f", {T.sql_snapshot(EVENT_H)} SELECT * FROM snap JOIN passes USING (inscription_id) WHERE new_owner = 'o14' ORDER BY block_height DESC, id DESC LIMIT 20", "history")  # P4, T3
+def _(s, d):
+    found = events.with_attributes(events.snapshot(T.history(s, d), EVENT_H).where("new_owner = 'o14'"), T.passes(s, d))
+    return temporal.offset_page(found, events.by_latest_event(), 0, 20)
+
+
+@query("recent_passes_page", f", {T.sql_snapshot(EVENT_H)} SELECT * FROM snap JOIN passes USING (inscription_id) ORDER BY mint_block_height DESC, inscription_number DESC, id DESC LIMIT 25", "history")  # P5, T4
+def _(s, d):
+    return temporal.offset_page(events.with_attributes(events.snapshot(T.history(s, d), EVENT_H), T.passes(s, d)), events.by_mint(), 0, 25)
+
+
+@query("owner_active_pass", f", {T.sql_snapshot(EVENT_H)} SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY new_owner ORDER BY block_height DESC, id DESC) AS n FROM snap WHERE new_state = 'active') WHERE n = 1", "history")  # P6, Z14
+def _(s, d):
+    return events.last_active_pass(events.snapshot(T.history(s, d), EVENT_H))
+
+
+@query("pass_history_range", "SELECT * FROM history WHERE inscription_id = '17' AND block_height BETWEEN 10 AND 700", "history")  # P7, T6
+def _(s, d):
+    return events.history_range(T.history(s, d), "17", 10, 700)
+
+
+@query("invalid_passes_page", f", {T.sql_snapshot(10**9)} SELECT * FROM snap JOIN passes USING (inscription_id) WHERE new_state = 'invalid' AND mint_block_height BETWEEN 0 AND 500 ORDER BY mint_block_height DESC, inscription_number DESC, inscription_id LIMIT 30", "history")  # P11, T5
+def _(s, d):
+    found = events.with_attributes(events.snapshot(T.history(s, d), 10**9), T.passes(s, d)).where("new_state = 'invalid' and mint_block_height between 0 and 500")
+    return temporal.offset_page(found, [F.desc("mint_block_height"), F.desc("inscription_number"), F.asc("inscription_id")], 0, 30)
+
+
+@query("duplicate_active_owner", f", {T.sql_snapshot(EVENT_H)} SELECT new_owner, count(*) AS n FROM snap WHERE new_state = 'active' GROUP BY new_owner HAVING count(*) > 1", "history")  # A12
+def _(s, d):
+    return events.duplicate_owners(events.snapshot(T.history(s, d), EVENT_H))
+
+
+@query("event_order", "SELECT *, row_number() OVER (PARTITION BY block_height ORDER BY new_owner, CASE WHEN new_state = 'active' THEN 1 ELSE 0 END, id, id, inscription_id)::INT AS event_order FROM history", "history")  # W6
+def _(s, d):
+    rows = T.history(s, d).withColumns({"height": F.col("block_height"), "tx_position": F.col("new_owner"), "priority": F.when(F.col("new_state") == "active", 1).otherwise(0), "input_index": F.col("id"), "inscription_index": F.col("id")})
+    return events.canonical_order(rows).drop("height", "tx_position", "priority", "input_index", "inscription_index")
+
+
+@query("ambiguous_groups", "SELECT height, commit_outpoint, id FROM (SELECT id, block_height AS height, id % 50 AS commit_outpoint, count(*) OVER (PARTITION BY block_height, id % 50) AS n FROM history) WHERE n > 1", "history")  # A11
+def _(s, d):
+    rows = T.history(s, d).select("id", F.col("block_height").alias("height"), (F.col("id") % 50).alias("commit_outpoint"))
+    return events.ambiguous_reveals(rows).select("height", "commit_outpoint", "id")
+
+
+@query("source_diff", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_primary' WHEN a.id IS NULL THEN 'only_shadow' ELSE 'content_mismatch' END AS difference FROM (SELECT * FROM history WHERE id % 7 <> 0) a FULL JOIN (SELECT id, CASE WHEN id % 11 = 0 THEN 'x' ELSE new_state END AS new_state, new_owner FROM history WHERE id % 5 <> 0) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.new_state <> b.new_state OR a.new_owner <> b.new_owner", "history")  # J15
+def _(s, d):
+    rows = T.history(s, d)
+    shadow = rows.where("id % 5 <> 0").withColumn("new_state", F.when(F.col("id") % 11 == 0, "x").otherwise(F.col("new_state")))
+    return chain.source_difference(rows.where("id % 7 <> 0"), shadow, "id", ["new_state", "new_owner"])
+
+
+@query("source_missing_ids", "SELECT id FROM history WHERE id % 7 <> 0 EXCEPT ALL SELECT id FROM history WHERE id % 5 <> 0", "history")  # U4
+def _(s, d):
+    rows = T.history(s, d)
+    return chain.missing_ids(rows.where("id % 7 <> 0"), rows.where("id % 5 <> 0"), "id")
+
+
+@query("future_rows", f"SELECT 'history' AS table_name, count(*) AS n FROM history WHERE block_height > {EVENT_H}", "history")  # F14
+def _(s, d):
+    return events.future_rows({"history": T.history(s, d)}, EVENT_H)
+
+
+@query("rollback_history", f"SELECT * FROM history WHERE block_height <= {EVENT_H}", "history")  # U6, Z13
+def _(s, d):
+    return chain.rolled_back(T.history(s, d), EVENT_H, "block_height")
+
+
+@query("runs_summary", "SELECT event_type, new_state, count(*) AS runs, count(*) FILTER (WHERE id % 3 = 0) AS failures, min(block_height) AS min_seconds, (sum(block_height)::DOUBLE / count(*)) AS avg_seconds, max(block_height) AS max_seconds FROM history GROUP BY ALL", "history")  # A15
+def _(s, d):
+    rows = T.history(s, d).select("event_type", "new_state", (F.col("id") % 3 != 0).alias("ok"), F.col("block_height").alias("seconds"))
+    return series.runs_summary(rows, ["event_type", "new_state"])
+
+
+# --- energy
+
+_ENERGY = """, keyed AS (SELECT account AS key, height, balance, delta, lag(height) OVER w AS h0, lag(balance) OVER w AS b0 FROM ledger WINDOW w AS (PARTITION BY account ORDER BY height)),
+steps AS (SELECT *, CASE WHEN h0 IS NULL THEN 0 ELSE (CASE WHEN b0 < 100000 THEN 0 ELSE b0::HUGEINT * 10000 * (height - h0) END) - (CASE WHEN delta >= 0 THEN 0 ELSE (-delta)::HUGEINT * 43200000 END) END AS st FROM keyed),
+sums AS (SELECT *, sum(st) OVER w AS sn FROM steps WINDOW w AS (PARTITION BY key ORDER BY height ROWS UNBOUNDED PRECEDING)),
+energy AS (SELECT key, height, balance, delta, coalesce(last_value(CASE WHEN delta < 0 THEN height END IGNORE NULLS) OVER w, first_value(height) OVER w) AS active_height, (sn - least(min(sn) OVER w, 0))::BIGINT AS energy FROM sums WINDOW w AS (PARTITION BY key ORDER BY height ROWS UNBOUNDED PRECEDING))"""
+_ENERGY_AT = f", at AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY height DESC) AS n FROM energy WHERE height <= {H}) WHERE n = 1), projected AS (SELECT *, (energy + CASE WHEN balance < 100000 THEN 0 ELSE balance::HUGEINT * 10000 * ({H} - height) END)::BIGINT AS projected FROM at)"
+
+
+def _energy(s, d):
+    rows = _ledger(s, d).select(F.col("account").alias("key"), "height", "balance", "delta")
+    return energy.records(rows).withColumn("energy", F.col("energy").cast("bigint"))
+
+
+def _projected(s, d):
+    return energy.projected(_energy(s, d), H).withColumn("projected", F.col("projected").cast("bigint"))
+
+
+@query("energy_records", f"{_ENERGY} SELECT * FROM energy", "ledger")  # W4
+def _(s, d):
+    return _energy(s, d)
+
+
+@query("energy_asof_projected", f"{_ENERGY}{_ENERGY_AT} SELECT * FROM projected", "ledger")  # J6, W5, P8
+def _(s, d):
+    return _projected(s, d)
+
+
+@query("energy_range", f"{_ENERGY} SELECT * FROM energy WHERE key = {ACCOUNT} AND height BETWEEN {START} AND {END}", "ledger")  # P10, T7
+def _(s, d):
+    return _energy(s, d).where((F.col("key") == ACCOUNT) & F.col("height").between(START, END))
+
+
+@query("energy_max_height", f"{_ENERGY} SELECT max(height) AS height FROM energy", "ledger")  # A14
+def _(s, d):
+    return _energy(s, d).agg(F.max("height").alias("height"))
+
+
+@query("energy_leaderboard", f"{_ENERGY}{_ENERGY_AT} SELECT key, projected AS energy, height AS record_height FROM projected ORDER BY projected DESC, height DESC, key LIMIT 100", "ledger")  # T1, P9
+def _(s, d):
+    return energy.leaderboard(_projected(s, d).select("key", F.col("projected").alias("energy"), F.col("height").alias("record_height")), 100)
+
+
+@query("candidate_winner", f"{_ENERGY}{_ENERGY_AT} SELECT key, projected AS energy FROM projected ORDER BY projected DESC, key LIMIT 1", "ledger")  # T8
+def _(s, d):
+    return energy.winner(_projected(s, d).select("key", F.col("projected").alias("energy")))
+
+
+@query("active_balance_settlement", f", {T.sql_as_of(H)} SELECT {H}::BIGINT AS block_height, least(coalesce(sum(balance), 0), 18446744073709551615)::BIGINT AS total_balance, count(*) AS active_address_count FROM upto JOIN customer ON c_custkey = account WHERE c_mktsegment = 'BUILDING'", "ledger")  # J10, A9
+def _(s, d):
+    rows = temporal.as_of(_ledger(s, d), H)
+    active = T.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("owner"))
+    return events.settlement(active.join(rows.select(F.col("account").alias("owner")), "owner", "left_semi"), rows, H).withColumn("total_balance", F.col("total_balance").cast("bigint"))
+
+
+@query("settlement_faults", f", {T.sql_as_of(H)} SELECT c_custkey AS owner, 'missing' AS fault FROM customer LEFT JOIN upto ON c_custkey = account WHERE account IS NULL", "ledger")  # J10
+def _(s, d):
+    active = T.table(s, d, "customer").select(F.col("c_custkey").alias("owner"))
+    return events.settlement_faults(active, temporal.as_of(_ledger(s, d), H), H)
+
+
+@query("settled_deltas", f", {T.sql_as_of(H)} SELECT account, height, CASE WHEN height < {H} THEN 0 ELSE delta END AS delta, balance FROM upto", "ledger")  # W3
+def _(s, d):
+    return events.settled_deltas(temporal.as_of(_ledger(s, d), H), H)
+
+
+# --- positions, hashes, contents, derived
+
+
+@query("sat_position_range_join", """
+WITH i AS (SELECT DISTINCT l_orderkey AS txid, l_linenumber AS input_index FROM lineitem), v AS (SELECT txid, input_index, 100 + (txid * 7 + input_index * 13) % 50 AS value FROM i),
+s AS (SELECT txid, input_index, coalesce(sum(value) OVER (PARTITION BY txid ORDER BY input_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 5 AS position FROM v),
+o AS (SELECT txid, input_index AS vout, 90 + (txid * 3 + input_index * 5) % 40 AS value FROM i), p AS (SELECT txid, vout, sum(value) OVER (PARTITION BY txid ORDER BY vout ROWS UNBOUNDED PRECEDING) AS t, value FROM o)
+SELECT s.txid, s.input_index, 5 AS "offset", position::BIGINT AS position, vout, (position - (t - value))::BIGINT AS new_offset FROM s LEFT JOIN p ON s.txid = p.txid AND position >= t - value AND position < t""")  # W7, J12, Z21
+def _(s, d):
+    i = T.table(s, d, "lineitem").select(F.col("l_orderkey").alias("txid"), F.col("l_linenumber").alias("input_index")).distinct()
+    inputs = i.withColumn("value", 100 + (F.col("txid") * 7 + F.col("input_index") * 13) % 50)
+    outputs = i.select("txid", F.col("input_index").alias("vout"), (90 + (F.col("txid") * 3 + F.col("input_index") * 5) % 40).alias("value"))
+    return chain.sat_positions(inputs, outputs, i.withColumn("offset", F.lit(5)))
+
+
+@query("script_hash_reverse", "SELECT event_id, lower(array_to_string([substr(sha256(props), CAST(2 * k - 1 AS INT), 2) for k in range(32, 0, -1)], '')) AS script_hash FROM events")  # X1
+def _(s, d):
+    return T.table(s, d, "events").select("event_id", B.script_hash(B.utf8(F.col("props"))).alias("script_hash"))
+
+
+@query("mint_classify")  # X8-X12, F12
+def _(s, d):
+    rows = T.table(s, d, "events").select("event_id", F.col("props").alias("content"))
+    return rows.select("event_id", mint.classify(F.col("content")).alias("m")).select("event_id", "m.kind", "m.code")
+
+
+@query("delta_root_chain")  # A13, W8, H1, H2
+def _(s, d):
+    rows = _ledger(s, d).select(F.sha2(F.col("account").cast("string"), 256).alias("script_hash"), "height", "delta", "balance")
+    blocks = rows.select("height").distinct().withColumn("block_hash", F.sha2(F.col("height").cast("string"), 256))
+    return commit.block_commits(commit.delta_roots(blocks, rows))
+
+
+@query("state_ids")  # H5, H6, H7
+def _(s, d):
+    rows = T.table(s, d, "events").select(F.col("event_id").alias("height"), F.sha2(F.col("props"), 256).alias("hash"))
+    lit = F.lit
+    c = {"source_chain": lit("btc"), "network": lit("regtest"), "stable_height": F.col("height"), "stable_block_hash": F.col("hash"), "stable_lag": lit(0), "balance_history_api_version": lit("1"), "balance_history_semantics_version": lit("1"), "usdb_index_formula_version": lit("1"), "usdb_index_protocol_version": lit("1")}
+    one = rows.withColumn("snapshot_id", commit.snapshot_id("v1", c))
+    nothing = lit(None)
+    parts = {"snapshot_id": F.col("snapshot_id"), "height": F.col("height"), "protocol_version": lit("1"), "pass_commit": nothing.cast("struct<block_height:bigint,block_commit:string,commit_protocol_version:string,commit_hash_algo:string>"), "balance_snapshot": F.struct(F.col("height").alias("block_height"), F.lit(5).alias("total_balance"), F.lit(1).alias("active_address_count"))}
+    two = one.withColumn("local_state_commit", commit.local_state_commit("v1", parts))
+    return two.select("height", "snapshot_id", "local_state_commit", commit.system_state_id("v1", F.col("snapshot_id"), F.col("local_state_commit")).alias("system_state_id"))
+
+
+@query("level_from_energy", f"{_ENERGY}{_ENERGY_AT}, r AS (SELECT unnest(generate_series(0, 50))::INT AS level), t AS (SELECT level, CASE WHEN level = 0 THEN 0::HUGEINT ELSE (10000000000::HUGEINT * level * level)::HUGEINT END AS least FROM r) SELECT key, max(level)::INT AS level, (10000 - least(max(level) * 100, 5000))::INT AS factor FROM projected JOIN t ON projected >= least GROUP BY key", "ledger")  # D5
+def _(s, d):
+    thresholds = s.range(51).select(F.col("id").cast("int").alias("level"), (F.lit(10_000_000_000).cast("decimal(20,0)") * F.col("id") * F.col("id")).alias("least"))
+    return derived.levels(_projected(s, d).select("key", "projected"), "projected", thresholds).select("key", "level", derived.difficulty_factor(F.col("level")).alias("factor"))
+
+
+@query("k_window", ", r AS (SELECT height, sum(delta) FILTER (WHERE delta > 0)::BIGINT AS v FROM ledger GROUP BY height) SELECT height, coalesce(sum(coalesce(v, 0)) OVER (ORDER BY height ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS previous FROM r", "ledger")  # W10
+def _(s, d):
+    rows = _ledger(s, d).groupBy("height").agg(F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("delta"))), F.lit(0)).cast("bigint").alias("v"))
+    return derived.rolling_before(rows, "v", 50).select("height", F.col("previous").cast("bigint").alias("previous"))

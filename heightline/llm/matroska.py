@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heightline.llm.staging import extended
+from heightline.staging import extended
 from heightline.llm.text import buffers, slices
 
 # Element ids of the Matroska specification (RFC 9559).

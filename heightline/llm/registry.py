@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heightline.llm import byte_bpe, matroska, packing, quality, sharding, substring_dedup, toxicity, url_filter
+from heightline.llm import byte_bpe, jaccard_join, matroska, packing, permutation_index, quality, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries():
@@ -11,12 +11,14 @@ def queries():
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
         "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_permutation_index": permutation_index.op5_permutation_index,
         "op6_media_columns": matroska.op6_media_columns,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_url_filters": url_filter.op9_url_filters,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql():
-    return {"op7_substring_dedup": substring_dedup.ORACLE, "op9_url_filters": url_filter.ORACLE}
+    return {"op7_substring_dedup": substring_dedup.ORACLE, "op9_url_filters": url_filter.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}

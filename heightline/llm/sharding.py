@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heightline.llm.staging import shared_dir
+from heightline.staging import shared_dir
 
 SHARDS = 24
 BLOCK_ROWS = 1 << 16

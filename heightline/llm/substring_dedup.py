@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heightline.llm.staging import extended, staged
+from heightline.staging import extended, staged
 from heightline.llm.text import buffers, grams, slices, words
 
 WINDOW = 50

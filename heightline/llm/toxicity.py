@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightline.llm import labelled
-from heightline.llm.staging import extended
+from heightline.staging import extended
 from heightline.llm.text import BREAK, Words, buffers, slices, words
 
 BITS = 20

@@ -29,12 +29,12 @@ from heightline.staging import staged
 #: Pivots: this many times the square root of the number of vectors, within bounds.
 PIVOTS_A_ROOT = 0.6
 MOST_PIVOTS = 4096
-LENGTH = 24
-POSTED = 6
-PROBED = 12
+LENGTH = 128
+POSTED = 8
+PROBED = 16
 #: Share of a file's block, and least number, that the footrule distance passes on to true distances.
-KEPT_SHARE = 0.3
-KEPT_LEAST = 60
+KEPT_SHARE = 0.25
+KEPT_LEAST = 512
 BLOCK = 4096
 QUERIES = 512
 EVERY = 100

@@ -176,9 +176,9 @@ def probabilities(net: Network, column: pa.Array) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted, computed over each whole text."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
+    """docs with score and predicted, computed over each whole text, which goes unless keep_text."""
+    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     source = docs.select(*kept, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -194,4 +194,4 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(labelled.fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
-    return score(docs, net).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return score(docs, net, keep_text=False).select("doc_id", held.alias("held_out"), "score", "predicted")

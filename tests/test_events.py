@@ -1,0 +1,72 @@
+import pytest
+
+from heightline.operators import events, fsm, validation
+
+KIND = "height bigint, event_order int, op string, inscription_id string, owner string, prev array<string>, satpoint string, balance bigint, delta bigint"
+
+
+def run(spark, rows, **kw):
+    return sorted(fsm.run(spark.createDataFrame(rows, KIND), **kw).collect(), key=lambda r: (r.block_height, r.sequence))
+
+
+def balance(h, owner, b, d):
+    return (h, 0, "balance", None, owner, None, None, b, d)
+
+
+def mint(h, i, name, owner, prev=()):
+    return (h, i, "mint", name, owner, list(prev), f"{name}:0:0", None, None)
+
+
+def test_remint_by_the_same_owner_makes_dormant_then_mints_then_consumes(spark):
+    got = run(spark, [balance(10, "A", 200_000, 200_000), mint(10, 1, "p1", "A"), balance(20, "A", 210_000, 10_000), mint(20, 1, "p2", "A", ["p1", "nothing"])])
+    assert [(r.inscription_id, r.event_type, r.prev_state, r.new_state) for r in got] == [("p1", "mint", None, "active"), ("p1", "state_update", "active", "dormant"), ("p2", "mint", None, "active"), ("p1", "state_update", "dormant", "consumed")]
+    assert int(got[2].energy) == 200_000 * 10_000 * 10 and int(got[3].energy) == 0
+
+
+def test_double_inheritance_yields_nothing_the_second_time(spark):
+    got = run(spark, [balance(1, "A", 200_000, 200_000), mint(1, 1, "p1", "A"), mint(5, 1, "p2", "A", ["p1"]), mint(9, 1, "p3", "A", ["p1"])])
+    energies = {r.inscription_id: int(r.energy) for r in got if r.event_type == "mint"}
+    assert energies == {"p1": 0, "p2": 200_000 * 10_000 * 4, "p3": 0}
+
+
+def test_transfer_to_a_new_owner_and_to_the_same(spark):
+    move = lambda h, name, owner: (h, 1, "transfer", name, owner, None, "s:1:2", None, None)
+    got = run(spark, [mint(1, 1, "p1", "A"), move(2, "p1", "A"), move(3, "p1", "B")])
+    assert [(r.event_type, r.new_state, r.new_owner) for r in got] == [("mint", "active", "A"), ("satpoint_update", "active", "A"), ("state_update", "dormant", "A"), ("owner_transfer", "dormant", "B")]
+
+
+def test_burn_keeps_energy_unless_strict(spark):
+    rows = [balance(1, "A", 200_000, 200_000), mint(1, 1, "p1", "A"), mint(4, 1, "p2", "A"), (6, 1, "burn", "p1", None, None, None, None, None)]
+    assert int(run(spark, rows)[-1].energy) == 200_000 * 10_000 * 3
+    assert int(run(spark, rows, strict_terminal_energy=True)[-1].energy) == 0
+
+
+def test_invalid_mints_come_last_in_their_block(spark):
+    rows = [(3, 0, "invalid_mint", "bad", "A", None, "b:0:0", None, None), mint(3, 5, "p1", "A")]
+    assert [r.event_type for r in run(spark, rows)] == ["mint", "invalid_mint"]
+
+
+def test_one_active_pass_an_owner(spark):
+    rows = [mint(h, 1, f"p{h}", "AB"[h % 2], [f"p{h - 2}"]) for h in range(2, 30)]
+    state = {}
+    for r in run(spark, rows):
+        state[r.inscription_id] = (r.new_state, r.new_owner)
+    active = [o for s, o in state.values() if s == "active"]
+    assert len(active) == len(set(active)) == 2
+
+
+def test_settlement_faults(spark):
+    active = spark.createDataFrame([("A",), ("B",), ("C",), ("C",)], "owner string")
+    rows = spark.createDataFrame([("A", 5, 0, 1), ("C", 200, 0, 1), ("X", 1, 0, 1)], "account string, height bigint, delta bigint, balance bigint")
+    assert {tuple(r) for r in events.settlement_faults(active, rows, 100).collect()} == {("B", "missing"), ("C", "duplicate_owner"), ("X", "extra")}
+
+
+def test_request_checks():
+    assert validation.states([" active", "", "Active", "burned"], ("active", "burned")) == ["active", "burned"]
+    assert validation.page(2, 10) == (20, 10)
+    for f, args in ((validation.states, (["nope"], ("active",))), (validation.page, (0, 1001)), (validation.filled_range, (5, 5)), (validation.bucket_size, (0, 2001, 1)), (validation.height_at_most, (9, 8)), (validation.batch, ([0] * 1001,)), (validation.descending, ("up", True)), (validation.retained, (1, 2))):
+        with pytest.raises(validation.RequestError):
+            f(*args)
+    with pytest.raises(validation.RequestError, match="SNAPSHOT_ID_MISMATCH"):
+        validation.expected_state({"snapshot_id": "a", "system_state_id": "b"}, {"snapshot_id": "x", "system_state_id": "y"})
+    assert validation.readiness({"synced": 5, "target": 9, "snapshot_height": 3}) == {"blockers": ["CATCHING_UP"], "query_ready": True, "consensus_ready": False}

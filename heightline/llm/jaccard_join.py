@@ -39,6 +39,7 @@ BITS = 18
 #: What checking one candidate costs, in postings.
 CHECK_COST = 40
 SLICE = 4 << 20
+LOW, HIGH, SAME = 0, 1, 2
 
 
 def least_overlap(n: int, m: int) -> int:
@@ -149,12 +150,16 @@ def set_key(own: np.ndarray) -> int:
 
 
 def small_keys(own: np.ndarray, most: int) -> np.ndarray:
-    """Keys of the subsets of a small set; equal keys mean linked sets."""
+    """Keys of the subsets of a small set, with its role in the two low bits: LOW and HIGH for the smaller
+    and larger of two sizes, SAME for equal ones. Sets link that meet in a key, but for two of one role
+    that is not SAME."""
     out = []
     spread = mix(own)
     for low, high, c in subset_sizes(len(own), most):
         picks = np.array(list(itertools.combinations(range(len(own)), c)), np.int64)
-        out.append(mix(spread[picks].sum(axis=1, dtype=np.uint64) + np.uint64(low << 40 | high << 20 | c)))
+        role = SAME if low == high else LOW if len(own) == low else HIGH
+        keys = mix(spread[picks].sum(axis=1, dtype=np.uint64) + np.uint64(low << 40 | high << 20 | c))
+        out.append(keys & ~np.uint64(3) | np.uint64(role))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -193,9 +198,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with n and key; and links between keys, enough of them for all components."""
     rows = staged(signatures(docs), "signatures")
     sets = staged(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.first("subsets").alias("subsets")), "sets")
-    small = sets.select(F.explode("subsets").alias("subset"), "key")
-    first = small.groupBy("subset").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("subset", "lo")
-    by_subset = small.join(first, "subset").where("key <> lo").select(F.col("key").alias("a"), F.col("lo").alias("b"))
+    small = sets.select(F.explode("subsets").alias("_s"), "key").select(F.expr("_s & ~3L").alias("subset"), F.expr("_s & 3L").alias("role"), "key")
+    lowest = lambda role: F.min(F.when(F.col("role") != role, F.col("key")))
+    ends = small.groupBy("subset").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
+    by_subset = small.join(ends, "subset").select(F.col("key").alias("a"), F.when(F.col("role") == LOW, F.col("hi")).otherwise(F.col("lo")).alias("b")).where("a <> b")
 
     posted = sets.select(F.explode("tokens").alias("token"), F.struct("n", "key").alias("s"))
     heads = posted.groupBy("token").agg(F.min("s").alias("head"), F.max("s").alias("tail")).where("head < tail").select("token", "head")

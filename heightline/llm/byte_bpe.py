@@ -21,6 +21,9 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heightline.llm.columns import others
+from heightline.staging import extended
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 1 << 16
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
@@ -54,30 +57,28 @@ def encode(text: str, enc: tiktoken.Encoding, limit: int = LONG) -> np.ndarray:
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a binary column of little-endian unsigned 32-bit ids in place of `text`."""
-    kept = [c for c in docs.columns if c not in (text, ids)]
+    kept = others(docs.columns, text, ids)
 
     def run(batches):
         enc = encoding(path)
         for batch in batches:
-            coded = [encode(t or "", enc).tobytes() for t in batch.column("_text").to_pylist()]
+            coded = [encode(t or "", enc).tobytes() for t in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], [*kept, ids])
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    return source.mapInArrow(run, source.drop("_text").withColumn(ids, F.lit(b"")).schema)
+    return docs.select(*kept, F.col(text).alias(ids)).mapInArrow(run, extended(docs.select(*kept), f"`{ids}` binary"))
 
 
 def decode_column(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """coded with the raw bytes that its ids stand for in place of `ids`."""
-    kept = [c for c in coded.columns if c not in (ids, out)]
+    kept = others(coded.columns, ids, out)
 
     def run(batches):
         enc = encoding(path)
         for batch in batches:
-            raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("_ids").to_pylist()]
+            raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], [*kept, out])
 
-    source = coded.select(*kept, F.col(ids).alias("_ids"))
-    return source.mapInArrow(run, source.drop("_ids").withColumn(out, F.lit(b"")).schema)
+    return coded.select(*kept, F.col(ids).alias(out)).mapInArrow(run, extended(coded.select(*kept), f"`{out}` binary"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

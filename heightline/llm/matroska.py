@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from heightline.staging import extended
+from heightline.llm.columns import others
 from heightline.llm.text import buffers, slices
+from heightline.staging import extended
 
 # Element ids of the Matroska specification (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -267,18 +269,18 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def store(docs: DataFrame, text: str = "text", lacing: int = FIXED) -> DataFrame:
     """docs with n_bytes and a binary column media in place of `text`."""
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    kept = others(docs.columns, text, "n_bytes", "media")
+    source = docs.select(*kept, F.col(text).alias("media"))
 
     def run(batches):
         for batch in batches:
-            for a, b in _by_bytes(batch.column("_text")):
+            for a, b in _by_bytes(batch.column(len(kept))):
                 part = batch.slice(a, b - a)
-                made = [padded(t) for t in part.column("_text").to_pylist()]
+                made = [padded(t) for t in part.column(len(kept)).to_pylist()]
                 media = [mux(p, lacing) for _, p in made]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], [*kept, "n_bytes", "media"])
 
-    return source.mapInArrow(run, source.drop("_text").withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(b"")}).schema)
+    return source.mapInArrow(run, extended(docs.select(*kept), "n_bytes long, media binary"))
 
 
 def _by_bytes(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -308,13 +310,13 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 def read_back(media: DataFrame, column: str = "media") -> DataFrame:
     """Parses each file, takes its payload from the packets' byte ranges, and describes both."""
-    kept = [c for c in media.columns if c != column]
-    source = media.select(*kept, F.col(column).alias("_media"))
-    schema = extended(source.drop("_media"), READ)
+    kept = others(media.columns, column, *StructType.fromDDL(READ).names)
+    source = media.select(*kept, F.col(column).alias("payload_bytes"))
+    schema = extended(media.select(*kept), READ)
 
     def run(batches):
         for batch in batches:
-            rows = [_described(raw or b"") for raw in batch.column("_media").to_pylist()]
+            rows = [_described(raw or b"") for raw in batch.column(len(kept)).to_pylist()]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(zip(*rows), kinds))] if rows else [*batch.columns[:-1], *(pa.array([], k) for k in kinds)], schema.names)
 

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightline.llm import labelled
+from heightline.llm.columns import others
 from heightline.llm.text import buffers, slices
+from heightline.staging import extended
 
 EMBEDDING, WIDTH, STRIDE, FILTERS = 8, 8, 4, 48
 CHUNK = 512
@@ -178,16 +180,16 @@ def probabilities(net: Network, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs with score and predicted, computed over each whole text, which goes unless keep_text."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    kept = others(docs.columns, "score", "predicted", *([] if keep_text else [text]))
+    source = docs.select(*kept, F.col(text).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         for batch in batches:
-            p = probabilities(shared.value, batch.column("_text"))
+            p = probabilities(shared.value, batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return source.mapInArrow(run, source.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return source.mapInArrow(run, extended(docs.select(*kept), "score double, predicted int"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

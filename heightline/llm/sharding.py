@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heightline.llm.columns import others
 from heightline.staging import shared_dir
 
 SHARDS = 24
@@ -99,7 +100,7 @@ def permuted(counts: bytes, seed: int, block: int) -> np.ndarray:
 
 def shard_files(spark: SparkSession, path: str, columns: list[str], shards: int = SHARDS, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of the Parquet files at path with shard, and slot gapless from 0 in each shard."""
-    rows = spark.read.parquet(path).select(*(F.col(c) for c in columns if c not in ("shard", "slot")), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = spark.read.parquet(path).select(F.struct(*others(columns, "shard", "slot")).alias("row"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     per_file = rows.groupBy("_file").agg(F.count("*").alias("_n"))
     files = per_file.collect()  # one number a file
     files.sort(key=lambda r: r["_file"])
@@ -127,7 +128,7 @@ def shard_files(spark: SparkSession, path: str, columns: list[str], shards: int
     sizes = keyed.groupBy("shard", "_bucket").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_start", F.sum("_size").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_bucket", F.coalesce("_start", F.lit(0)).alias("_start"))
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_key", "_at")))
-    return ranked.join(before, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_key", "_at", "_start", "_rank")
+    return ranked.join(before, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("long")).select("row.*", "shard", "slot")
 
 
 def shard_frame(df: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heightline.llm.columns import spare
 from heightline.staging import extended, staged
 from heightline.llm.text import buffers, grams, slices, words
 
@@ -260,16 +261,17 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     rows, spans = duplicate_spans(docs.select("doc_id", "text"))
     firsts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
     later = rows.select("doc_id", "sha", "tag", "n_words").join(firsts, "sha").where("doc_id > first").select("doc_id", "tag", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))).alias("spans"))
-    own = spans.unionByName(later).groupBy("doc_id").agg(F.collect_set(F.struct("tag", "spans")).alias("_cuts")).withColumnRenamed("doc_id", "_id")
+    own = spans.unionByName(later).groupBy("doc_id").agg(F.collect_set(F.struct("tag", "spans")).alias("_cuts"))
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.select(*rest, "text").join(own.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left").select(*rest, "text", "_cuts")
+    ident, cuts = spare(docs.columns, "_id"), spare(docs.columns, "_cuts")
+    joined = docs.select(*rest, "text").join(own.toDF(ident, cuts).hint("shuffle_hash"), F.col("doc_id") == F.col(ident), "left").select(*rest, "text", cuts)
 
     def cut(batches):
         for batch in batches:
-            texts = [_remaining(t, c) if c and t else t for t, c in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist())]
+            texts = [_remaining(t, c) if c and t else t for t, c in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], [*rest, "text"])
 
-    return joined.mapInArrow(cut, joined.drop("_cuts").schema).select(docs.columns)
+    return joined.mapInArrow(cut, joined.drop(cuts).schema).select(docs.columns)
 
 
 def _remaining(text: str, cuts) -> str:

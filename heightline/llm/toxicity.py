@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightline.llm import labelled
+from heightline.llm.columns import others
 from heightline.staging import extended
 from heightline.llm.text import BREAK, Words, buffers, slices, words
 
@@ -213,18 +214,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs with score and predicted, computed over each whole text, which goes unless keep_text."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    kept = others(docs.columns, "score", "predicted", *([] if keep_text else [text]))
+    source = docs.select(*kept, F.col(text).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            found = np.array([evidence(s, m.scale, m.log_k)[:5] for s, *_ in _scores(batch.column("_text"), m.table)]).reshape(-1, 5)
+            found = np.array([evidence(s, m.scale, m.log_k)[:5] for s, *_ in _scores(batch.column(len(kept)), m.table)]).reshape(-1, 5)
             p = labelled.sigmoid(features(found) @ m.weights[:-1] + m.weights[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return source.mapInArrow(run, source.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return source.mapInArrow(run, extended(docs.select(*kept), "score double, predicted int"))
 
 
 def passages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,8 @@ from heightline.staging import extended
 EMBEDDING, WIDTH, STRIDE, FILTERS = 8, 8, 4, 48
 CHUNK = 512
 HALF = CHUNK // 2
+#: Bytes of the next half that the last window of a half reaches.
+OVERHANG = WIDTH - STRIDE
 SAMPLE = 5000
 SAMPLE_BYTES = 12_000
 EPOCHS = 12
@@ -61,17 +63,22 @@ class Network:
         return halves, np.cumsum(halves) - halves
 
     def codes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte codes laid out by halves of chunks; some padding follows the last."""
-        sizes = np.diff(bounds)
-        halves, begin = self.layout(sizes)
-        out = np.full(int(halves.sum()) * HALF + WIDTH, PAD, np.int16)
+        """Byte codes, one row a half chunk with the first bytes of the document's next one, and the halves
+        of each document. What a document lacks is padding, so no window sees another document."""
+        halves, begin = self.layout(np.diff(bounds))
+        n = int(halves.sum())
+        flat = np.full(n * HALF, PAD, np.int16)
         for at, a, b in zip((begin * HALF).tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-            out[at : at + b - a] = data[a:b]
+            flat[at : at + b - a] = data[a:b]
+        out = np.full((n, HALF + OVERHANG), PAD, np.int16)
+        out[:, :HALF] = flat.reshape(n, HALF)
+        out[:-1, HALF:] = out[1:, :OVERHANG]
+        out[np.cumsum(halves) - 1, HALF:] = PAD
         return out, halves
 
     def halves(self, codes: np.ndarray, where: bool = False):
         """Maximum of each filter over each half chunk, before the bias; with `where` also its place."""
-        n = (len(codes) - WIDTH) // HALF
+        n = len(codes)
         if where:
             both = np.stack(self._phases(codes, 0, n), 2).reshape(n, -1, FILTERS)
             return both.max(1), both.argmax(1)
@@ -83,8 +90,8 @@ class Network:
 
     def _phases(self, codes: np.ndarray, a: int, b: int) -> list[np.ndarray]:
         """Responses over halves a to b, from each of the two alignments of windows that do not overlap."""
-        x = self.embedding[codes[a * HALF : b * HALF + WIDTH]]
-        return [(x[p : p + (b - a) * HALF].reshape(-1, WIDTH * EMBEDDING) @ self.filters).reshape(b - a, -1, FILTERS) for p in range(0, WIDTH, STRIDE)]
+        x = self.embedding[codes[a:b]]
+        return [(x[:, p : p + HALF].reshape(-1, WIDTH * EMBEDDING) @ self.filters).reshape(b - a, -1, FILTERS) for p in range(0, WIDTH, STRIDE)]
 
     def forward(self, codes: np.ndarray, halves: np.ndarray, where: bool = False):
         """Probability of each document and what the backward pass needs."""
@@ -109,6 +116,7 @@ class Network:
         to_mean, to_top = error[:, None] * self.last[:FILTERS] / counts[:, None], error[:, None] * self.last[FILTERS:]
         owner = np.repeat(np.arange(len(counts)), counts)
         is_top = active == top[owner]
+        is_top = is_top / np.add.reduceat(is_top, starts, dtype=np.float32)[owner]  # neighbours share a half
         d_active = (to_mean[owner] + to_top[owner] * is_top) * (active > 0)
         at = np.flatnonzero(inside)
         right = best[at] < best[at + 1]
@@ -116,8 +124,7 @@ class Network:
         chunk, filt = np.nonzero(d_active)
         g = d_active[chunk, filt]
         h = half[chunk, filt]
-        start = h * HALF + place[h, filt] * STRIDE
-        window = codes[start[:, None] + np.arange(WIDTH)]
+        window = codes[h[:, None], (place[h, filt] * STRIDE)[:, None] + np.arange(WIDTH)]
         x = self.embedding[window].reshape(len(g), WIDTH * EMBEDDING)
         order = np.argsort(filt, kind="stable")
         edges = np.searchsorted(filt[order], np.arange(FILTERS + 1))
@@ -134,8 +141,8 @@ class Network:
     def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> "Network":
         """Adam over shuffled steps of DOCS_A_STEP documents; both labels weigh the same half-way."""
         rng = np.random.default_rng(seed)
-        share = labels.mean()
-        if not len(labels) or share in (0, 1):
+        share = labels.mean() if len(labels) else 0.5
+        if share in (0, 1) or not len(labels):
             self.offset[:] = 0 if not len(labels) else 4 * (2 * share - 1)
             return self
         self.offset[:] = np.log(share / (1 - share))

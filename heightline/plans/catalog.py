@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heightline.functions import binary as B
@@ -454,3 +454,115 @@ def _(s, d):
 def _(s, d):
     rows = _ledger(s, d).groupBy("height").agg(F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("delta"))), F.lit(0)).cast("bigint").alias("v"))
     return derived.rolling_before(rows, "v", 50).select("height", F.col("previous").cast("bigint").alias("previous"))
+
+
+# --- derived values of the specifications
+
+
+def _cents(column: str):
+    return F.greatest(F.round(F.col(column) * 100), F.lit(0)).cast("bigint")
+
+
+def _customers(s, d):
+    """Customers as passes: every seventh one collaborates, every eleventh is inactive."""
+    return T.table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("owner"), _cents("c_acctbal").alias("energy"), (F.col("c_custkey") % 11 != 0).alias("active"))
+
+
+def _collabs(s, d):
+    """A collaborator names its leader by pass id or, every other one, by owner; some names are of nobody."""
+    rows = T.table(s, d, "customer").where("c_custkey % 7 = 3")
+    by_id = F.col("c_custkey") % 2 == 0
+    return rows.select(F.col("c_custkey").alias("key"), F.when(by_id, F.col("c_custkey") * 5 % 200).alias("leader_pass"), F.when(~by_id, F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") * 3 % 200).cast("string"), 9, "0"))).alias("leader_owner"))
+
+
+_CUSTOMERS = """WITH passes AS (
+  SELECT c_custkey AS key, c_name AS owner, CAST(greatest(round(c_acctbal * 100), 0) AS BIGINT) AS energy, c_custkey % 11 <> 0 AS active FROM customer
+), collabs AS (
+  SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 5 % 200 END AS leader_pass,
+         CASE WHEN c_custkey % 2 <> 0 THEN 'Customer#' || lpad(CAST(c_custkey * 3 % 200 AS VARCHAR), 9, '0') END AS leader_owner
+  FROM customer WHERE c_custkey % 7 = 3
+), led AS (
+  SELECT c.key, coalesce(a.key, b.key) AS leader FROM collabs c LEFT JOIN passes a ON a.key = c.leader_pass LEFT JOIN passes b ON b.owner = c.leader_owner
+)"""
+
+
+@query("derived_raw_energy", f"""WITH RECURSIVE {T.SQL_LEDGER}, r AS (
+  SELECT account AS key, height, (balance // 100000)::HUGEINT AS units, row_number() OVER (PARTITION BY account ORDER BY height) AS n FROM ledger WHERE account % 20 = 1
+), f AS (
+  SELECT key, n, height, units, 0::HUGEINT AS age, 0::HUGEINT AS energy FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.key, r.n, r.height, r.units,
+         CASE WHEN r.units < f.units THEN (f.age + r.height - f.height) * r.units // f.units ELSE f.age + r.height - f.height END,
+         greatest(f.energy + f.units * (r.height - f.height) - greatest(f.units - r.units, 0) * (f.age + r.height - f.height) * 3 // 2, 0)
+  FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1
+)
+SELECT key, height, units::BIGINT AS units, age::BIGINT AS age, energy::BIGINT AS energy FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")  # D1
+def _(s, d):
+    rows = _ledger(s, d).where("account % 20 = 1").select(F.col("account").alias("key"), "height", "balance")
+    return derived.raw_energy_v2(rows).select("key", "height", *(F.col(c).cast("bigint").alias(c) for c in ("units", "age", "energy")))
+
+
+@query("derived_inherited", _CUSTOMERS + " SELECT key % 40 AS heir, sum(energy * 9500 // 10000)::BIGINT AS inherited FROM passes GROUP BY 1")  # D2
+def _(s, d):
+    rows = _customers(s, d).select((F.col("key") % 40).alias("heir"), "energy")
+    return derived.inherited(rows).select("heir", F.col("inherited").cast("bigint").alias("inherited"))
+
+
+@query("derived_leaders", _CUSTOMERS + " SELECT * FROM led")  # D3
+def _(s, d):
+    return derived.leaders(_collabs(s, d), _customers(s, d))
+
+
+_EFFECTIVE = _CUSTOMERS + """, shares AS (
+  SELECT leader, sum(energy * 5000 // 10000) AS c FROM led JOIN passes USING (key) WHERE active GROUP BY leader
+), effective AS (
+  SELECT p.key, p.energy AS raw, CASE WHEN l.key IS NOT NULL OR NOT p.active THEN 0 ELSE p.energy + coalesce(s.c, 0) END::BIGINT AS effective_energy
+  FROM passes p LEFT JOIN shares s ON s.leader = p.key LEFT JOIN led l ON l.key = p.key
+)"""
+
+
+@query("derived_effective_energy", _EFFECTIVE + " SELECT key, effective_energy FROM effective")  # D4
+def _(s, d):
+    passes = _customers(s, d)
+    return _effective(passes, derived.leaders(_collabs(s, d), passes))
+
+
+def _effective(passes: DataFrame, led: DataFrame) -> DataFrame:
+    return derived.effective_energy(passes.select("key", "energy", "active"), led).select("key", F.col("effective_energy").cast("bigint").alias("effective_energy"))
+
+
+@query("derived_candidates", _EFFECTIVE + " SELECT key, effective_energy, row_number() OVER (ORDER BY effective_energy DESC, key)::INT AS place FROM effective WHERE effective_energy > 0 ORDER BY effective_energy DESC, key LIMIT 100")  # D7
+def _(s, d):
+    passes = _customers(s, d)
+    first = _effective(passes, derived.leaders(_collabs(s, d), passes)).where("effective_energy > 0").orderBy(F.desc("effective_energy"), "key").limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("effective_energy"), "key")))  # a page of 100 rows
+
+
+@query("derived_difficulty", "SELECT p_partkey AS key, CAST(ceil(CAST(p_retailprice * 100 AS BIGINT) * (10000 - least(p_size * 100, 5000))::BIGINT / 10000.0) AS BIGINT) AS difficulty FROM part")  # D5, D6
+def _(s, d):
+    base = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    return T.table(s, d, "part").select(F.col("p_partkey").alias("key"), derived.real_difficulty(base, derived.difficulty_factor(F.col("p_size"))).cast("bigint").alias("difficulty"))
+
+
+@query("derived_emission", """WITH r AS (
+  SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS HUGEINT) AS sats, (o_custkey % 90 + 10)::HUGEINT * 1000000 AS price, (o_orderkey % 5000)::HUGEINT AS issued, (o_custkey % 5000 + 5000)::HUGEINT AS k FROM orders
+), t AS (SELECT *, greatest(sats * price // 100000000 - issued, 0) AS remaining FROM r
+), e AS (SELECT key, least(remaining, remaining * k // (100 * 10000)) AS emission FROM t)
+SELECT key, emission::BIGINT AS emission, (emission * 300 // 10000)::BIGINT AS fee, (emission - emission * 300 // 10000)::BIGINT AS rest FROM e""")  # D8
+def _(s, d):
+    o = T.table(s, d, "orders")
+    made = derived.emission(_cents("o_totalprice"), (F.col("o_custkey") % 90 + 10) * 1_000_000, F.col("o_orderkey") % 5000, F.col("o_custkey") % 5000 + 5000, 100)
+    parts = o.select(F.col("o_orderkey").alias("key"), made.alias("e")).withColumn("p", derived.split(F.col("e"), F.lit(300)))
+    return parts.select("key", F.col("e").cast("bigint").alias("emission"), F.col("p.share").cast("bigint").alias("fee"), F.col("p.rest").cast("bigint").alias("rest"))
+
+
+@query("derived_price_at", ", h AS (SELECT DISTINCT height FROM ledger), p AS (SELECT unnest(generate_series(0, 40)) * 60 + 100 AS start) SELECT h.height, max(p.start * 7 + 1)::BIGINT AS price FROM h LEFT JOIN p ON p.start <= h.height GROUP BY h.height", "ledger")  # D10
+def _(s, d):
+    policy = s.range(41).select((F.col("id") * 60 + 100).alias("start"), ((F.col("id") * 60 + 100) * 7 + 1).alias("price"))
+    return derived.price_at(_ledger(s, d).select("height").distinct(), policy)
+
+
+@query("derived_candidate_energy", "SELECT event_id AS id, CASE WHEN 60000 - CASE WHEN user_id % 4 <> 0 THEN event_id * 13 % 60000 END <= 50400 THEN user_id * 3 ELSE user_id END AS candidate FROM events")  # D11
+def _(s, d):
+    quote = F.when(F.col("user_id") % 4 != 0, F.col("event_id") * 13 % 60000)
+    return T.table(s, d, "events").select(F.col("event_id").alias("id"), derived.candidate_energy(F.lit(60000), quote, F.col("user_id") * 3, F.col("user_id")).alias("candidate"))

@@ -7,11 +7,13 @@ costs more postings than scanning and checking. Sets near the boundary take both
 either side.
 
 Rarity comes from counts of all shingles of the corpus in 2**BITS buckets; any order would give the same
-links, a good one gives short lists. Equal sets are one class. In a list, every set is first checked
-against the list's first set; sets that these links join need no further check, and only pairs of
-different components that still share a list are checked in a second round. So no list emits all its pairs
-unless they are all apart, and no link between components is lost. Components come from alternating star
-contractions of the links, in the shared folder.
+links, a good one gives short lists. A posting has the place of its shingle in the set's order: two sets
+whose first common shingle is this one have at most what follows it in common, so pairs for which that is
+too little are never made. Equal sets are one class. In a list, every set is first checked against HEADS
+sets of the list, the same ones in all lists that hold them; sets that these links join need no further
+check, and only pairs of different components that still share a list are checked in a second round. So no
+list emits all its pairs unless they are all apart and alike, and no link between components is lost.
+Components come from alternating star contractions of the links, in the shared folder.
 
 Defined results: null and empty texts have no shingles and link with nothing. Fewer words than SHINGLE are
 one shingle. Rows that repeat a doc_id are one document with the links of all; a row without doc_id links
@@ -26,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heightline.llm.substring_dedup import compressed
@@ -39,6 +41,8 @@ BITS = 18
 #: What checking one candidate costs, in postings.
 CHECK_COST = 40
 SLICE = 4 << 20
+#: Sets of a list that all others are checked against first.
+HEADS = 16
 LOW, HIGH, SAME = 0, 1, 2
 
 
@@ -167,6 +171,10 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
+#: What two postings (n, rest) and (_m, _rest) of a list need for a link whose first common shingle is the list's.
+_FITS = "9 * least(rest, _rest) >= 4 * (n + _m) and 5 * least(n, _m) >= 4 * greatest(n, _m)"
+
+
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets link. texts: key, packed."""
     left, right = texts.select(F.col("key").alias("a"), F.col("packed").alias("_l")), texts.select(F.col("key").alias("b"), F.col("packed").alias("_r"))
@@ -203,27 +211,30 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = small.groupBy("subset").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
     by_subset = small.join(ends, "subset").select(F.col("key").alias("a"), F.when(F.col("role") == LOW, F.col("hi")).otherwise(F.col("lo")).alias("b")).where("a <> b")
 
-    posted = sets.select(F.explode("tokens").alias("token"), F.struct("n", "key").alias("s"))
-    heads = posted.groupBy("token").agg(F.min("s").alias("head"), F.max("s").alias("tail")).where("head < tail").select("token", "head")
-    lists = staged(posted.join(heads, "token").select("token", "s.n", "s.key", "head"), "lists")
-    near = lists.where("key <> head.key and 5 * head.n >= 4 * n").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
+    # A posting has what its set holds from the shingle on: rest = n - place.
+    posted = sets.select("n", "key", F.posexplode("tokens").alias("place", "token")).select("token", F.col("n").cast("int"), (F.col("n") - F.col("place")).cast("int").alias("rest"), "key")
+    met = posted.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    lists = staged(posted.join(met, "token"), "lists")
+    order = Window.partitionBy("token").orderBy(F.xxhash64("key"))
+    heads = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HEADS).select("token", F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("key").alias("head"))
+    near = staged(lists.join(heads, "token").where(f"key <> head and {_FITS}").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "near")
 
     listed = lists.select("key").distinct().join(sets.select("key", "doc_id"), "key")
     texts = staged(_packed(docs, listed), "texts")
     found = staged(checked(near, texts).unionByName(by_subset).distinct(), "links")
 
-    # Second round: lists that still hold several components.
+    # Second round: lists that still hold several components, of which any two might have a link.
     of = components(found)
-    placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "key", F.coalesce("component", "key").alias("component"))
+    placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = staged(placed.join(apart, "token"), "open")
-    kinds = open_.select("token", "component").distinct()
-    meet = kinds.join(kinds.withColumnRenamed("component", "other"), "token").where("component < other")
-    left = open_.select("token", "component", F.col("key").alias("a"), F.col("n").alias("_n"))
-    right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"))
-    cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where("5 * least(_n, _m) >= 4 * greatest(_n, _m)")
-    rest = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"))
+    meet = kinds.join(others, "token").where("component < other and 5 * most >= 4 * _m and 5 * _most >= 4 * n and 9 * least(rest, _rest) >= 4 * (n + _m)").select("token", "component", "other")
+    left = open_.select("token", "component", F.col("key").alias("a"), "n", "rest")
+    right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_rest"))
+    cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where(_FITS)
+    rest = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     return rows, found.unionByName(staged(checked(rest, texts), "links"))
 
 

@@ -9,7 +9,8 @@ either side.
 Rarity comes from counts of all shingles of the corpus in 2**BITS buckets; any order would give the same
 links, a good one gives short lists. A posting has the place of its shingle in the set's order: two sets
 whose first common shingle is this one have at most what follows it in common, so pairs for which that is
-too little are never made. Equal sets are one class. In a list, every set is first checked against HEADS
+too little are never made. Nor are those that differ in too many of SKETCH bits, each the parity of a set's
+shingles in one bucket, for sets differ in at least as many shingles. Equal sets are one class. In a list, every set is first checked against HEADS
 sets of the list, the same ones in all lists that hold them; sets that these links join need no further
 check, and only pairs of different components that still share a list are checked in a second round. So no
 list emits all its pairs unless they are all apart and alike, and no link between components is lost.
@@ -41,6 +42,7 @@ BITS = 18
 #: What checking one candidate costs, in postings.
 CHECK_COST = 40
 SLICE = 4 << 20
+SKETCH = 512
 #: Sets of a list that all others are checked against first.
 HEADS = 16
 LOW, HIGH, SAME = 0, 1, 2
@@ -122,17 +124,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     most = boundary()
     source = docs.select("doc_id", F.col("text").alias("_text"))
-    schema = extended(source.select("doc_id"), "n long, key long, tokens array<long>, subsets array<long>")
+    schema = extended(source.select("doc_id"), "n long, key long, bits array<long>, tokens array<long>, subsets array<long>")
 
     def run(batches):
         for batch in batches:
             for a, b, g, first in _texts(batch, "_text"):
-                sizes, keys, tokens, subsets = [], [], [], []
+                sizes, keys, bits, tokens, subsets = [], [], [], [], []
                 for i in range(b - a):
                     own = np.unique(g[first[i] : first[i + 1]])
                     n = len(own)
                     sizes.append(n)
                     keys.append(set_key(own) if n else None)
+                    bits.append(sketch(own))
                     lists = n and 5 * n // 4 > most
                     if lists:
                         order = np.lexsort((own, shared.value[(own >> np.uint64(64 - BITS)).astype(np.int64)]))
@@ -141,7 +144,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         tokens.append(np.empty(0, np.int64))
                     subsets.append(small_keys(own, most) if 0 < n <= most else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(tokens), _lists(subsets)], schema.names
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(bits), _lists(tokens), _lists(subsets)], schema.names
                 )
 
     return source.mapInArrow(run, schema)
@@ -153,6 +156,12 @@ def set_key(own: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of SKETCH buckets, packed into longs."""
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def small_keys(own: np.ndarray, most: int) -> np.ndarray:
     """Keys of the subsets of a small set, with its role in the two low bits: LOW and HIGH for the smaller
     and larger of two sizes, SAME for equal ones. Sets link that meet in a key, but for two of one role
@@ -173,6 +182,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 #: What two postings (n, rest) and (_m, _rest) of a list need for a link whose first common shingle is the list's.
 _FITS = "9 * least(rest, _rest) >= 4 * (n + _m) and 5 * least(n, _m) >= 4 * greatest(n, _m)"
+#: What two sketches need for a link.
+_NEAR = f"n + _m >= 9 * ({' + '.join(f'bit_count(bits[{i}] ^ _bits[{i}])' for i in range(SKETCH // 64))})"
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,7 +216,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with n and key; and links between keys, enough of them for all components."""
     rows = staged(signatures(docs), "signatures")
-    sets = staged(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.first("subsets").alias("subsets")), "sets")
+    sets = staged(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"), F.first("subsets").alias("subsets")), "sets")
     small = sets.select(F.explode("subsets").alias("_s"), "key").select(F.expr("_s & ~3L").alias("subset"), F.expr("_s & 3L").alias("role"), "key")
     lowest = lambda role: F.min(F.when(F.col("role") != role, F.col("key")))
     ends = small.groupBy("subset").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
@@ -217,7 +228,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = staged(posted.join(met, "token"), "lists")
     order = Window.partitionBy("token").orderBy(F.xxhash64("key"))
     heads = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HEADS).select("token", F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("key").alias("head"))
-    near = staged(lists.join(heads, "token").where(f"key <> head and {_FITS}").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "near")
+    near = lists.join(heads, "token").where(f"key <> head and {_FITS}").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    one, two = sets.select(F.col("key").alias("a"), "n", "bits"), sets.select(F.col("key").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_bits"))
+    near = staged(near.join(one, "a").join(two, "b").where(_NEAR).select("a", "b"), "near")
 
     listed = lists.select("key").distinct().join(sets.select("key", "doc_id"), "key")
     texts = staged(_packed(docs, listed), "texts")
@@ -227,13 +240,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = components(found)
     placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = staged(placed.join(apart, "token"), "open")
+    open_ = staged(placed.join(apart, "token").join(sets.select("key", "bits"), "key"), "open")
     kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"))
     meet = kinds.join(others, "token").where("component < other and 5 * most >= 4 * _m and 5 * _most >= 4 * n and 9 * least(rest, _rest) >= 4 * (n + _m)").select("token", "component", "other")
-    left = open_.select("token", "component", F.col("key").alias("a"), "n", "rest")
-    right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_rest"))
-    cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where(_FITS)
+    left = open_.select("token", "component", F.col("key").alias("a"), "n", "rest", "bits")
+    right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("bits").alias("_bits"))
+    cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where(f"{_FITS} and {_NEAR}")
     rest = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     return rows, found.unionByName(staged(checked(rest, texts), "links"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -34,3 +35,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def few_partitions(spark: SparkSession, rows: int, each: int = 250_000):
+    """Inside, shuffles of eager steps over so many rows take no more partitions than those fill."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, max(1, min(int(before), -(-rows // each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

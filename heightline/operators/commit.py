@@ -60,7 +60,7 @@ def pass_commits(roots: DataFrame, upstream: DataFrame, previous: str = "genesis
 
 
 def snapshot_id(version: str, c: dict[str, Column]) -> Column:
-    text = ("balance_history_api_version", "balance_history_semantics_version", "usdb_index_formula_version", "usdb_index_protocol_version")
+    text = ("api_version", "semantics_version", "index_formula_version", "index_protocol_version")
     return B.sha256_hex(F.concat(B.prefixed(version), B.prefixed(c["source_chain"]), B.prefixed(c["network"]), B.be32(c["stable_height"]), B.prefixed(c["stable_block_hash"]), B.be32(c["stable_lag"]), *(B.prefixed(c[t]) for t in text)))
 
 

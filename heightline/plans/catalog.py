@@ -436,7 +436,7 @@ def _(s, d):
 def _(s, d):
     rows = T.table(s, d, "events").select(F.col("event_id").alias("height"), F.sha2(F.col("props"), 256).alias("hash"))
     lit = F.lit
-    c = {"source_chain": lit("btc"), "network": lit("regtest"), "stable_height": F.col("height"), "stable_block_hash": F.col("hash"), "stable_lag": lit(0), "balance_history_api_version": lit("1"), "balance_history_semantics_version": lit("1"), "usdb_index_formula_version": lit("1"), "usdb_index_protocol_version": lit("1")}
+    c = {"source_chain": lit("btc"), "network": lit("regtest"), "stable_height": F.col("height"), "stable_block_hash": F.col("hash"), "stable_lag": lit(0), "api_version": lit("1"), "semantics_version": lit("1"), "index_formula_version": lit("1"), "index_protocol_version": lit("1")}
     one = rows.withColumn("snapshot_id", commit.snapshot_id("v1", c))
     nothing = lit(None)
     parts = {"snapshot_id": F.col("snapshot_id"), "height": F.col("height"), "protocol_version": lit("1"), "pass_commit": nothing.cast("struct<block_height:bigint,block_commit:string,commit_protocol_version:string,commit_hash_algo:string>"), "balance_snapshot": F.struct(F.col("height").alias("block_height"), F.lit(5).alias("total_balance"), F.lit(1).alias("active_address_count"))}

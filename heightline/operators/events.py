@@ -92,3 +92,14 @@ def future_rows(tables: dict[str, DataFrame], height: int) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def prev_resolution(mints: DataFrame, found: DataFrame) -> DataFrame:
+    """Each id that a mint names in prev, the first time it does, and why it isn't inherited from, if it isn't.
+
+    mints: inscription_id, owner, prev; found: a snapshot of all passes. Skipped ids don't fail the mint.
+    """
+    named = mints.select("inscription_id", "owner", F.posexplode(F.array_distinct("prev")).alias("position", "prev_id"))
+    known = found.select(F.col("inscription_id").alias("prev_id"), "new_owner", "new_state")
+    why = F.when(F.col("new_state").isNull(), "missing").when(F.col("new_owner") != F.col("owner"), "other_owner").when(F.col("new_state") != "dormant", "not_dormant").otherwise("inherited")
+    return named.join(known, "prev_id", "left").select("inscription_id", "position", "prev_id", why.alias("outcome"))

@@ -78,3 +78,12 @@ def ledger_difference(left: DataFrame, right: DataFrame, keys: list[str], values
     b = right.select(*keys, F.struct(*values).alias("_b"))
     kind = F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("mismatch")
     return a.join(b, keys, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, kind.alias("difference"))
+
+
+def undo_bundle(outputs: DataFrame, spends: DataFrame, first: int, last: int) -> DataFrame:
+    """What a rollback of each height in [first, last] needs: outputs created and spent, accounts touched."""
+    inside = F.col("height").between(first, last)
+    rows = outputs.where(inside).select("height", "account", F.col("outpoint").alias("created"), F.lit(None).cast(outputs.schema["outpoint"].dataType).alias("spent"))
+    rows = rows.unionByName(spends.where(inside).select("height", "account", F.lit(None).cast(outputs.schema["outpoint"].dataType).alias("created"), F.col("outpoint").alias("spent")))
+    listed = lambda f, c: F.sort_array(f(c)).alias(c)
+    return rows.groupBy("height").agg(listed(F.collect_list, "created"), listed(F.collect_list, "spent"), F.sort_array(F.collect_set("account")).alias("touched"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heightline.functions import address, mint
 from heightline.functions import binary as B
-from heightline.functions import mint
 from heightline.operators import chain, commit, derived, energy, events, ledger, series, temporal
 from heightline.sources import testdata as T
 
@@ -566,3 +566,50 @@ def _(s, d):
 def _(s, d):
     quote = F.when(F.col("user_id") % 4 != 0, F.col("event_id") * 13 % 60000)
     return T.table(s, d, "events").select(F.col("event_id").alias("id"), derived.candidate_energy(F.lit(60000), quote, F.col("user_id") * 3, F.col("user_id")).alias("candidate"))
+
+
+# --- undo, minting and address texts
+
+
+@query("undo_bundle", f""", rows AS (
+  SELECT height, account, outpoint AS created, NULL::BIGINT AS spent FROM outs WHERE height BETWEEN {H - 20} AND {H}
+  UNION ALL SELECT height, account, NULL, outpoint FROM spends WHERE height BETWEEN {H - 20} AND {H}
+)
+SELECT height, coalesce(string_agg(created::VARCHAR, ',' ORDER BY created), '') AS created, coalesce(string_agg(spent::VARCHAR, ',' ORDER BY spent), '') AS spent,
+       array_to_string(list_sort(list(DISTINCT account)), ',') AS touched FROM rows GROUP BY height""", "ledger")  # Z6, R4
+def _(s, d):
+    found = ledger.undo_bundle(T.outputs(s, d), T.spends(s, d), H - 20, H)
+    return found.select("height", *(F.array_join(c, ",").alias(c) for c in ("created", "spent", "touched")))
+
+
+@query("passes_minted_by", f""", {T.sql_snapshot(10**9)}
+SELECT inscription_id, new_owner, mint_block_height FROM snap JOIN passes USING (inscription_id) WHERE new_state = 'active' AND mint_block_height <= {EVENT_H}
+ORDER BY mint_block_height, inscription_number LIMIT 50""", "history")  # Z15
+def _(s, d):
+    history = T.history(s, d)
+    rows = events.with_attributes(events.in_states(events.snapshot(history, 10**9), ["active"]), T.passes(s, d)).where(F.col("mint_block_height") <= EVENT_H)
+    return temporal.offset_page(rows, ["mint_block_height", "inscription_number"], 0, 50).select("inscription_id", "new_owner", "mint_block_height")
+
+
+@query("prev_resolution", f""", {T.sql_snapshot(EVENT_H)}, mints AS (
+  SELECT inscription_id, new_owner AS owner, inscription_id::BIGINT AS u FROM snap
+), named AS (
+  SELECT inscription_id, owner, k, [(u * 3 % 700)::VARCHAR, ((u + 211) % 900)::VARCHAR, (u * 3 % 700)::VARCHAR, u::VARCHAR][k] AS prev_id FROM mints, (SELECT unnest([1, 2, 3, 4]) AS k)
+), firsts AS (
+  SELECT inscription_id, owner, prev_id, row_number() OVER (PARTITION BY inscription_id ORDER BY min(k)) - 1 AS position FROM named GROUP BY inscription_id, owner, prev_id
+)
+SELECT f.inscription_id, position::INT AS position, prev_id, CASE WHEN s.new_state IS NULL THEN 'missing' WHEN s.new_owner <> f.owner THEN 'other_owner' WHEN s.new_state <> 'dormant' THEN 'not_dormant' ELSE 'inherited' END AS outcome
+FROM firsts f LEFT JOIN snap s ON s.inscription_id = prev_id""", "history")  # J14, U5
+def _(s, d):
+    found = events.snapshot(T.history(s, d), EVENT_H)
+    u = F.col("inscription_id").cast("bigint")
+    prev = F.array(*((c.cast("string")) for c in (u * 3 % 700, (u + 211) % 900, u * 3 % 700, u)))
+    return events.prev_resolution(found.select("inscription_id", F.col("new_owner").alias("owner"), prev.alias("prev")), found)
+
+
+@query("script_addresses")  # X2, X3, X4: no SQL form of the checksums
+def _(s, d):
+    program = F.unhex(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 40))
+    script = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.unhex(F.lit("0014")), program)).otherwise(F.concat(F.unhex(F.lit("76a914")), program, F.unhex(F.lit("88ac"))))
+    rows = T.table(s, d, "customer").select("c_custkey", script.alias("script")).withColumn("address", address.script_address(F.col("script")))
+    return rows.select("c_custkey", B.script_kind(F.col("script")).alias("kind"), "address", (address.account(F.col("address")) == B.script_hash(F.col("script"))).alias("round_trip"))

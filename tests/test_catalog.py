@@ -14,3 +14,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_addresses_lead_back_to_their_scripts(spark, sf_dir):
+    rows = catalog.queries()["script_addresses"](spark, sf_dir).collect()
+    assert rows and all(r["round_trip"] for r in rows) and {r["kind"] for r in rows} == {"p2wpkh", "p2pkh"}

@@ -241,9 +241,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = staged(placed.join(apart, "token").join(sets.select("key", "bits"), "key"), "open")
-    kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"))
-    meet = kinds.join(others, "token").where("component < other and 5 * most >= 4 * _m and 5 * _most >= 4 * n and 9 * least(rest, _rest) >= 4 * (n + _m)").select("token", "component", "other")
+    kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"))
+    others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"), F.col("size").alias("_size"))
+    # The smaller side is laid out first; the larger one then meets it under the full condition.
+    meet = kinds.join(others, "token").where("(size < _size or size = _size and component < other) and 5 * most >= 4 * _m and 5 * _most >= 4 * n and 9 * least(rest, _rest) >= 4 * (n + _m)").select("token", "component", "other")
     left = open_.select("token", "component", F.col("key").alias("a"), "n", "rest", "bits")
     right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("bits").alias("_bits"))
     cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where(f"{_FITS} and {_NEAR}")

@@ -339,7 +339,7 @@ _ENERGY = """, keyed AS (SELECT account AS key, height, balance, delta, lag(heig
 steps AS (SELECT *, CASE WHEN h0 IS NULL THEN 0 ELSE (CASE WHEN b0 < 100000 THEN 0 ELSE b0::HUGEINT * 10000 * (height - h0) END) - (CASE WHEN delta >= 0 THEN 0 ELSE (-delta)::HUGEINT * 43200000 END) END AS st FROM keyed),
 sums AS (SELECT *, sum(st) OVER w AS sn FROM steps WINDOW w AS (PARTITION BY key ORDER BY height ROWS UNBOUNDED PRECEDING)),
 energy AS (SELECT key, height, balance, delta, coalesce(last_value(CASE WHEN delta < 0 THEN height END IGNORE NULLS) OVER w, first_value(height) OVER w) AS active_height, (sn - least(min(sn) OVER w, 0))::BIGINT AS energy FROM sums WINDOW w AS (PARTITION BY key ORDER BY height ROWS UNBOUNDED PRECEDING))"""
-_ENERGY_AT = f", at AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY height DESC) AS n FROM energy WHERE height <= {H}) WHERE n = 1), projected AS (SELECT *, (energy + CASE WHEN balance < 100000 THEN 0 ELSE balance::HUGEINT * 10000 * ({H} - height) END)::BIGINT AS projected FROM at)"
+_ENERGY_AT = f", known AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY height DESC) AS n FROM energy WHERE height <= {H}) WHERE n = 1), projected AS (SELECT *, (energy + CASE WHEN balance < 100000 THEN 0 ELSE balance::HUGEINT * 10000 * ({H} - height) END)::BIGINT AS projected FROM known)"
 
 
 def _energy(s, d):

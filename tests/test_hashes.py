@@ -90,7 +90,7 @@ def test_inscription_fixture(spark, tmp_path):
 
 def test_derived_values(spark):
     one = spark.range(1)
-    assert int(one.select(derived.real_difficulty(F.lit(1001), F.lit(9900)).alias("x")).first().x) == 992
+    assert int(one.select(derived.real_difficulty(F.lit(1001), F.lit(9900)).alias("x")).first().x) == 991
     assert one.select(derived.difficulty_factor(F.lit(60)).alias("x")).first().x == 5000
     assert int(one.select(derived.emission(F.lit(10**10), F.lit(5), F.lit(100), F.lit(10_000), 10).alias("x")).first().x) == 40
     rows = spark.createDataFrame([("k", 0, 1_000_000), ("k", 10, 500_000), ("k", 20, 500_000)], "key string, height bigint, balance bigint")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightline.llm.columns import others
+from heightline.llm.text import tidied
 from heightline.staging import extended
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +60,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "id
     """docs with a binary column of little-endian unsigned 32-bit ids in place of `text`."""
     kept = others(docs.columns, text, ids)
 
+    @tidied
     def run(batches):
         enc = encoding(path)
         for batch in batches:
@@ -72,6 +74,7 @@ def decode_column(coded: DataFrame, path: str, ids: str = "ids", out: str = "dec
     """coded with the raw bytes that its ids stand for in place of `ids`."""
     kept = others(coded.columns, ids, out)
 
+    @tidied
     def run(batches):
         enc = encoding(path)
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heightline.llm.substring_dedup import compressed
-from heightline.llm.text import Words, buffers, grams, mix, slices, words
+from heightline.llm.text import Words, buffers, grams, mix, slices, tidied, words
 from heightline.operators.graph import components
 from heightline.staging import extended, staged
 
@@ -104,6 +104,7 @@ def _texts(batch, column: str):
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """How often each bucket of shingles occurs in all documents."""
 
+    @tidied
     def run(batches):
         seen = np.zeros(1 << BITS, np.int64)
         for batch in batches:
@@ -126,6 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", F.col("text").alias("_text"))
     schema = extended(source.select("doc_id"), "n long, key long, bits array<long>, tokens array<long>, subsets array<long>")
 
+    @tidied
     def run(batches):
         for batch in batches:
             for a, b, g, first in _texts(batch, "_text"):
@@ -191,6 +193,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("key").alias("a"), F.col("packed").alias("_l")), texts.select(F.col("key").alias("b"), F.col("packed").alias("_r"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_l", "_r")
 
+    @tidied
     def run(batches):
         coder = zstandard.ZstdDecompressor()
         last: dict[int, np.ndarray] = {}
@@ -256,6 +259,7 @@ def _packed(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """key and packed text of the sets in listed (key, doc_id); another text of that id is left out."""
     found = compressed(docs.where("doc_id is not null")).join(listed.hint("shuffle_hash"), "doc_id").select("key", "packed")
 
+    @tidied
     def run(batches):
         coder = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from heightline.llm.columns import others
-from heightline.llm.text import buffers, slices
+from heightline.llm.text import buffers, slices, tidied
 from heightline.staging import extended
 
 # Element ids of the Matroska specification (RFC 9559).
@@ -272,6 +272,7 @@ def store(docs: DataFrame, text: str = "text", lacing: int = FIXED) -> DataFrame
     kept = others(docs.columns, text, "n_bytes", "media")
     source = docs.select(*kept, F.col(text).alias("media"))
 
+    @tidied
     def run(batches):
         for batch in batches:
             for a, b in _by_bytes(batch.column(len(kept))):
@@ -292,6 +293,7 @@ def packet_table(media: DataFrame, key: str, column: str = "media") -> DataFrame
     source = media.select(key, F.col(column).alias("_media"))
     schema = extended(source.select(key), PACKETS)
 
+    @tidied
     def run(batches):
         for batch in batches:
             for i, raw in enumerate(batch.column("_media").to_pylist()):
@@ -314,6 +316,7 @@ def read_back(media: DataFrame, column: str = "media") -> DataFrame:
     source = media.select(*kept, F.col(column).alias("payload_bytes"))
     schema = extended(media.select(*kept), READ)
 
+    @tidied
     def run(batches):
         for batch in batches:
             rows = [_described(raw or b"") for raw in batch.column(len(kept)).to_pylist()]

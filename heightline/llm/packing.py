@@ -29,17 +29,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heightline.staging import extended, staged
-from heightline.llm.text import buffers, slices
+from heightline.llm.text import buffers, slices, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END = 1
 CLASS_TOKENS = 8
-#: Words kept in a worker's table before it starts anew (about 150 bytes each).
-TABLE_WORDS = 1_000_000
+#: Words in a worker's table (about 170 bytes each); beyond, those seen again stay, half as many at most.
+TABLE_WORDS = 500_000
 #: New words encoded in one call.
 TOGETHER = 4096
-SLICE = 4 << 20
+SLICE = 2 << 20
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places begin[i] .. begin[i] + count[i] - 1 of every i, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class WordCoder:
@@ -65,8 +71,20 @@ class WordCoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _shrink(self) -> None:
+        seen = self.seen[: len(self.index)]
+        kept = np.flatnonzero(seen > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(-seen[kept], kind="stable")[: self.most // 2]])
+        names, begin, count = list(self.index), self.begin[kept], self.count[kept]
+        ids = self.ids[_ranges(begin, count)]
+        self._reset()
+        if len(kept):
+            self._store([names[i] for i in kept.tolist()], ids, count)
+
     def _coded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and how many each has. Words are encoded together, apart by a control
         character whose one id shows where the next begins; words that hold it are encoded alone."""
@@ -81,11 +99,14 @@ class WordCoder:
 
     def _add(self, new: list[bytes]) -> None:
         parts = [self._coded(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
-        coded, sizes = (np.concatenate(x) for x in zip(*parts))
+        self._store(new, *(np.concatenate(x) for x in zip(*parts)))
+
+    def _store(self, new: list[bytes], coded: np.ndarray, sizes: np.ndarray) -> None:
         have, need, flat = len(self.index), len(self.index) + len(new), len(coded)
         while need > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         while self.used + flat > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.count[have:need] = sizes
@@ -97,7 +118,7 @@ class WordCoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the number of ids of each text."""
         if len(self.index) > self.most:
-            self._reset()
+            self._shrink()
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
@@ -105,10 +126,10 @@ class WordCoder:
             missing = [words[i] for i in unknown.tolist()]
             self._add(list(dict.fromkeys(missing)))
             at[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
+        self.seen[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         counts = self.count[at]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (ends - counts), counts) + np.arange(total)]
+        ids = self.ids[_ranges(self.begin[at], counts)]
         bounds = np.cumsum([0, *map(len, split)])
         ends = np.concatenate([[0], ends])
         return ids, np.diff(ends[bounds])
@@ -129,6 +150,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_i
     kind = "start long, length long, ids_crc32 long, doc_tokens long, class int, block int, rank long" + ", ids binary" * keep_ids
     schema = extended(source.select("doc_id"), kind)
 
+    @tidied
     def run(batches):
         words, block = coder(path), TaskContext.get().partitionId()
         ranks = np.zeros(-(-length // CLASS_TOKENS) + 1, np.int64)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heightline.llm.text import tidied
 from heightline.staging import staged
 
 #: Pivots: this many times the square root of the number of vectors, within bounds.
@@ -85,6 +86,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     length, posted, probed = min(LENGTH, count), min(POSTED, count), min(PROBED, count)
 
     def ordered(taken: int):
+        @tidied
         def run(batches):
             for batch in batches:
                 d = pivots.value.shape[1]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from heightline.llm import labelled
 from heightline.llm.columns import others
-from heightline.llm.text import buffers, slices
+from heightline.llm.text import buffers, slices, tidied
 from heightline.staging import extended
 
 EMBEDDING, WIDTH, STRIDE, FILTERS = 8, 8, 4, 48
@@ -191,6 +191,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", threshold: float =
     source = docs.select(*kept, F.col(text).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tidied
     def run(batches):
         for batch in batches:
             p = probabilities(shared.value, batch.column(len(kept)))

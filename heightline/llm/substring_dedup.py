@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from heightline.llm.columns import spare
 from heightline.staging import extended, staged
-from heightline.llm.text import buffers, grams, slices, words
+from heightline.llm.text import buffers, grams, slices, tidied, words
 
 WINDOW = 50
 ANCHOR = 26
@@ -74,6 +74,7 @@ def profile(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.select("doc_id", F.col(text).alias("_text"))
     schema = extended(source.select("doc_id"), "sha binary, tag int, n_words long, hashes array<long>, places array<int>")
 
+    @tidied
     def run(batches):
         for batch in batches:
             column = batch.column("_text")
@@ -97,6 +98,7 @@ def compressed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the zstd-compressed words of each text, so that a shuffle moves less."""
     source = docs.select("doc_id", F.col(text).alias("_text"))
 
+    @tidied
     def run(batches):
         coder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -134,6 +136,7 @@ def parse(texts: DataFrame, found: DataFrame) -> DataFrame:
     joined = texts.join(found.hint("shuffle_hash"), "doc_id")
     schema = extended(texts.select("doc_id"), PARSED)
 
+    @tidied
     def run(batches):
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -221,6 +224,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     firsts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
     schema = extended(docs.select("doc_id"), "sha binary, n_removed long, kept string")
 
+    @tidied
     def cut(batches):
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -266,6 +270,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     ident, cuts = spare(docs.columns, "_id"), spare(docs.columns, "_cuts")
     joined = docs.select(*rest, "text").join(own.toDF(ident, cuts).hint("shuffle_hash"), F.col("doc_id") == F.col(ident), "left").select(*rest, "text", cuts)
 
+    @tidied
     def cut(batches):
         for batch in batches:
             texts = [_remaining(t, c) if c and t else t for t, c in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist())]

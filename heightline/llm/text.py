@@ -6,7 +6,11 @@ numpy over the raw UTF-8 bytes, so that no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +153,19 @@ def slices(sizes: np.ndarray, most: int):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         yield a, b
         a = b
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which its worker, which Spark uses again, gives freed memory back to the system."""
+
+    @wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return inner

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from heightline.llm import labelled
 from heightline.llm.columns import others
 from heightline.staging import extended
-from heightline.llm.text import BREAK, Words, buffers, slices, words
+from heightline.llm.text import BREAK, Words, buffers, slices, tidied, words
 
 BITS = 20
 #: Labelled documents that a fit takes at most.
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     taught = labelled.sample(docs, labels, label, FOLDS, HELD, most)
     sc = docs.sparkSession.sparkContext
 
+    @tidied
     def count(batches):
         seen = np.zeros((2, 2 << BITS), np.int32)
         totals = np.zeros(2, np.int64)
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     table = token_table(seen, int(toxic[at < 0].sum()), int(clean[at < 0].sum()))
     shared = sc.broadcast(table)
 
+    @tidied
     def background(batches):
         """Every BACKGROUND-th token score of the clean documents."""
         for batch in batches:
@@ -191,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     sampled = taught.where("part = 1").select("text", "label").mapInArrow(background, "s double").groupBy(F.round("s", 2).alias("s")).agg(F.count("*").alias("n")).toPandas()
     scale = decay(np.repeat(sampled.s.to_numpy(float), np.minimum(sampled.n.to_numpy(), 1 << 20)))
 
+    @tidied
     def collect(batches):
         for batch in batches:
             found = [(*evidence(s, scale, 0.0)[:4], max(1, len(s))) for s, *_ in _scores(batch.column("text"), shared.value)]
@@ -201,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     quiet = first[first.label == 0]
     log_k = float(quiet.best.mean() - np.euler_gamma) if len(quiet) else 0.0
 
+    @tidied
     def evidenced(batches):
         for batch in batches:
             found = [evidence(s, scale, log_k)[:5] for s, *_ in _scores(batch.column("text"), shared.value)]
@@ -218,6 +222,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     source = docs.select(*kept, F.col(text).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -234,6 +239,7 @@ def passages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = extended(source.select(key), "start long, stop long, segment_score double, e_value double")
 
+    @tidied
     def run(batches):
         m = shared.value
         for batch in batches:

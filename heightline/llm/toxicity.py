@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from heightline.llm import labelled
 from heightline.llm.columns import others
-from heightline.staging import extended
+from heightline.staging import extended, staged
 from heightline.llm.text import BREAK, Words, buffers, slices, tidied, words
 
 BITS = 20
@@ -152,7 +152,7 @@ def _scores(column: pa.Array, table: Table):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
-    taught = labelled.sample(docs, labels, label, FOLDS, HELD, most)
+    taught = staged(labelled.sample(docs, labels, label, FOLDS, HELD, most), "taught")  # four passes read it
     sc = docs.sparkSession.sparkContext
 
     @tidied

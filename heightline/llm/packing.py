@@ -37,8 +37,8 @@ END = 1
 CLASS_TOKENS = 8
 #: Words in a worker's table (about 170 bytes each); beyond, those seen again stay, half as many at most.
 TABLE_WORDS = 500_000
-#: New words encoded in one call.
-TOGETHER = 4096
+#: New words encoded as one text; longer texts cost the tokenizer more a word.
+TOGETHER = 256
 SLICE = 2 << 20
 
 

@@ -10,8 +10,9 @@ from tests.llm import brute
 from tests.llm.test_packing import check
 
 
-def test_stages_in_order(spark, sf_dir):
+def test_stages_in_order(spark, sf_dir, monkeypatch):
     """Each stage on its own input, against a plain form of its decision; all but the last keep the columns."""
+    monkeypatch.setattr(quality, "LEAST_STEPS", 150)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality_classifier", "ngram_jaccard_join", "substring_dedup", "packing"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

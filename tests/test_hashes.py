@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heightline.functions import binary as B
 from heightline.functions import mint
 from heightline.operators import commit, derived
+from heightline.plans import catalog
 from heightline.sources import blockfiles
 
 
@@ -98,3 +99,22 @@ def test_derived_values(spark):
     assert (int(r.energy), int(r.age)) == (max(0, 100 - 75) + 50, 15)
     kept = derived.effective_energy(spark.createDataFrame([("l", 100, True), ("c", 51, True)], "key string, energy bigint, active boolean"), spark.createDataFrame([("c", "l")], "key string, leader string"))
     assert {x.key: int(x.effective_energy) for x in kept.collect()} == {"l": 125, "c": 0}
+
+
+def test_raw_energy_of_every_account(spark, sf_dir):
+    rows = {}
+    for r in catalog.queries()["ledger_running_balance"](spark, sf_dir).collect():
+        rows.setdefault(r["account"], []).append((r["height"], r["balance"]))
+    want = []
+    for key, balances in rows.items():
+        (at, balance), *later = sorted(balances)
+        held, age, energy = balance // 100_000, 0, 0
+        for height, balance in later:
+            now, age = balance // 100_000, age + height - at
+            energy = max(0, energy + held * (height - at) - max(held - now, 0) * age * 3 // 2)
+            if now < held:
+                age = age * now // held
+            at, held = height, now
+        want.append((key, at, held, age, energy))
+    found = catalog.queries()["derived_raw_energy"](spark, sf_dir).select("key", "height", "units", "age", "energy").collect()
+    assert len(want) > 20 and sorted(map(tuple, found)) == sorted(want)

@@ -74,7 +74,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     spark = vectors.sparkSession
     data = staged(usable(vectors, key, column), "vectors")
     asked = usable(queries, key, column).distinct()
-    first = data.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
+    first = data.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     entries = staged(first.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "entries")
     n = entries.count()
     count = min(MOST_PIVOTS, n, max(16, int(PIVOTS_A_ROOT * math.sqrt(n))))

@@ -52,6 +52,18 @@ def test_few(spark, table, rows):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == ([(100, 1, 7, 1.0), (100, 2, 8, 2.0)] if len(rows) == 3 else [])
 
 
+@pytest.mark.parametrize("one, others", [(1, range(2, 22)), (200, range(301, 321))])
+def test_repeated_rows_take_one_place(spark, table, one, others):
+    """30 copies of one row beside 20 other ids of the same vector, asked for from elsewhere and from within."""
+    rows = [(one, [1.0, 2.0, 3.0])] * 30 + [(i, [1.0, 2.0, 3.0]) for i in others] + [(100, [1.0, 2.0, 3.5]), (50, [9.0, 2.0, 3.0])]
+    found = permutation_index.op5_permutation_index(spark, table([(i, v, 0) for i, v in rows], KIND, "embeddings")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = dict(nearest(rows))
+    assert 100 in want and got == want
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     data = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()

@@ -4,7 +4,8 @@ Pivots are vectors of the data. Each vector is represented by the order of its n
 in the inverted files of the first POSTED of them, with that order. A query reads the files of its own
 nearest pivots, ranks what they hold by the footrule distance between the orders, and the best ranked are
 ranked again by their true distance. The number of pivots grows with the square root of the number of
-vectors. Files are read in blocks of at most BLOCK vectors and QUERIES queries, so a file that holds a third
+vectors, and the files that a query reads with the number of pivots, so that the share of vectors in its
+reach does not shrink. Files are read in blocks of at most BLOCK vectors and QUERIES queries, so a file that holds a third
 of all vectors is many tasks' work.
 
 Equal vectors are one entry with its k + 1 smallest ids, which answers any query exactly as all would, and
@@ -32,6 +33,8 @@ PIVOTS_A_ROOT = 0.6
 MOST_PIVOTS = 4096
 LENGTH = 128
 POSTED = 8
+#: Files a query reads: this share of the pivots, and at least so many.
+PROBED_SHARE = 0.12
 PROBED = 16
 #: Share of a file's block, and least number, that the footrule distance passes on to true distances.
 KEPT_SHARE = 0.25
@@ -83,7 +86,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     if not chosen:
         return spark.createDataFrame([], out)
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in chosen]))
-    length, posted, probed = min(LENGTH, count), min(POSTED, count), min(PROBED, count)
+    length, posted, probed = min(LENGTH, count), min(POSTED, count), min(count, max(PROBED, math.ceil(PROBED_SHARE * count)))
 
     def ordered(taken: int):
         @tidied
@@ -91,9 +94,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
             for batch in batches:
                 d = pivots.value.shape[1]
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                got = orders(x, pivots.value, length)
+                got = orders(x, pivots.value, max(length, taken))
                 rows = np.repeat(np.arange(len(x)), taken)
-                raw = [a.tobytes() for a in got]
+                raw = [a.tobytes() for a in got[:, :length]]
                 vectors_ = [a.tobytes() for a in np.ascontiguousarray(x)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(got[:, :taken].reshape(-1).astype(np.int32)), batch.column("ids").take(pa.array(rows)), pa.array(raw, pa.binary()).take(pa.array(rows)), pa.array(vectors_, pa.binary()).take(pa.array(rows))],

@@ -82,6 +82,16 @@ def test_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_holds_with_many_pivots(spark, table, monkeypatch):
+    """1,000 pivots, as 2.8 million vectors would have, over vectors without clusters."""
+    monkeypatch.setattr(permutation_index, "PIVOTS_A_ROOT", 1000 / math.sqrt(4000))
+    x = np.random.default_rng(8).normal(size=(4000, 64)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist(), 1)]
+    found = permutation_index.op5_permutation_index(spark, table([(i, v, 0) for i, v in rows], KIND, "embeddings")).collect()
+    want = {q: {i for i, _ in best} for q, best in nearest(rows)}
+    assert len(found) == 400 and sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.97 * 400
+
+
 def test_footrule_equals_its_definition():
     rng = np.random.default_rng(0)
     n, length = 12, 6

@@ -36,6 +36,26 @@ def test_commit_chain_equals_hashlib(spark):
     assert sorted(map(tuple, commit.block_commits(commit.delta_roots(blocks, rows)).collect())) == want
 
 
+def test_commits_stream_and_go_on_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(commit, "HEIGHTS", 3, raising=False)
+    heights = [0, 1, 2, 4, 9, 10, 11]
+    ledger = [(f"{i * 7919 % 65536:064x}", 4, i - 9000, i) for i in range(20_000)] + [("0b" * 32, h, -h, h) for h in heights[1:]] + [("0c" * 32, 77, 1, 1)]
+    blocks = spark.createDataFrame([(h, f"{h:064x}") for h in heights], "height bigint, block_hash string")
+    roots = commit.delta_roots(blocks, spark.createDataFrame(ledger, "script_hash string, height bigint, delta bigint, balance bigint"))
+    assert "collect_list" not in roots._jdf.queryExecution().toString()
+    last, want = b"\x07" * 32, []
+    for h in heights:
+        shown, hashed = bytes.fromhex(f"{h:064x}")[::-1], hashlib.sha256(b"balance-history:block-delta-root:v1")
+        hashed.update(struct.pack(">I", h) + shown)
+        for s, at, d, b in sorted(r for r in ledger if r[1] == h):
+            hashed.update(bytes.fromhex(s) + struct.pack(">IqQ", at, d, b))
+        last = hashlib.sha256(b"balance-history:block-commit:v1" + struct.pack(">I", h) + shown + hashed.digest() + last).digest()
+        want.append((h, f"{h:064x}", hashed.hexdigest(), last.hex()))
+    chained = commit.block_commits(roots, "07" * 32)
+    assert "collect_list" not in chained._jdf.queryExecution().toString() and sorted(map(tuple, chained.collect())) == want
+    assert commit.block_commits(roots.limit(0)).collect() == []
+
+
 def test_pass_commits_equal_hashlib(spark):
     texts = [json.dumps({"type": "mint", "inscription_id": "x"}, separators=(",", ":")), "{}"]
     m = spark.createDataFrame([(3, 1, texts[1]), (3, 0, texts[0])], "height bigint, position int, json string")

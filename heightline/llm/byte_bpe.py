@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
 Long texts are cut at safe boundaries first: before a blank or line feed that follows a character which
-is no white space. There every match of the pattern ends, so the ids are those of the whole text.
+is no white space. There every match of the pattern ends, so the ids are those of the whole text. Long runs
+of white space, on which the pattern's matcher runs out of stack, are matched here and encoded by the ranks.
 
 Defined results: a null text counts as empty and gives no ids. Ids decode to the exact bytes of the text.
 """
@@ -28,7 +29,9 @@ from heightline.staging import extended
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 1 << 16
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
-_BLANKS = re.compile(r"\s{4096,}")
+#: A run of white space of at least RUN characters, as the pattern's \s has it, from its first.
+RUN = 4096
+_RUNS = r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]{%d,}"
 
 
 @lru_cache(4)
@@ -50,10 +53,18 @@ def pieces(text: str, limit: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str, enc: tiktoken.Encoding, limit: int = LONG) -> np.ndarray:
+def encode(text: str, enc: tiktoken.Encoding, limit: int = LONG, run: int = RUN) -> np.ndarray:
+    """Ids of the whole text. A run of white space is one match but for its last character where more text follows."""
     if len(text) <= limit:
         return np.asarray(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), "<u4") for p in pieces(text, limit)])
+    coded, at = [], 0
+    for found in re.finditer(_RUNS % max(run, 2), text):
+        end = found.end() - (found.end() < len(text))
+        coded += [enc.encode_ordinary(p) for p in pieces(text[at : found.start()], limit)]
+        coded.append(enc._encode_single_piece(text[found.start() : end]))
+        at = end
+    coded += [enc.encode_ordinary(p) for p in pieces(text[at:], limit)]
+    return np.concatenate([np.asarray(ids, "<u4") for ids in coded])
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

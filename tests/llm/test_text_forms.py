@@ -30,6 +30,26 @@ def test_cuts_are_safe(text, limit):
     assert byte_bpe.encode(text, enc, limit).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r\n \u2003"])
+def test_long_white_space(blank):
+    enc = byte_bpe.encoding(PATH)
+    wide = blank * 1_000_000
+    for text in ("a" + wide + "b", wide, "a" + wide, wide + "b" + wide + "\x1c" + wide):
+        assert enc.decode_bytes(byte_bpe.encode(text, enc).tolist()) == text.encode()
+    last = enc.encode_ordinary(wide[-1] + "b")
+    ids = byte_bpe.encode("a" + wide + "b", enc).tolist()
+    assert ids == enc.encode_ordinary("a") + enc._encode_single_piece(wide[:-1]) + last
+
+
+@pytest.mark.parametrize("run", [2, 3, 9])
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r\n", "\xa0\u2003 ", "\x85 ", " \x1c "])
+def test_white_space_apart_equals_the_pattern(blank, run):
+    enc = byte_bpe.encoding(PATH)
+    for n in range(1, 12):
+        for text in ("a" + blank * n + "b", blank * n, "1" + blank * n + "'s" + blank * n + "!", blank * n + "\u65e5" + blank * n):
+            assert byte_bpe.encode(text, enc, 1, run).tolist() == enc.encode_ordinary(text)
+
+
 def test_bpe_empty_and_clashing(spark, table, clashing):
     assert byte_bpe.op8_byte_bpe(spark, table([])).collect() == []
     coded = byte_bpe.encode_column(clashing, PATH)

@@ -4,7 +4,9 @@ Long texts are cut at safe boundaries first: before a blank or line feed that fo
 is no white space. There every match of the pattern ends, so the ids are those of the whole text. Long runs
 of white space, on which the pattern's matcher runs out of stack, are matched here and encoded by the ranks.
 
-Defined results: a null text counts as empty and gives no ids. Ids decode to the exact bytes of the text.
+Defined results: a null text counts as empty and gives no ids. Ids decode to the exact bytes of the text, of
+any length, also where it is one run of white space. Repeated rows stay, and equal texts get equal ids. An empty
+table gives an empty result. Other columns are carried; the column made replaces one of the same name.
 """
 
 from __future__ import annotations

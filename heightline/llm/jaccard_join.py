@@ -18,7 +18,8 @@ Components come from alternating star contractions of the links, in the shared f
 
 Defined results: null and empty texts have no shingles and link with nothing. Fewer words than SHINGLE are
 one shingle. Rows that repeat a doc_id are one document with the links of all; a row without doc_id links
-with nothing and has no component. Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased.
+with nothing and has no component. Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased, of
+texts of any length. An empty table gives an empty result; other columns are carried by `one_of_each` alone.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), key (of the set), tokens for the inverted lists, subsets of small sets."""
     rank = np.argsort(np.argsort(bucket_counts(docs), kind="stable"), kind="stable").astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB at any size
     most = boundary()
     source = docs.select("doc_id", F.col("text").alias("_text"))
     schema = extended(source.select("doc_id"), "n long, key long, bits array<long>, tokens array<long>, subsets array<long>")
@@ -223,6 +224,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = sets.select(F.explode("subsets").alias("_s"), "key").select(F.expr("_s & ~3L").alias("subset"), F.expr("_s & 3L").alias("role"), "key")
     lowest = lambda role: F.min(F.when(F.col("role") != role, F.col("key")))
     ends = small.groupBy("subset").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
+    ends = staged(ends, "ends")
     by_subset = small.join(ends, "subset").select(F.col("key").alias("a"), F.when(F.col("role") == LOW, F.col("hi")).otherwise(F.col("lo")).alias("b")).where("a <> b")
 
     # A posting has what its set holds from the shingle on: rest = n - place.
@@ -231,6 +233,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = staged(posted.join(met, "token"), "lists")
     order = Window.partitionBy("token").orderBy(F.xxhash64("key"))
     heads = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HEADS).select("token", F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("key").alias("head"))
+    heads = staged(heads, "heads")  # so that a join with them can split a list which a third of all sets are in
     near = lists.join(heads, "token").where(f"key <> head and {_FITS}").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     one, two = sets.select(F.col("key").alias("a"), "n", "bits"), sets.select(F.col("key").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_bits"))
     near = staged(near.join(one, "a").join(two, "b").where(_NEAR).select("a", "b"), "near")
@@ -276,7 +279,7 @@ def joined(docs: DataFrame) -> DataFrame:
     rows, found = links(docs)
     thin = rows.select("doc_id", "n", "key")
     known = thin.where("doc_id is not null and n > 0")
-    first = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    first = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "representatives")
     named = found.join(first.withColumnRenamed("key", "a"), "a").select("b", F.col("rep").alias("_a")).join(first.withColumnRenamed("key", "b"), "b").select(F.col("_a").alias("a"), F.col("rep").alias("b"))
     members = known.join(first, "key").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps"))
     repeated = members.where("lo < hi").select(F.explode("reps").alias("a"), F.col("lo").alias("b"))

@@ -5,8 +5,10 @@ blocks and block groups, undoes the three kinds of lacing, and marks the cluster
 packet has its track, timestamp in nanoseconds and byte range in the file. The writer stores a payload
 as frames of unsigned 8-bit PCM samples.
 
-Defined results: null media gives no packets; a truncated or malformed file gives the packets before the
-damage and an error text instead of a failed job.
+Defined results: a null text is stored as an empty one, which is one frame of padding; null media gives no
+packets; a truncated or malformed file gives the packets before the damage and an error text instead of a
+failed job, also where a block is shorter than its header or a number exceeds 64 bits. Repeated rows stay, and
+equal texts give equal values; an empty table gives an empty result. Texts of any length are one file each.
 """
 
 from __future__ import annotations
@@ -89,16 +91,18 @@ class Media:
         lace = np.concatenate([np.arange(n) for n in counts]) if counts else np.empty(0, np.int64)
         before = np.cumsum(sizes) - sizes
         head = np.repeat(before[np.cumsum(counts) - counts] if counts else before, counts)
-        cued = {self.segment + c[2] for c in self.cues}
+        cued = [self.segment + c[2] for c in self.cues if c[2] < 1 << 62]
         cluster = each(6, np.int64)
         return {
             "track": each(0, np.int32), "timestamp_ns": each(1, np.int64) * self.scale, "byte_offset": each(4, np.int64) + before - head, "byte_size": sizes, "keyframe": each(3, bool),
-            "lacing": each(2, np.int32), "lace_index": lace.astype(np.int32), "cluster_offset": cluster, "cued": np.isin(cluster, list(cued)),
+            "lacing": each(2, np.int32), "lace_index": lace.astype(np.int32), "cluster_offset": cluster, "cued": np.isin(cluster, np.array(cued, np.int64)),
         }
 
 
 def laced(data, at: int, stop: int, lacing: int) -> tuple[int, np.ndarray]:
     """Place and sizes of the frames of a block whose header ends at `at`."""
+    if at > stop or lacing != NO_LACING and at == stop:
+        raise ValueError(f"block cut off at {at}")
     if lacing == NO_LACING:
         return at, np.array([stop - at], np.int64)
     n = data[at] + 1
@@ -152,6 +156,8 @@ def parse(data: bytes) -> Media:
 
 
 def _number(data, at: int, stop: int) -> int:
+    if stop - at > 8:
+        raise ValueError(f"number of {stop - at} bytes at {at}")
     return int.from_bytes(data[at:stop], "big")
 
 
@@ -170,6 +176,9 @@ def _segment(media: Media, data, at: int, stop: int) -> None:
             for k, a, b, _ in children(data, body, at):
                 if k == TIMESTAMP_SCALE:
                     media.scale = _number(data, a, b)
+                    if any(abs(x[1] * media.scale) >= 1 << 63 for x in media.blocks):  # of clusters before it
+                        media.blocks.clear()
+                        raise ValueError(f"timestamp out of range under the scale at {a}")
         elif ident == TRACKS:
             for k, a, b, _ in children(data, body, at):
                 if k == TRACK_ENTRY:
@@ -214,10 +223,15 @@ def _cluster(media: Media, data, began: int, at: int, stop: int, unknown: bool)
 
 def _block(media: Media, data, at: int, stop: int, base: int, cluster: int, key: bool | None) -> None:
     track, at, _ = vint(data, at)
+    if at + 3 > stop:
+        raise ValueError(f"block header exceeds its block at {at}")
     relative, flags = struct.unpack_from(">hB", data, at)
+    time = base + relative
+    if track >= 1 << 31 or abs(time * media.scale) >= 1 << 63:
+        raise ValueError(f"track or timestamp out of range at {at}")
     lacing = flags >> 1 & 3
     first, sizes = laced(data, at + 3, stop, lacing)
-    media.blocks.append((track, base + relative, lacing, bool(flags & 0x80) if key is None else key, first, sizes, cluster))
+    media.blocks.append((track, time, lacing, bool(flags & 0x80) if key is None else key, first, sizes, cluster))
 
 
 def lace_header(frames: list[bytes], lacing: int) -> bytes:

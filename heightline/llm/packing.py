@@ -35,11 +35,14 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END = 1
 CLASS_TOKENS = 8
-#: Words in a worker's table (about 170 bytes each); beyond, those seen again stay, half as many at most.
-TABLE_WORDS = 500_000
+#: Words in a task's table (about 170 bytes each); beyond, those seen again stay, half as many at most.
+TABLE_WORDS = 400_000
 #: New words encoded as one text; longer texts cost the tokenizer more a word.
 TOGETHER = 256
 SLICE = 2 << 20
+MARKS = ".,;:!?"
+#: Words on which a tokenizer must agree with its own merges of their lower case, alone and before each mark.
+PROBES = ("a", "Z", "the", "Word", "QUICKLY", "zxqvwkj", "internationalisation", "ddIIllss")
 
 
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -61,11 +64,17 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        # Where the tokenizer only folds the case of words of letters and parts them from marks, the merges can be asked directly.
+        ids = lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids
+        self.marks = {m.encode(): ids(m) for m in MARKS}
+        self.folds = all(self._merged(w) + m == ids(w + k.decode()) for w in PROBES for k, m in [(b"", []), *self.marks.items()])
         self.most = most
         self._reset()
 
+    def forget(self) -> None:
+        self._reset()
+
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
@@ -97,9 +106,19 @@ class WordCoder:
         sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
         return np.delete(ids, cut), sizes
 
+    def _merged(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower())]
+
     def _add(self, new: list[bytes]) -> None:
-        parts = [self._coded(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
-        self._store(new, *(np.concatenate(x) for x in zip(*parts)))
+        plain, rest = [], []  # of ASCII letters, with one mark behind them or none; all others
+        for w in new:
+            (plain if self.folds and (w.isalpha() or w[-1:] in self.marks and w[:-1].isalpha()) else rest).append(w)
+        if plain:
+            found = [self._merged(w.decode()) if w.isalpha() else self._merged(w[:-1].decode()) + self.marks[w[-1:]] for w in plain]
+            self._store(plain, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64))
+        if new := rest:
+            parts = [self._coded(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            self._store(new, *(np.concatenate(x) for x in zip(*parts)))
 
     def _store(self, new: list[bytes], coded: np.ndarray, sizes: np.ndarray) -> None:
         have, need, flat = len(self.index), len(self.index) + len(new), len(coded)
@@ -137,6 +156,7 @@ class WordCoder:
 
 @lru_cache(2)
 def coder(path: str) -> WordCoder:
+    """The worker's tokenizer; its table of words is emptied after each task."""
     return WordCoder(path)
 
 
@@ -161,6 +181,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_i
                 near = (bounds[a : b + 1] - bounds[a]).tolist()
                 ids, sizes = words.encode([raw[i:j] for i, j in zip(near[:-1], near[1:])])
                 yield _pieces(batch.column("doc_id").slice(a, b - a), ids.astype("<u4"), sizes, ranks, block)
+        words.forget()
 
     def _pieces(keys, ids, sizes, ranks, block):
         row, start, size, crc, kept = [], [], [], [], []

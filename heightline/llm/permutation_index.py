@@ -11,8 +11,8 @@ of all vectors is many tasks' work.
 Equal vectors are one entry with its k + 1 smallest ids, which answers any query exactly as all would, and
 equal queries are searched once.
 
-Defined results: vectors that are null, zero, of another dimension than most, or that hold null, NaN or
-infinite components take no part, nor do rows without id. A repeated id counts once in a result, at its
+Defined results: vectors and queries that are null, zero, of another dimension than most vectors, or that hold
+null, NaN or infinite components take no part, nor do rows without id; an empty table gives an empty result. A repeated id counts once in a result, at its
 smallest distance. Ties go to the smaller id. With fewer candidates than k all are returned.
 """
 
@@ -45,12 +45,16 @@ EVERY = 100
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """id and v (doubles) of the rows that take part."""
+    """id and v (doubles) of the rows whose vectors are sound."""
     v = F.col(column).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v")).where(sound)
+    return vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v")).where(sound)
+
+
+def dimension(rows: DataFrame) -> int:
+    """Components of most vectors, the fewest of equally many."""
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return common["d"] if common else 0
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -75,8 +79,9 @@ def footrule(query: np.ndarray, places: np.ndarray, rest: np.ndarray, length: in
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found of each query."""
     spark = vectors.sparkSession
-    data = staged(usable(vectors, key, column), "vectors")
-    asked = usable(queries, key, column).distinct()
+    sound = staged(usable(vectors, key, column), "vectors")
+    alike = F.size("v") == dimension(sound)
+    data, asked = sound.where(alike), usable(queries, key, column).where(alike).distinct()
     first = data.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     entries = staged(first.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "entries")
     n = entries.count()

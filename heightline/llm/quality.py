@@ -6,8 +6,9 @@ document; the chunks' maxima combine by their mean and maximum into one probabil
 trained on the driver by gradient descent on a bounded sample: at most SAMPLE labelled documents, none
 above SAMPLE_BYTES. Scoring reads every byte of every document.
 
-Defined results: null and empty texts are one chunk of padding. Repeated rows stay. Columns of the input
-are kept; score and predicted replace columns of the same name. Without labels every score is 0.5.
+Defined results: null and empty texts are one chunk of padding. Repeated rows stay, and equal texts get
+equal scores. An empty table gives an empty result. Columns of the input are kept; score and predicted replace
+columns of the same name. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Network:
     taught = labelled.sample(docs.where(F.octet_length("text") <= SAMPLE_BYTES), labels, label, FOLDS, HELD, most)
-    rows = taught.select("doc_id", "text", "label").limit(most).toArrow()
+    rows = taught.select("doc_id", "text", "label").orderBy(F.xxhash64(F.lit(11), "doc_id", "text"), "doc_id", "text").limit(most).toArrow()
     order = np.lexsort((rows.column("text").to_numpy(zero_copy_only=False), rows.column("doc_id").to_numpy())) if rows.num_rows else []
     texts = [t.encode() for t in rows.column("text").to_pylist()]
     return Network().train([texts[i] for i in order], (rows.column("label").to_numpy() > 0).astype(float)[order] if rows.num_rows else np.empty(0))

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from heightline.llm import byte_bpe, jaccard_join, matroska, packing, permutation_index, quality, sharding, substring_dedup, toxicity, url_filter
 
+from heightline.staging import document_batches
+
+
+def _in_batches(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        document_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries():
-    return {
+    found = {
         "op1_packing": packing.op1_packing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
@@ -18,6 +31,7 @@ def queries():
         "op9_url_filters": url_filter.op9_url_filters,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
+    return {name: _in_batches(query) for name, query in found.items()}
 
 
 def oracle_sql():

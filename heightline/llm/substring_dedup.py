@@ -14,7 +14,8 @@ Texts of equal words are parsed once, for the smallest document id. Nothing is k
 
 Defined results: a null text has no words. A null doc_id is neither removed from nor a reference. Rows
 that repeat an id don't count as earlier than each other; each row gets the result for its own text.
-Words are the runs of bytes other than 0x20 and 0x09-0x0D.
+Words are the runs of bytes other than 0x20 and 0x09-0x0D; texts of any length are one row. An empty table
+gives an empty result. Columns of other names are carried by `without_duplicates`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -203,15 +204,23 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     anchors = staged(texts.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "tag", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")), "anchors")
     index = anchors.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi").select("hash", F.col("lo.doc_id").alias("ref"), F.col("lo.place").alias("at"))
+    index = staged(index, "index")  # so that a join with it can split a hash which a third of all texts have
     hits = anchors.join(index, "hash").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "ref", "at")).alias("hits"))
     parsed = staged(parse(compressed(docs.where("doc_id is not null")), hits), "parsed")
     windows = parsed.where("wa is not null")
     earliest = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi")).where("ref < hi").drop("hi")
+    earliest = staged(earliest, "earliest")
     repeated = windows.join(earliest, ["wa", "wb"]).where("doc_id > ref").select("doc_id", "tag", "start", "stop")
     spans = repeated.unionByName(parsed.where("wa is null").select("doc_id", "tag", "start", "stop")).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return rows, spans
 
 
+def _firsts(rows: DataFrame) -> DataFrame:
+    """The smallest doc_id of each wording that is long enough to lose words, where there are several."""
+    own = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
+    return staged(own.where("first < _last").drop("_last"), "firsts")
+
+
 def _kept(raw: bytes, spans) -> tuple[int, bytes]:
     split = raw.split()
     gone = covered([(s["start"], s["stop"]) for s in spans], len(split))
@@ -221,7 +230,7 @@ def _kept(raw: bytes, spans) -> tuple[int, bytes]:
 def dedup(docs: DataFrame) -> DataFrame:
     """Of each row of docs: doc_id, n_words, n_removed and the sha256 of the words that stay."""
     rows, spans = duplicate_spans(docs.select("doc_id", "text"))
-    firsts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    firsts = _firsts(rows)
     schema = extended(docs.select("doc_id"), "sha binary, n_removed long, kept string")
 
     @tidied
@@ -263,7 +272,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     white space before the next run. Other columns are carried.
     """
     rows, spans = duplicate_spans(docs.select("doc_id", "text"))
-    firsts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    firsts = _firsts(rows)
     later = rows.select("doc_id", "sha", "tag", "n_words").join(firsts, "sha").where("doc_id > first").select("doc_id", "tag", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))).alias("spans"))
     own = spans.unionByName(later).groupBy("doc_id").agg(F.collect_set(F.struct("tag", "spans")).alias("_cuts"))
     rest = [c for c in docs.columns if c != "text"]

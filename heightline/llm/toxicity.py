@@ -10,7 +10,8 @@ regression on a part of the sample that the log-odds have not seen.
 The tables of tokens and stems have 2**BITS entries each whatever the corpus; the labelled sample has at most SAMPLE rows.
 
 Defined results: null and empty texts have no segments and get the score of no evidence. Repeated rows
-stay. Columns of the input are kept; score and predicted replace columns of the same name.
+stay, and equal texts get equal scores. An empty table gives an empty result. Texts of any length are scanned
+whole. Columns of the input are kept; score and predicted replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 FEATURES = ("best", "total", "number", "share", "length")
 SLICE = 4 << 20
-BACKGROUND = 7
 
 
 @dataclass
@@ -114,9 +114,10 @@ def token_table(seen: np.ndarray, n_toxic: int, n_clean: int) -> Table:
     return Table(seen[1, :half].astype(np.float32), seen[0, :half].astype(np.float32), rate.astype(np.float32), math.log(share / (1 - share)))
 
 
-def decay(scores: np.ndarray) -> float:
-    """The positive root of E[exp(lambda s)] = 1 over scores of background tokens."""
-    excess = lambda x: float(np.exp(np.minimum(x * scores, 50)).mean()) - 1 if len(scores) else 1.0
+def decay(scores: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The positive root of E[exp(lambda s)] = 1 over scores of background tokens and how often each occurs."""
+    share = np.ones(len(scores)) if weights is None else weights.astype(float)
+    excess = lambda x: float(np.exp(np.minimum(x * scores, 50)) @ share / share.sum()) - 1 if len(scores) else 1.0
     low, high = 0.0, 1.0
     while excess(high) < 0 and high < 16:
         high *= 2
@@ -182,16 +183,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     table = token_table(seen, int(toxic[at < 0].sum()), int(clean[at < 0].sum()))
     shared = sc.broadcast(table)
 
+    places = round((CEILING - FLOOR) * 100) + 1
+
     @tidied
     def background(batches):
-        """Every BACKGROUND-th token score of the clean documents."""
+        """How often each score, to two digits, occurs among all tokens of the clean documents."""
+        seen = np.zeros(places, np.int64)
         for batch in batches:
             quiet = batch.filter(pc.equal(batch.column("label"), 0))
-            kept = [s[::BACKGROUND] for s, *_ in _scores(quiet.column("text"), shared.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept) if kept else np.empty(0), pa.float64())], ["s"])
+            for s, *_ in _scores(quiet.column("text"), shared.value):
+                seen += np.bincount(np.rint((s - FLOOR) * 100).astype(np.int64), minlength=places)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["at", "n"])
 
-    sampled = taught.where("part = 1").select("text", "label").mapInArrow(background, "s double").groupBy(F.round("s", 2).alias("s")).agg(F.count("*").alias("n")).toPandas()
-    scale = decay(np.repeat(sampled.s.to_numpy(float), np.minimum(sampled.n.to_numpy(), 1 << 20)))
+    quiet_tokens = taught.where("part = 1").select("text", "label").mapInArrow(background, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most `places` rows
+    scale = decay(FLOOR + quiet_tokens["at"].to_numpy(float) / 100, quiet_tokens["n"].to_numpy())
 
     @tidied
     def collect(batches):
@@ -213,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
     seen_by = taught.where("part = 1").select("text", "label").mapInArrow(evidenced, "label int, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
     weights = labelled.logistic(features(seen_by[list(FEATURES)].to_numpy()), (seen_by.label > 0).to_numpy(float)) if len(seen_by) else np.array([0.3, 0.3, 0.3, 0.0, 0.0, -2.0])
+    shared.destroy()  # no job reads it any more
     return Model(table, scale, log_k, weights)
 
 

@@ -12,7 +12,6 @@ from tests.llm.brute import sequences
 
 def encoded(text):
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [packing.END], "<u4")
 
 
@@ -107,3 +106,21 @@ def test_word_coder_over_small_tables():
         ends = np.cumsum(sizes)
         for t, a, b in zip(texts, ends - sizes, ends):
             assert ids[a:b].tolist() == encoded(t)[:-1].tolist()
+
+
+def test_special_tokens_of_the_library_keep_their_ids(spark, table):
+    rows = [(1, "<|endoftext|> a"), (2, "a<|endoftext|>b <|startoftext|>"), (3, "Words, and marks! 'tis É é ﬁ <|ENDOFTEXT|>")]
+    check(packing.op1_packing(spark, table(rows)).collect(), rows)
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    assert plain.encode("<|endoftext|> a", add_special_tokens=False).ids == [49407, 320]
+
+
+def test_words_encoded_apart_give_the_ids_of_whole_texts():
+    c = packing.WordCoder(public_tokenizers.path(packing.VOCABULARY), most=8)
+    assert c.folds
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["Hello, WORLD. it's don't. we'll! a1b2 x́ naïve, IJSSEL? İstanbul ... end.", "stop. Stop; 'S s 's, n't's", ""]
+    for _ in range(3):
+        ids, sizes = c.encode([t.encode() for t in texts])
+        assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        c.forget()

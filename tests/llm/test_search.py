@@ -104,3 +104,15 @@ def test_footrule_equals_its_definition():
     want = [sum(abs(own.get(x, length) - dict(zip(p.tolist(), range(length))).get(x, length)) for x in range(n)) for p in pick]
     got = permutation_index.footrule(q.astype(np.int64), places, np.full(40, length * (length + 1) // 2), length)
     assert got.tolist() == want
+
+
+def test_queries_of_another_dimension_take_no_part(spark):
+    data = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 1.0, 1.0]), (101, [3.0, 1.0]), (102, None)], "vec_id long, embedding array<double>")
+    found = permutation_index.search(data, asked, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in found] == [(101, 2), (101, 1), (101, 3)]
+
+
+def test_no_vectors_no_neighbours(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert permutation_index.search(empty, empty).count() == 0

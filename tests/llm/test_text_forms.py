@@ -169,3 +169,28 @@ def test_url_rules_of_other_kinds(spark):
 
 def test_url_empty(spark, table):
     assert url_filter.op9_url_filters(spark, table([], PAGES, "pages")).collect() == []
+
+
+def _file(cluster: bytes, info: bytes = b"") -> bytes:
+    m = matroska
+    return m.element(m.EBML, b"") + m.element(m.SEGMENT, info + m.element(m.CLUSTER, cluster))
+
+
+def test_a_block_shorter_than_its_header_is_an_error_text():
+    good = matroska.unsigned(matroska.TIMESTAMP, 0) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    for body in (b"\x81", b"\x81\x00", b"\x81\x00\x00", b"\x81\x00\x00\x06"):
+        found = matroska.parse(_file(good + matroska.element(matroska.SIMPLE_BLOCK, body)))
+        packets = found.packets()
+        assert len(packets["track"]) == 1 and found.error
+    empty = matroska.parse(_file(good + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80")))
+    assert empty.packets()["byte_size"].tolist() == [3, 0] and not empty.error
+
+
+def test_a_timestamp_beyond_64_bits_is_an_error_text():
+    late = matroska.element(matroska.TIMESTAMP, b"\xff" * 8) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    found = matroska.parse(_file(late))
+    assert found.error and not len(found.packets()["track"])
+    wide = matroska.element(matroska.TIMESTAMP, b"\x01" * 9)
+    assert matroska.parse(_file(wide)).error
+    cue = matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.element(matroska.CUE_TRACK_POSITIONS, matroska.element(matroska.CUE_CLUSTER_POSITION, b"\xff" * 8))))
+    assert not matroska.parse(_file(b"", cue)).packets()["cued"].any()

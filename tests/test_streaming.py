@@ -50,6 +50,23 @@ def test_stream_catches_up_and_skips_what_is_published(spark, tmp_path):
     assert stable_target(100, 6, 50) == 50
 
 
+def test_rows_beyond_the_stable_height_wait(spark, tmp_path):
+    data = [(1, 5, 7), (1, 50, 2), (2, 8, 1), (2, 120, 4)]
+    spark.createDataFrame(data, KIND).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = LedgerStore(spark, str(tmp_path / "s"), retention=200)
+    read = lambda: spark.readStream.schema(KIND).parquet(str(tmp_path / "in"))
+    for stable in (10, 100):
+        store.catch_up(read(), stable, str(tmp_path / "cp"))
+        assert sorted(map(tuple, store.ledger().collect())) == whole(spark, [r for r in data if r[1] <= stable])
+        assert store.tip() == stable
+    store.rollback(60)
+    store.catch_up(read(), 200, str(tmp_path / "cp"))
+    assert sorted(map(tuple, store.ledger().collect())) == whole(spark, [r for r in data if r[1] <= 60])
+    spark.createDataFrame([(2, 120, 9)], KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store.catch_up(read(), 200, str(tmp_path / "cp"))
+    assert sorted(map(tuple, store.ledger().collect())) == whole(spark, [r for r in data if r[1] <= 60] + [(2, 120, 9)])
+
+
 def test_snapshot_export_verify_install(spark, tmp_path):
     data = spark.createDataFrame([(1, 5, 3, 3), (2, 6, 1, 1), (2, 7, -1, 0)], KIND + ", balance bigint")
     commits = spark.createDataFrame([(5, "a"), (9, "b")], "height bigint, block_commit string")

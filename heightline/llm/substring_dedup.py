@@ -10,7 +10,8 @@ become duplicate spans. Windows at factor boundaries, which no factor holds whol
 64-bit hashes against the windows of all other texts that no factor holds. The first occurrence of a
 window is never inside a factor, so this finds exactly the windows that an earlier document has.
 
-Texts of equal words are parsed once, for the smallest document id. Nothing is kept per pair.
+Texts of equal words are parsed once, for the smallest document id. Nothing is kept per pair. Anchors that many
+texts share, and windows that one text repeats, are gathered before they are shuffled.
 
 Defined results: a null text has no words. A null doc_id is neither removed from nor a reference. Rows
 that repeat an id don't count as earlier than each other; each row gets the result for its own text.
@@ -27,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heightline.llm.columns import spare
 from heightline.staging import extended, staged
@@ -95,6 +97,28 @@ def profile(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def postings(texts: DataFrame) -> DataFrame:
+    """hash and entries (doc_id, place, tag) of texts (doc_id, tag, hashes, places): one row a hash and batch of
+    texts, so that an anchor which very many texts have is few rows."""
+    source = texts.select("doc_id", "tag", "hashes", "places")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    schema = StructType.fromDDL(f"hash long, entries array<struct<doc_id: {kind}, place: int, tag: int>>")
+
+    @tidied
+    def run(batches):
+        for batch in batches:
+            hashes, places = batch.column("hashes"), batch.column("places")
+            owner = np.repeat(np.arange(len(batch)), np.diff(hashes.offsets.to_numpy()))
+            flat = hashes.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(flat, kind="stable")
+            own, first = np.unique(flat[order], return_index=True)
+            owner = pa.array(owner[order])
+            entries = pa.StructArray.from_arrays([batch.column("doc_id").take(owner), places.flatten().take(pa.array(order)), batch.column("tag").take(owner)], ["doc_id", "place", "tag"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), entries)], ["hash", "entries"])
+
+    return source.mapInArrow(run, schema)
+
+
 def compressed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the zstd-compressed words of each text, so that a shuffle moves less."""
     source = docs.select("doc_id", F.col(text).alias("_text"))
@@ -126,11 +150,12 @@ def factors(places: np.ndarray, ref: np.ndarray, at: np.ndarray, every: np.ndarr
     return [(a, b) for a, b in zip(starts.tolist(), stops.tolist()) if b - a >= WINDOW]
 
 
-PARSED = "tag int, start int, stop int, wa long, wb long"
+PARSED = "tag int, wa long, wb long, spans array<struct<start: int, stop: int>>"
 
 
 def parse(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Factors (wa null) and boundary windows of each text that shares an anchor with another.
+    """Factors (wa null) and boundary windows of each text that shares an anchor with another: one row a text
+    and different window, with the spans that its places cover.
 
     texts: doc_id, packed; found: doc_id, tag and hits, an array of (place, ref, at).
     """
@@ -162,33 +187,49 @@ def parse(texts: DataFrame, found: DataFrame) -> DataFrame:
                     held[a] += 1
                     held[b - WINDOW + 1] -= 1
                 open_ = windows[np.isin(anchor, own) & (np.cumsum(held)[windows] == 0)]
-                wa, wb = grams(h, WINDOW, 2)[open_].view(np.int64), grams(h, WINDOW, 3)[open_].view(np.int64)
-                out.append((i, tag, spans, open_, wa, wb))
-                if sum(len(x[3]) + len(x[2]) for x in out) > 100_000:
+                out.append((i, tag, spans, *alike(open_, grams(h, WINDOW, 2)[open_], grams(h, WINDOW, 3)[open_])))
+                if sum(len(x[4]) + len(x[2]) for x in out) > 100_000:
                     yield _rows(keys, out)
                     out = []
             yield _rows(keys, out)
 
     def _rows(keys, out):
-        row, start, stop, wa, wb, tags = [], [], [], [], [], []
-        for i, tag, spans, open_, a, b in out:
-            n = len(spans) + len(open_)
-            row.append(np.full(n, i))
-            start.append(np.concatenate([np.array([s for s, _ in spans], np.int64), open_]))
-            stop.append(np.concatenate([np.array([e for _, e in spans], np.int64), open_ + WINDOW]))
-            wa.append(np.concatenate([np.zeros(len(spans), np.int64), a]))
-            wb.append(np.concatenate([np.zeros(len(spans), np.int64), b]))
-            tags.append(np.full(n, tag))
+        row, tags, wa, wb, gap, counts, start, stop = [], [], [], [], [], [], [], []
+        for i, tag, spans, a, b, n, s, e in out:
+            more = int(bool(spans))  # all factors of a text are one row
+            row.append(np.full(more + len(a), i))
+            tags.append(np.full(more + len(a), tag))
+            gap.append(np.arange(more + len(a)) < more)
+            wa.append(np.concatenate([np.zeros(more, np.int64), a]))
+            wb.append(np.concatenate([np.zeros(more, np.int64), b]))
+            counts.append(np.concatenate([np.full(more, len(spans)), n]))
+            start.append(np.concatenate([np.array([x for x, _ in spans], np.int64), s]))
+            stop.append(np.concatenate([np.array([x for _, x in spans], np.int64), e]))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        mask = np.concatenate([np.arange(len(s) + len(o)) < len(s) for _, _, s, o, _, _ in out]) if out else np.empty(0, bool)
+        none = join(gap, bool)
+        lists = pa.StructArray.from_arrays([pa.array(join(start, np.int32)), pa.array(join(stop, np.int32))], ["start", "stop"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(join(counts, np.int64))]).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(join(row, np.int64))), pa.array(join(tags, np.int32)), pa.array(join(start, np.int32)), pa.array(join(stop, np.int32)), pa.array(join(wa, np.int64), mask=mask), pa.array(join(wb, np.int64), mask=mask)],
+            [keys.take(pa.array(join(row, np.int64))), pa.array(join(tags, np.int32)), pa.array(join(wa, np.int64), mask=none), pa.array(join(wb, np.int64), mask=none), pa.ListArray.from_arrays(offsets, lists)],
             schema.names,
         )
 
     return joined.mapInArrow(run, schema)
 
 
+def alike(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different windows (a, b) of one text, the number of spans of each, and their starts and stops: places of
+    a window that overlap or touch are one span."""
+    order = np.lexsort((at, b, a))
+    at, a, b = at[order], a[order], b[order]
+    fresh = np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))[: len(at)]
+    first = np.flatnonzero(fresh | np.append(True, np.diff(at) > WINDOW)[: len(at)])
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    heads = np.flatnonzero(fresh)
+    counts = np.diff(np.append(np.searchsorted(first, heads), len(first)))
+    return a[heads].view(np.int64), b[heads].view(np.int64), counts, at[first], at[last] + WINDOW
+
+
 def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     held = np.zeros(n + 1, np.int64)
     for a, b in spans:
@@ -202,16 +243,18 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = staged(profile(docs), "profile")
     # One text of each wording, under its smallest id, is parsed; of the others every window recurs there.
     texts = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
-    anchors = staged(texts.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "tag", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")), "anchors")
-    index = anchors.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi").select("hash", F.col("lo.doc_id").alias("ref"), F.col("lo.place").alias("at"))
-    index = staged(index, "index")  # so that a join with it can split a hash which a third of all texts have
-    hits = anchors.join(index, "hash").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "ref", "at")).alias("hits"))
+    anchors = staged(postings(texts), "anchors")
+    index = anchors.groupBy("hash").agg(F.min(F.array_min("entries")).alias("lo"), F.max(F.array_max("entries")["doc_id"]).alias("hi")).where("lo.doc_id < hi")
+    # Written, so that a join with it can split a hash which a third of all texts have.
+    index = staged(index.select("hash", F.col("lo.doc_id").alias("ref"), F.col("lo.place").alias("at")), "index")
+    found = anchors.join(index, "hash").select(F.explode("entries").alias("e"), "ref", "at")
+    hits = found.groupBy("e.doc_id", "e.tag").agg(F.collect_list(F.struct("e.place", "ref", "at")).alias("hits"))
     parsed = staged(parse(compressed(docs.where("doc_id is not null")), hits), "parsed")
     windows = parsed.where("wa is not null")
     earliest = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi")).where("ref < hi").drop("hi")
     earliest = staged(earliest, "earliest")
-    repeated = windows.join(earliest, ["wa", "wb"]).where("doc_id > ref").select("doc_id", "tag", "start", "stop")
-    spans = repeated.unionByName(parsed.where("wa is null").select("doc_id", "tag", "start", "stop")).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    repeated = windows.join(earliest, ["wa", "wb"]).where("doc_id > ref").select("doc_id", "tag", "spans")
+    spans = repeated.unionByName(parsed.where("wa is null").select("doc_id", "tag", "spans")).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return rows, spans
 
 

@@ -148,3 +148,13 @@ def test_sketches_of_linked_sets_are_near():
         assert apart <= n + m - 2 * shared
         if 100 * shared >= 80 * (n + m - shared):
             assert n + m >= 9 * apart
+
+
+def test_places_of_one_window_are_merged():
+    at = np.array([3, 1, 2, 60, 200, 7])
+    a = np.array([5, 5, 5, 5, 5, 9], np.uint64)
+    b = np.array([1, 1, 1, 1, 1, 4], np.uint64)
+    wa, wb, counts, start, stop = substring_dedup.alike(at, a, b)
+    assert wa.tolist() == [5, 9] and wb.tolist() == [1, 4] and counts.tolist() == [3, 1]
+    assert list(zip(start.tolist(), stop.tolist())) == [(1, 53), (60, 110), (200, 250), (7, 57)]
+    assert [len(x) for x in substring_dedup.alike(at[:0], a[:0], b[:0])] == [0] * 5

@@ -25,6 +25,16 @@ def in_states(found: DataFrame, states: list[str], empty_is_all: bool = False) -
     return found.where(F.col("new_state").isin(states))
 
 
+def total(rows: DataFrame) -> DataFrame:
+    """What a page's rows are cut from."""
+    return rows.agg(F.count("*").alias("n"))
+
+
+def owners(found: DataFrame, state: str = "active") -> DataFrame:
+    """Owners of the passes in a state, each once, in order."""
+    return found.where(F.col("new_state") == state).select(F.col("new_owner").alias("owner")).distinct().orderBy("owner")
+
+
 def by_latest_event(descending: bool = True) -> list:
     return [F.desc("block_height"), F.desc("id")] if descending else [F.asc("block_height"), F.asc("id")]
 

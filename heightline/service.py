@@ -137,7 +137,10 @@ class PassService:
         return temporal.offset_page(rows, order, *validation.page(page, size))
 
     def active(self, height: int | None = None, page: int = 0, size: int = 100) -> DataFrame:  # P1
-        return self._page(events.in_states(self._snapshot(height), ["active"]), [F.asc("block_height"), F.asc("id")], page, size)
+        return self._page(events.in_states(self._snapshot(height), ["active"]), events.by_latest_event(), page, size)
+
+    def active_total(self, height: int | None = None) -> DataFrame:
+        return events.total(events.in_states(self._snapshot(height), ["active"]))
 
     def one(self, inscription: str, height: int | None = None) -> DataFrame:  # P2
         own = self.history.where(F.col("inscription_id") == inscription)
@@ -147,13 +150,22 @@ class PassService:
         return events.state_counts(self.history, self._height(height))
 
     def of_owner(self, owner: str, height: int | None = None, states: list[str] | None = None, order: str | None = None, page: int = 0, size: int = 100) -> DataFrame:  # P4
+        found = events.with_attributes(self._owned(owner, height, states), self.passes)
+        return self._page(found, events.by_latest_event(validation.descending(order, True)), page, size)
+
+    def _owned(self, owner: str, height: int | None, states: list[str] | None) -> DataFrame:
         found = self._snapshot(height).where(F.col("new_owner") == owner)
-        found = events.in_states(found, validation.states(states, STATES), empty_is_all=True)
-        return self._page(events.with_attributes(found, self.passes), events.by_mint(validation.descending(order, True)), page, size)
+        return events.in_states(found, validation.states(states, STATES), empty_is_all=True)
+
+    def of_owner_total(self, owner: str, height: int | None = None, states: list[str] | None = None) -> DataFrame:
+        return events.total(self._owned(owner, height, states))
 
     def recent(self, height: int | None = None, states: list[str] | None = None, order: str | None = None, page: int = 0, size: int = 100) -> DataFrame:  # P5
         found = events.in_states(self._snapshot(height), validation.states(states, STATES), empty_is_all=True)
-        return self._page(events.with_attributes(found, self.passes), events.by_latest_event(validation.descending(order, True)), page, size)
+        return self._page(events.with_attributes(found, self.passes), events.by_mint(validation.descending(order, True)), page, size)
+
+    def recent_total(self, height: int | None = None, states: list[str] | None = None) -> DataFrame:
+        return events.total(events.in_states(self._snapshot(height), validation.states(states, STATES), empty_is_all=True))
 
     def active_of_owner(self, owner: str, height: int | None = None) -> DataFrame:  # P6
         found = self._snapshot(height).where((F.col("new_owner") == owner) & (F.col("new_state") == "active"))
@@ -166,6 +178,10 @@ class PassService:
         down = validation.descending(order, False)
         return self._page(events.history_range(self.history, inscription, first, self._height(last)), events.by_latest_event(down), page, size)
 
+    def events_total(self, inscription: str, first: int, last: int) -> DataFrame:
+        validation.inclusive_range(first, last)
+        return events.total(events.history_range(self.history, inscription, first, self._height(last)))
+
     def energy(self, inscription: str, height: int | None = None, mode: str = "at_or_before") -> DataFrame:  # P8
         own, at = self.records.where(F.col("key") == inscription), self._height(height)
         if mode == "exact":
@@ -186,15 +202,30 @@ class PassService:
         """Stored energies, not projected ones; inclusive on both sides."""
         validation.inclusive_range(first, last)
         down = validation.descending(order, False)
-        own = self.records.where((F.col("key") == inscription) & F.col("height").between(first, self._height(last)))
-        return self._page(own, [(F.desc if down else F.asc)("height")], page, size)
+        return self._page(self._records(inscription, first, last), [(F.desc if down else F.asc)("height")], page, size)
+
+    def _records(self, inscription: str, first: int, last: int) -> DataFrame:
+        return self.records.where((F.col("key") == inscription) & F.col("height").between(first, self._height(last)))
+
+    def energy_range_total(self, inscription: str, first: int, last: int) -> DataFrame:
+        validation.inclusive_range(first, last)
+        return events.total(self._records(inscription, first, last))
 
     def invalid(self, first: int, last: int, page: int = 0, size: int = 100) -> DataFrame:  # P11
         """Invalid mints of the current table by mint height; no as-of view."""
+        return self._page(self._invalid(first, last), [F.desc("mint_block_height"), F.desc("inscription_number"), F.asc("inscription_id")], page, size)
+
+    def _invalid(self, first: int, last: int) -> DataFrame:
         validation.inclusive_range(first, last)
         current = events.with_attributes(events.snapshot(self.history, self.synced), self.passes)
-        rows = current.where((F.col("new_state") == "invalid") & F.col("mint_block_height").between(first, last))
-        return self._page(rows, events.by_mint(False), page, size)
+        return current.where((F.col("new_state") == "invalid") & F.col("mint_block_height").between(first, last))
+
+    def invalid_total(self, first: int, last: int) -> DataFrame:
+        return events.total(self._invalid(first, last))
+
+    def owners(self, height: int | None = None) -> DataFrame:
+        """Owners of active passes, each once, in order."""
+        return events.owners(self._snapshot(height))
 
     def active_balance(self, height: int) -> DataFrame:  # P12
         found = self.snapshots.where(F.col("block_height") == height)

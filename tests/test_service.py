@@ -63,14 +63,20 @@ def passes(spark):
 
 def test_passes(passes):
     ids = lambda df: [r["inscription_id"] for r in df.collect()]
-    assert ids(passes.active(8)) == ["p2", "p3"] and ids(passes.active(8, 1, 1)) == ["p3"]
+    count = lambda df: df.first()["n"]
+    # Events 2 (height 6) and 4 (height 7) made p2 and p3 active: the latest event comes first.
+    assert ids(passes.active(8)) == ["p3", "p2"] and ids(passes.active(8, 1, 1)) == ["p2"] and count(passes.active_total(8)) == 2
     assert values(passes.one("p1", 6), "new_state", "mint_block_height") == [("active", 5)] and passes.one("zz").count() == 0
     assert passes.stats().first()["active"] == 3
-    assert ids(passes.of_owner("o1")) == ["p3", "p1"] and ids(passes.of_owner("o1", states=["Dormant", " "])) == ["p1"]
-    assert ids(passes.recent(7, order="asc")) == ["p2", "p1", "p3"]
+    # By the latest event: 4 (p3) after 3 (p1).
+    assert ids(passes.of_owner("o1")) == ["p3", "p1"] and ids(passes.of_owner("o1", order="asc")) == ["p1", "p3"]
+    assert ids(passes.of_owner("o1", states=["Dormant", " "])) == ["p1"] and count(passes.of_owner_total("o1")) == 2
+    # By the mint: p1 at 5, p2 at 6, p3 at 7, though p1 has the event after p2's.
+    assert ids(passes.recent(7, order="asc")) == ["p1", "p2", "p3"] and ids(passes.recent(7)) == ["p3", "p2", "p1"] and count(passes.recent_total(7)) == 3
+    assert [r["owner"] for r in passes.owners().collect()] == ["o1", "o2"]
     assert ids(passes.active_of_owner("o2", 8)) == ["p2"]
     assert values(passes.events_of("p1", 5, 9), "id") == [(1,), (3,)]
-    assert ids(passes.invalid(0, 9)) == ["p4"]
+    assert ids(passes.invalid(0, 9)) == ["p4"] and count(passes.invalid_total(0, 9)) == 1 and count(passes.events_total("p1", 5, 9)) == 2
     for bad in (lambda: passes.active_of_owner("o2"), lambda: passes.active(99), lambda: passes.active(4), lambda: passes.recent(states=["odd"]), lambda: passes.recent(size=0), lambda: passes.active_balance(6), lambda: passes.energy("p1", mode="odd")):
         with pytest.raises(RequestError):
             bad()
@@ -78,7 +84,7 @@ def test_passes(passes):
 
 def test_energy(passes):
     assert [r["key"] for r in passes.leaderboard(8).collect()] == ["p2", "p3"]
-    assert values(passes.energy_range("p2", 5, 9), "energy") == [(7,)]
+    assert values(passes.energy_range("p2", 5, 9), "energy") == [(7,)] and passes.energy_range_total("p2", 5, 9).first()["n"] == 1
     assert passes.energy("p2", 6, "exact").count() == 1 and passes.energy("p2", 7, "exact").count() == 0
     assert passes.energy("p2", 8).first()["projected"] > 7
     assert passes.latest_active_balance().first()["total_balance"] == 30 and passes.active_balance(5).count() == 1

@@ -38,6 +38,8 @@ WINDOW = 50
 ANCHOR = 26
 SPREAD = WINDOW - ANCHOR + 1
 SLICE = 4 << 20
+#: Up to so many anchors that texts share (about 70 bytes each in memory) their index is broadcast; beyond, it is shuffled.
+BROADCAST_ANCHORS = 200_000
 
 
 def digest(raw: bytes) -> bytes:
@@ -247,7 +249,9 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = anchors.groupBy("hash").agg(F.min(F.array_min("entries")).alias("lo"), F.max(F.array_max("entries")["doc_id"]).alias("hi")).where("lo.doc_id < hi")
     # Written, so that a join with it can split a hash which a third of all texts have.
     index = staged(index.select("hash", F.col("lo.doc_id").alias("ref"), F.col("lo.place").alias("at")), "index")
-    found = anchors.join(index, "hash").select(F.explode("entries").alias("e"), "ref", "at")
+    # Few shared anchors go to every task, which spares the shuffle of all of them.
+    small = index.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    found = anchors.join(F.broadcast(index) if small else index, "hash").select(F.explode("entries").alias("e"), "ref", "at")
     hits = found.groupBy("e.doc_id", "e.tag").agg(F.collect_list(F.struct("e.place", "ref", "at")).alias("hits"))
     parsed = staged(parse(compressed(docs.where("doc_id is not null")), hits), "parsed")
     windows = parsed.where("wa is not null")

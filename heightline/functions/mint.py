@@ -26,7 +26,7 @@ def is_address(text: Column) -> Column:
 
 def is_inscription_id(text: Column) -> Column:
     """A transaction's hash, the letter i and an index of 32 bits without leading zeros."""
-    index = F.try_to_number(F.substring(text, 66, 10), F.lit("9999999999"))
+    index = F.coalesce(F.substring(text, 66, 10).try_cast("bigint"), F.lit(0))
     return text.rlike("^[0-9a-fA-F]{64}i(0|[1-9][0-9]{0,9})$") & (index <= U32_MAX)
 
 

@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heightline.operators.validation import RequestError
+from heightline.staging import discard, staged
 
 ZERO_HASH = "0" * 64
 
 
-def linearize(headers: DataFrame, canonical: DataFrame | None = None, limit: int = 10_000_000) -> DataFrame:
+def linearize(headers: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
     """Heights of blocks (block_hash, prev_hash) reached from the zero hash.
 
     The chain is walked by pointer doubling: each round doubles the steps that every block knows towards
-    the origin, so the number of shuffles is logarithmic in the length. canonical (height, block_hash)
-    decides between forks.
+    the origin, so the number of rounds is logarithmic in the length. Blocks that have reached the origin are
+    set aside, each round is staged, and blocks that lead nowhere else are left out. canonical (height,
+    block_hash) decides between forks.
     """
-    spark = headers.sparkSession
-    steps = headers.select("block_hash", F.col("prev_hash").alias("to"), F.lit(1).cast("bigint").alias("n")).persist()
-    while True:
+    steps = staged(headers.select("block_hash", F.col("prev_hash").alias("to"), F.lit(1).cast("bigint").alias("n")), "steps")
+    rooted = F.col("to") == ZERO_HASH
+    for _ in range(64):  # more only where blocks form a ring
         far = steps.select(F.col("block_hash").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
-        nxt = steps.join(far, "to", "left").select("block_hash", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")).persist()
-        moved = nxt.agg(F.max("n")).first()[0] != steps.agg(F.max("n")).first()[0]
-        steps.unpersist()
-        steps = nxt
-        if not moved:
+        moved = steps.where(~rooted).join(far, "to").select("block_hash", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"))
+        last, steps = steps, staged(steps.where(rooted).unionByName(moved), "steps")
+        discard(last)
+        if steps.where(~rooted).isEmpty():
             break
-    found = steps.where(F.col("to") == ZERO_HASH).select((F.col("n") - 1).alias("height"), "block_hash")
+    found = steps.where(rooted).select((F.col("n") - 1).alias("height"), "block_hash")
     if canonical is not None:
         named = canonical.select("height", F.col("block_hash").alias("_c"))
         found = found.join(named, "height", "left").where(F.col("_c").isNull() | (F.col("_c") == F.col("block_hash"))).drop("_c")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,27 +100,51 @@ def split(amount: Column, bps: Column) -> Column:
     return F.struct(share.alias("share"), (amount.cast(_W) - share).cast(_W).alias("rest"))
 
 
+#: Heights in one piece when the rows of a chain are numbered.
+PIECE = 65_536
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _i, their place by height from 0: places in pieces of heights, and the rows before each piece."""
+    piece = F.floor(F.col("height") / PIECE)
+    sizes = rows.groupBy(piece.alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a piece
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("height"))
+    return rows.withColumn("_p", piece).withColumn("_i", inside - 1).join(before, "_p").withColumn("_i", F.col("_i") + F.col("_before")).drop("_p", "_before")
+
+
 def rolling_before(rows: DataFrame, value: str, width: int = ACTIVITY_BLOCKS) -> DataFrame:
-    """Sum over the `width` rows before each height, itself left out. One row a block.
+    """Sum over the `width` rows before each height, itself left out, and their number. One row a block.
 
-    Rows are cut into runs of `width` heights; each run also takes the one before, so no task holds all.
+    Rows are cut into runs of `width` places; each row also goes to the run behind its own, so a run has all
+    that its rows look back on, and no task holds more than two runs.
     """
-    run = F.floor(F.col("height") / width)
-    dense = rows.select("height", F.col(value).alias("_v"), F.lit(True).alias("_own"), run.alias("_run"))
-    order = Window.partitionBy("_run").orderBy("height").rowsBetween(-width, -1)
-    counted = dense.unionByName(_earlier(rows, value, width))
-    return counted.withColumn("previous", F.coalesce(F.sum("_v").over(order), F.lit(0))).where("_own").select("height", F.col("_v").alias(value), "previous")
-
-
-def _earlier(rows: DataFrame, value: str, width: int) -> DataFrame:
-    """For each run of heights the last `width` rows before it, wherever they lie."""
-    run = F.floor(F.col("height") / width)
-    sizes = rows.groupBy(run.alias("_r")).agg(F.count("*").alias("_n"))
-    ends = sizes.withColumn("_to", F.sum("_n").over(Window.orderBy("_r")))  # a row a run
-    placed = rows.withColumn("_r", run).withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy("height"))).join(ends, "_r").withColumn("_i", F.col("_i") + F.col("_to") - F.col("_n"))
-    starts = ends.select(F.col("_r").alias("_run"), (F.col("_to") - F.col("_n")).alias("_from"))
-    near = (F.col("_i") <= F.col("_from")) & (F.col("_i") > F.col("_from") - width)
-    return placed.join(F.broadcast(starts), near).select("height", F.col(value).alias("_v"), F.lit(False).alias("_own"), "_run")
+    run = F.floor(F.col("_i") / width)
+    placed = numbered(rows.select("height", F.col(value).alias("_v")))
+    both = placed.select("height", "_v", "_i", F.explode(F.array(run, run + 1)).alias("_run"))
+    order = Window.partitionBy("_run").orderBy("_i").rowsBetween(-width, -1)
+    found = both.withColumns({"previous": F.coalesce(F.sum("_v").over(order), F.lit(0)), "samples": F.count("*").over(order)})
+    return found.where(F.col("_run") == run).select("height", F.col("_v").alias(value), "previous", "samples")
+
+
+def efficiency(now: Column, average: Column) -> Column:
+    """K in basis points from this block's energy and the window's average: 8001 to 20000, 10000 without a window."""
+    now, average = now.cast(_W), average.cast(_W)
+    part = (now + average * 5).cast(_W)
+    penalty = _floor_div((average * 60_000 + part - 1).cast(_W), F.greatest(part, F.lit(1).cast(_W)))
+    below = F.greatest(F.lit(8001).cast(_W), F.lit(20_000).cast(_W) - penalty)
+    above = F.least(F.lit(20_000).cast(_W), _floor_div((now * BPS).cast(_W), F.greatest(average, F.lit(1).cast(_W))))
+    return F.when(average == 0, BPS).when(now < average, below).otherwise(above).cast("int")
+
+
+#: Fixed values of the level table: the first step, the ratio of one step to the next, and the highest level.
+FIRST_STEP, RATIO, TOP_LEVEL = 1_000_000, Fraction(118, 100), 50
+
+
+def level_table() -> list[tuple[int, int]]:
+    """(level, least energy): rounded-up sums of a geometric series, exact."""
+    sums = [FIRST_STEP * sum(RATIO**i for i in range(level)) for level in range(TOP_LEVEL + 1)]
+    return [(level, ceil(s)) for level, s in enumerate(sums)]
 
 
 def price_at(heights: DataFrame, policy: DataFrame) -> DataFrame:

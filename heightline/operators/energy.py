@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heightline.functions import energy as E
 from heightline.schema import U64_MAX
+from heightline.staging import staged
 
 
 def by_windows(rows: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def by_fold(rows: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Windows where no sum can reach the u64 limit, the fold for the other keys."""
+    """Windows where no sum can reach the u64 limit, the fold for the other keys. rows are staged, as three passes read them."""
+    rows = staged(rows, "energy-rows")
     order = Window.partitionBy("key").orderBy("height")
     grown = E.growth(F.lag("balance").over(order), F.col("height") - F.lag("height").over(order))
     bound = rows.withColumn("_g", F.coalesce(grown, F.lit(0).cast(E.WIDE))).groupBy("key").agg(F.sum(F.col("_g").cast("double")).alias("_g"), F.max(E.penalty(F.col("delta"))).alias("_p"))

@@ -34,11 +34,21 @@ def grown(record: dict, height: int) -> int:
 class Machine:
     def __init__(self, strict: bool = False):
         self.passes: dict[str, dict] = {}
+        self.active: dict[str, dict[str, None]] = {}  # of each owner the active passes, oldest first
         self.energy: dict[str, dict] = {}
         self.balances: dict[str, tuple[int, int, int]] = {}
         self.log: list[tuple] = []
         self.strict = strict
 
+    def put(self, name: str, new: dict) -> None:
+        """Sets a pass and keeps the owners' active passes."""
+        old = self.passes.get(name)
+        if old and old["state"] == "active":
+            self.active[old["owner"]].pop(name, None)
+        self.passes[name] = new
+        if new["state"] == "active":
+            self.active.setdefault(new["owner"], {})[name] = None
+
     def note(self, height, name, kind, old, new) -> None:
         record = self.energy.get(name)
         self.log.append((len(self.log), height, name, kind, old.get("state"), new["state"], old.get("owner"), new["owner"], old.get("satpoint"), new["satpoint"], record and record["energy"]))
@@ -59,15 +69,14 @@ class Machine:
         record = self.energy[name]
         self.energy[name] = record | {"energy": grown(record, height), "state": "dormant", "height": height, "delta": record["delta"] if record["height"] == height else 0}
         old = self.passes[name]
-        self.passes[name] = old | {"state": "dormant"}
+        self.put(name, old | {"state": "dormant"})
         self.note(height, name, "state_update", old, self.passes[name])
 
     def mint(self, e, height: int) -> None:
-        for name, held in list(self.passes.items()):
-            if held["owner"] == e.owner and held["state"] == "active":
-                self.dormant(name, height)
+        for name in list(self.active.get(e.owner, ())):
+            self.dormant(name, height)
         new = {"state": "active", "owner": e.owner, "satpoint": e.satpoint}
-        self.passes[e.inscription_id] = new
+        self.put(e.inscription_id, new)
         inherited = 0
         consumed = []
         for prev in e.prev if e.prev is not None else []:
@@ -75,7 +84,7 @@ class Machine:
             if held and held["owner"] == e.owner and held["state"] == "dormant":
                 inherited = min(U64_MAX, inherited + self.energy[prev]["energy"])
                 self.energy[prev] = {"state": "consumed", "height": height, "active": height, "balance": 0, "delta": 0, "energy": 0}
-                self.passes[prev] = held | {"state": "consumed"}
+                self.put(prev, held | {"state": "consumed"})
                 consumed.append((prev, held))
         _, balance, delta = self.balances.get(e.owner, (0, 0, 0))
         self.energy[e.inscription_id] = {"state": "active", "height": height, "active": height, "balance": balance, "delta": delta, "energy": inherited}
@@ -90,13 +99,13 @@ class Machine:
         if old["state"] == "active":
             self.settle(e.inscription_id, height, True)
         if old["owner"] == e.owner:
-            self.passes[e.inscription_id] = old | {"satpoint": e.satpoint}
+            self.put(e.inscription_id, old | {"satpoint": e.satpoint})
             self.note(height, e.inscription_id, "satpoint_update", old, self.passes[e.inscription_id])
             return
         if old["state"] == "active":
             self.dormant(e.inscription_id, height)
             old = self.passes[e.inscription_id]
-        self.passes[e.inscription_id] = old | {"owner": e.owner, "satpoint": e.satpoint}
+        self.put(e.inscription_id, old | {"owner": e.owner, "satpoint": e.satpoint})
         self.note(height, e.inscription_id, "owner_transfer", old, self.passes[e.inscription_id])
 
     def burn(self, e, height: int) -> None:
@@ -107,11 +116,11 @@ class Machine:
             self.settle(e.inscription_id, height, True)
         if self.strict and e.inscription_id in self.energy:
             self.energy[e.inscription_id] |= {"state": "burned", "energy": 0, "height": height}
-        self.passes[e.inscription_id] = old | {"state": "burned"}
+        self.put(e.inscription_id, old | {"state": "burned"})
         self.note(height, e.inscription_id, "state_update", old, self.passes[e.inscription_id])
 
     def invalid_mint(self, e, height: int) -> None:
-        self.passes[e.inscription_id] = {"state": "invalid", "owner": e.owner, "satpoint": e.satpoint}
+        self.put(e.inscription_id, {"state": "invalid", "owner": e.owner, "satpoint": e.satpoint})
         self.note(height, e.inscription_id, "invalid_mint", {}, self.passes[e.inscription_id])
 
     def block(self, height: int, events: list) -> None:
@@ -123,8 +132,8 @@ class Machine:
                 moved.append(e.owner)
             else:
                 getattr(self, e.op)(e, height)
-        for name, held in self.passes.items():
-            if held["state"] == "active" and held["owner"] in moved:
+        for owner in dict.fromkeys(moved):
+            for name in self.active.get(owner, ()):
                 self.settle(name, height, False)
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heightline import service
 from heightline.functions import address, mint
 from heightline.functions import binary as B
-from heightline.operators import chain, commit, derived, energy, events, ledger, series, temporal
+from heightline.operators import chain, commit, derived, energy, events, fsm, ledger, series, temporal
+from heightline.sources import blockfiles
 from heightline.sources import testdata as T
 
 H, H2 = 1000, 400
@@ -39,8 +42,7 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance of every account over buckets of heights, carried forward."""
-    rows = _ledger(spark, sf_dir)
-    return series.timeseries(rows, rows.select("account").distinct(), START, END, SIZE)
+    return series.timeseries(_ledger(spark, sf_dir), None, START, END, SIZE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -128,14 +130,21 @@ def _(s, d):
     return count(_ledger(s, d), "ledger_rows").join(count(T.outputs(s, d), "outputs")).join(count(T.spends(s, d), "spends"))
 
 
-@query("ledger_negative_rows", "SELECT * FROM ledger WHERE balance < 0", "ledger")  # W1 assertion
+@query("ledger_negative_rows", """, bad AS (SELECT account, height, sum(delta)::BIGINT AS delta FROM (SELECT account, height, value AS delta FROM outs WHERE outpoint % 40 <> 0 UNION ALL SELECT account, height, -value FROM spends) GROUP BY account, height),
+summed AS (SELECT account, height, delta, (sum(delta) OVER (PARTITION BY account ORDER BY height ROWS UNBOUNDED PRECEDING))::BIGINT AS balance FROM bad) SELECT * FROM summed WHERE balance < 0""", "ledger")  # W1 assertion
 def _(s, d):
-    return ledger.negative_balances(_ledger(s, d))
+    """Over a ledger that lacks one output in forty, the faults planted for the check."""
+    lacking = ledger.signed_rows(T.outputs(s, d).where("outpoint % 40 <> 0"), T.spends(s, d))
+    return ledger.negative_balances(ledger.running_balance(ledger.deltas(lacking)))
 
 
-@query("ledger_verify", "SELECT account, height, 'mismatch' AS difference FROM ledger WHERE false", "ledger")  # Z18
+@query("ledger_verify", """, other AS (SELECT account, height, sum(x)::BIGINT AS delta FROM (SELECT account, height, value + CASE WHEN outpoint % 97 = 0 THEN 1 ELSE 0 END AS x FROM outs UNION ALL SELECT account, height, -value FROM spends WHERE outpoint % 89 <> 0) GROUP BY account, height)
+SELECT coalesce(l.account, o.account) AS account, coalesce(l.height, o.height) AS height, CASE WHEN o.account IS NULL THEN 'left_only' WHEN l.account IS NULL THEN 'right_only' ELSE 'mismatch' END AS difference
+FROM ledger l FULL JOIN other o ON l.account = o.account AND l.height = o.height WHERE l.account IS NULL OR o.account IS NULL OR l.delta <> o.delta""", "ledger")  # S18, Z18
 def _(s, d):
-    again = T.outputs(s, d).select("account", "height", F.col("value").alias("x")).unionByName(T.spends(s, d).select("account", "height", (-F.col("value")).alias("x"))).groupBy("account", "height").agg(F.sum("x").alias("delta"))
+    """Against a second history with wrong values and missing spends, the faults planted for the check."""
+    wrong = F.col("value") + F.when(F.col("outpoint") % 97 == 0, 1).otherwise(0)
+    again = T.outputs(s, d).select("account", "height", wrong.alias("x")).unionByName(T.spends(s, d).where("outpoint % 89 <> 0").select("account", "height", (-F.col("value")).alias("x"))).groupBy("account", "height").agg(F.sum("x").alias("delta"))
     return ledger.ledger_difference(_ledger(s, d), again, ["account", "height"], ["delta"])
 
 
@@ -164,9 +173,11 @@ def _(s, d):
     return ledger.touched_accounts(T.outputs(s, d), T.spends(s, d), START, START + 5)
 
 
-@query("double_spend_check", "SELECT outpoint, count(*) AS n FROM spends GROUP BY outpoint HAVING count(*) > 1", "ledger")  # J2
+@query("double_spend_check", "SELECT outpoint, count(*) AS n FROM (SELECT outpoint FROM spends UNION ALL SELECT outpoint FROM spends WHERE outpoint % 50 = 0) GROUP BY outpoint HAVING count(*) > 1", "ledger")  # J2
 def _(s, d):
-    return ledger.double_spends(T.spends(s, d), ["outpoint"])
+    """Over spends of which one in fifty comes twice, the faults planted for the check."""
+    spends = T.spends(s, d)
+    return ledger.double_spends(spends.unionByName(spends.where("outpoint % 50 = 0")), ["outpoint"])
 
 
 @query("addr_summary", f""", {T.sql_as_of(START - 1, "before")}, inside AS (SELECT * FROM ledger WHERE height >= {START} AND height < {END}),
@@ -189,15 +200,13 @@ m AS (SELECT account, bucket_start, arg_max(balance, height) AS b, sum(delta)::B
 SELECT account, bucket_start, bucket_end, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY account ORDER BY bucket_start ROWS UNBOUNDED PRECEDING), before.balance, 0) AS balance, coalesce(net_delta, 0) AS net_delta, coalesce(change_count, 0) AS change_count, latest_height
 FROM spine LEFT JOIN m USING (account, bucket_start) LEFT JOIN before USING (account)""", "ledger")  # A4, W3
 def _(s, d):
-    rows = _ledger(s, d)
-    return series.timeseries(rows, rows.select("account").distinct(), START, END, SIZE)
+    return series.timeseries(_ledger(s, d), None, START, END, SIZE)
 
 
 @query("addr_flow_buckets", f""", {_SPINE}, m AS (SELECT account, bucket_start, coalesce(sum(delta) FILTER (WHERE delta >= 0), 0)::BIGINT AS i, coalesce(-sum(delta) FILTER (WHERE delta < 0), 0)::BIGINT AS o, sum(delta)::BIGINT AS n, count(*) AS c FROM inside GROUP BY 1, 2)
 SELECT account, bucket_start, bucket_end, coalesce(i, 0) AS inflow, coalesce(o, 0) AS outflow, coalesce(n, 0) AS net_delta, coalesce(c, 0) AS change_count FROM spine LEFT JOIN m USING (account, bucket_start)""", "ledger")  # A5
 def _(s, d):
-    rows = _ledger(s, d)
-    return series.flows(rows, rows.select("account").distinct(), START, END, SIZE)
+    return series.flows(_ledger(s, d), None, START, END, SIZE)
 
 
 @query("batch_totals_rollup", "SELECT account, count(*) AS records, max(height) AS latest_height, sum(delta)::BIGINT AS total_delta FROM ledger GROUP BY ROLLUP (account)", "ledger")  # A16
@@ -220,11 +229,11 @@ def _(s, d):
     return temporal.missing_heights(_ledger(s, d).select("height").distinct(), 0, 2600)
 
 
-@query("rollback_replay_equality", "SELECT account, height, 'mismatch' AS difference FROM ledger WHERE false", "ledger")  # R4
+@query("rollback_replay_equality", "SELECT * FROM ledger", "ledger")  # R4
 def _(s, d):
+    """The ledger after a rollback and the replay of what came behind."""
     signed = ledger.signed_rows(T.outputs(s, d), T.spends(s, d))
-    replayed = chain.rolled_back(signed, H).unionByName(signed.where(F.col("height") > H))
-    return ledger.ledger_difference(_ledger(s, d), ledger.running_balance(ledger.deltas(replayed)), ["account", "height"], ["delta", "balance"])
+    return ledger.running_balance(ledger.deltas(chain.rolled_back(signed, H).unionByName(signed.where(F.col("height") > H))))
 
 
 _BLOCKS = "blocks AS (SELECT DISTINCT height, sha256('a' || height) AS block_hash FROM ledger), forks AS (SELECT height, CASE WHEN height > 1234 THEN sha256('b' || height) ELSE block_hash END AS block_hash FROM blocks)"
@@ -287,9 +296,11 @@ def _(s, d):
     return temporal.offset_page(found, [F.desc("mint_block_height"), F.desc("inscription_number"), F.asc("inscription_id")], 0, 30)
 
 
-@query("duplicate_active_owner", f", {T.sql_snapshot(EVENT_H)} SELECT new_owner, count(*) AS n FROM snap WHERE new_state = 'active' GROUP BY new_owner HAVING count(*) > 1", "history")  # A12
+@query("duplicate_active_owner", f", {T.sql_snapshot(EVENT_H)} SELECT 'o' || (inscription_id::BIGINT % 3) AS new_owner, count(*) AS n FROM snap WHERE new_state = 'active' GROUP BY 1 HAVING count(*) > 1", "history")  # A12
 def _(s, d):
-    return events.duplicate_owners(events.snapshot(T.history(s, d), EVENT_H))
+    """Over passes dealt to three owners, so that some have several."""
+    few = F.concat(F.lit("o"), (F.col("inscription_id").cast("bigint") % 3).cast("string"))
+    return events.duplicate_owners(events.snapshot(T.history(s, d), EVENT_H).withColumn("new_owner", few))
 
 
 @query("event_order", "SELECT *, row_number() OVER (PARTITION BY block_height ORDER BY new_owner, CASE WHEN new_state = 'active' THEN 1 ELSE 0 END, id, id, inscription_id)::INT AS event_order FROM history", "history")  # W6
@@ -298,9 +309,9 @@ def _(s, d):
     return events.canonical_order(rows).drop("height", "tx_position", "priority", "input_index", "inscription_index")
 
 
-@query("ambiguous_groups", "SELECT height, commit_outpoint, id FROM (SELECT id, block_height AS height, id % 50 AS commit_outpoint, count(*) OVER (PARTITION BY block_height, id % 50) AS n FROM history) WHERE n > 1", "history")  # A11
+@query("ambiguous_groups", "SELECT height, commit_outpoint, id FROM (SELECT id, block_height AS height, id % 3 AS commit_outpoint, count(*) OVER (PARTITION BY block_height, id % 3) AS n FROM history) WHERE n > 1", "history")  # A11
 def _(s, d):
-    rows = T.history(s, d).select("id", F.col("block_height").alias("height"), (F.col("id") % 50).alias("commit_outpoint"))
+    rows = T.history(s, d).select("id", F.col("block_height").alias("height"), (F.col("id") % 3).alias("commit_outpoint"))
     return events.ambiguous_reveals(rows).select("height", "commit_outpoint", "id")
 
 
@@ -419,20 +430,91 @@ def _(s, d):
     return T.table(s, d, "events").select("event_id", B.script_hash(B.utf8(F.col("props"))).alias("script_hash"))
 
 
-@query("mint_classify")  # X8-X12, F12
+_CONTENTS = """contents AS (
+  SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'image/png' WHEN event_id % 2 = 0 THEN 'application/json' END AS content_type,
+    CASE event_id % 12
+      WHEN 0 THEN props WHEN 1 THEN head || '"eth_main":"' || addr || '","prev":[]}'
+      WHEN 2 THEN head || '"eth_main":"' || addr || '","eth_collab":"' || addr || '","prev":["' || pass || 'i' || event_id || '"]}'
+      WHEN 3 THEN head || '"prev":[]}' WHEN 4 THEN head || '"eth_main":"0x12","prev":[]}'
+      WHEN 5 THEN head || '"eth_main":"' || addr || '","eth_collab":"nobody","prev":[]}'
+      WHEN 6 THEN head || '"eth_main":"' || addr || '","prev":["nothing"]}'
+      WHEN 7 THEN head || '"eth_main":"' || addr || '","prev":["' || pass || 'i4294967296"]}'
+      WHEN 8 THEN head || '"eth_main":"' || addr || '","prev":[1]}'
+      WHEN 9 THEN replace(head, 'usdb', 'USDB') || '"eth_main":"' || addr || '","prev":[]}'
+      WHEN 10 THEN head || 'not closed' ELSE head || '"eth_main":"' || addr || '","eth_collab":7,"prev":[]}' END AS content
+  FROM (SELECT event_id, props, '{"p":"usdb","op":"mint",' AS head, '0x' || substr(sha256(event_id::VARCHAR), 1, 40) AS addr, sha256('p' || event_id) AS pass FROM events)
+)"""
+
+
+def _contents(s, d):
+    """Contents of every kind, one for each event: no mint, valid, and invalid by each code."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    number = F.col("event_id").cast("string")
+    head, addr, name = F.lit('{"p":"usdb","op":"mint",'), F.concat(F.lit("0x"), F.substring(F.sha2(number, 256), 1, 40)), F.sha2(F.concat(F.lit("p"), number), 256)
+    main = text(head, '"eth_main":"', addr, '"')
+    kinds = [
+        F.col("props"), text(main, ',"prev":[]}'), text(main, ',"eth_collab":"', addr, '","prev":["', name, "i", number, '"]}'), text(head, '"prev":[]}'), text(head, '"eth_main":"0x12","prev":[]}'),
+        text(main, ',"eth_collab":"nobody","prev":[]}'), text(main, ',"prev":["nothing"]}'), text(main, ',"prev":["', name, 'i4294967296"]}'), text(main, ',"prev":[1]}'),
+        text(F.replace(head, F.lit("usdb"), F.lit("USDB")), '"eth_main":"', addr, '","prev":[]}'), text(head, "not closed"), text(main, ',"eth_collab":7,"prev":[]}'),
+    ]
+    content = F.get(F.array(*kinds), (F.col("event_id") % 12).cast("int"))
+    kind = F.when(F.col("event_id") % 13 == 0, "image/png").when(F.col("event_id") % 2 == 0, "application/json")
+    return T.table(s, d, "events").select("event_id", kind.alias("content_type"), content.alias("content"))
+
+
+@query("mint_classify", f"""WITH {_CONTENTS}, j AS (
+  SELECT event_id, CASE WHEN json_valid(content) AND (content_type IS NULL OR lower(content_type) IN ('text/plain;charset=utf-8', 'text/plain' || chr(39), 'application/json')) THEN content::JSON END AS c FROM contents
+), m AS (
+  SELECT event_id, c, coalesce(json_type(c) = 'OBJECT' AND json_type(c, '$.p') = 'VARCHAR' AND c->>'$.p' = 'usdb' AND json_type(c, '$.op') = 'VARCHAR' AND c->>'$.op' = 'mint', false) AS mint FROM j
+), k AS (
+  SELECT event_id, mint, CASE
+    WHEN NOT mint THEN NULL
+    WHEN coalesce(json_type(c, '$.eth_main'), '') <> 'VARCHAR' OR coalesce(json_type(c, '$.eth_collab'), 'NULL') NOT IN ('VARCHAR', 'NULL') OR coalesce(json_type(c, '$.prev'), '') <> 'ARRAY' OR len(list_filter(json_extract(c, '$.prev[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'INVALID_SCHEMA'
+    WHEN NOT regexp_full_match(c->>'$.eth_main', '0x[0-9a-fA-F]{{40}}') THEN 'INVALID_ETH_MAIN'
+    WHEN json_type(c, '$.eth_collab') = 'VARCHAR' AND NOT regexp_full_match(c->>'$.eth_collab', '0x[0-9a-fA-F]{{40}}') THEN 'INVALID_ETH_COLLAB'
+    WHEN len(list_filter(json_extract_string(c, '$.prev[*]'), lambda x: NOT regexp_full_match(x, '[0-9a-fA-F]{{64}}i(0|[1-9][0-9]*)') OR coalesce(try_cast(split_part(x, 'i', 2) AS HUGEINT) > 4294967295, true))) > 0 THEN 'INVALID_PREV_ID' END AS code
+  FROM m
+) SELECT event_id, CASE WHEN NOT mint THEN 'not_mint' WHEN code IS NULL THEN 'valid' ELSE 'invalid' END AS kind, code FROM k""")  # X8-X12, F12
 def _(s, d):
-    rows = T.table(s, d, "events").select("event_id", F.col("props").alias("content"))
-    return rows.select("event_id", mint.classify(F.col("content")).alias("m")).select("event_id", "m.kind", "m.code")
+    return _contents(s, d).select("event_id", mint.classify(F.col("content"), F.col("content_type")).alias("m")).select("event_id", "m.kind", "m.code")
+
+
+def _reversed(h: str) -> str:
+    return f"array_to_string([substr({h}, CAST(2 * k - 1 AS INT), 2) for k in range(32, 0, -1)], '')"
+
+
+def _prefixed(x: str) -> str:
+    return f"(printf('%08x', strlen({x})::INT) || hex({x}))"
+
+
+_HEX64 = "lpad(hex({}::BIGINT), 16, '0')"
 
 
-@query("delta_root_chain")  # A13, W8, H1, H2
+@query("delta_root_chain", f"""WITH RECURSIVE {T.SQL_LEDGER}, entries AS (
+  SELECT height, string_agg(h || printf('%08x', height) || {_HEX64.format("delta")} || {_HEX64.format("balance")}, '' ORDER BY h) AS e FROM (SELECT *, sha256(account::VARCHAR) AS h FROM ledger) GROUP BY height
+), roots AS (
+  SELECT height, sha256(height::VARCHAR) AS block_hash, e FROM entries
+), b AS (
+  SELECT height, block_hash, {_reversed("block_hash")} AS shown, sha256(unhex('{commit.ROOT_TAG.encode().hex()}' || printf('%08x', height) || {_reversed("block_hash")} || e)) AS root, row_number() OVER (ORDER BY height) AS n FROM roots
+), c AS (
+  SELECT n, height, block_hash, root, sha256(unhex('{commit.COMMIT_TAG.encode().hex()}' || printf('%08x', height) || shown || root || repeat('0', 64))) AS block_commit FROM b WHERE n = 1
+  UNION ALL
+  SELECT b.n, b.height, b.block_hash, b.root, sha256(unhex('{commit.COMMIT_TAG.encode().hex()}' || printf('%08x', b.height) || b.shown || b.root || c.block_commit)) FROM c JOIN b ON b.n = c.n + 1
+) SELECT height, block_hash, root AS balance_delta_root, block_commit FROM c""")  # A13, W8, H1, H2
 def _(s, d):
     rows = _ledger(s, d).select(F.sha2(F.col("account").cast("string"), 256).alias("script_hash"), "height", "delta", "balance")
     blocks = rows.select("height").distinct().withColumn("block_hash", F.sha2(F.col("height").cast("string"), 256))
     return commit.block_commits(commit.delta_roots(blocks, rows))
 
 
-@query("state_ids")  # H5, H6, H7
+_ONE, _ZERO32 = _prefixed("'1'"), "00000000"
+
+
+@query("state_ids", f"""WITH r AS (SELECT event_id AS height, sha256(props) AS hash FROM events), one AS (
+  SELECT height, sha256(unhex({_prefixed("'v1'")} || {_prefixed("'btc'")} || {_prefixed("'regtest'")} || printf('%08x', height) || {_prefixed("hash")} || '{_ZERO32}' || {_ONE} || {_ONE} || {_ONE} || {_ONE})) AS snapshot_id FROM r
+), two AS (
+  SELECT height, snapshot_id, sha256(unhex({_prefixed("'v1'")} || {_prefixed("snapshot_id")} || printf('%08x', height) || '00' || '01' || printf('%08x', height) || printf('%016x', 5) || printf('%08x', 1) || {_ONE})) AS local_state_commit FROM one
+) SELECT *, sha256(unhex({_prefixed("'v1'")} || {_prefixed("snapshot_id")} || {_prefixed("local_state_commit")})) AS system_state_id FROM two""")  # H5, H6, H7
 def _(s, d):
     rows = T.table(s, d, "events").select(F.col("event_id").alias("height"), F.sha2(F.col("props"), 256).alias("hash"))
     lit = F.lit
@@ -444,10 +526,11 @@ def _(s, d):
     return two.select("height", "snapshot_id", "local_state_commit", commit.system_state_id("v1", F.col("snapshot_id"), F.col("local_state_commit")).alias("system_state_id"))
 
 
-@query("level_from_energy", f"{_ENERGY}{_ENERGY_AT}, r AS (SELECT unnest(generate_series(0, 50))::INT AS level), t AS (SELECT level, CASE WHEN level = 0 THEN 0::HUGEINT ELSE (10000000000::HUGEINT * level * level)::HUGEINT END AS least FROM r) SELECT key, max(level)::INT AS level, (10000 - least(max(level) * 100, 5000))::INT AS factor FROM projected JOIN t ON projected >= least GROUP BY key", "ledger")  # D5
+@query("level_from_energy", f"{_ENERGY}{_ENERGY_AT}, t(level, least) AS (VALUES {', '.join(f'({a}, {b}::HUGEINT)' for a, b in derived.level_table())}) SELECT key, max(level)::INT AS level, (10000 - least(max(level) * 100, 5000))::INT AS factor FROM projected JOIN t ON projected // 100000 >= t.least GROUP BY key", "ledger")  # D5
 def _(s, d):
-    thresholds = s.range(51).select(F.col("id").cast("int").alias("level"), (F.lit(10_000_000_000).cast("decimal(20,0)") * F.col("id") * F.col("id")).alias("least"))
-    return derived.levels(_projected(s, d).select("key", "projected"), "projected", thresholds).select("key", "level", derived.difficulty_factor(F.col("level")).alias("factor"))
+    thresholds = s.createDataFrame(derived.level_table(), "level int, least bigint")
+    rows = _projected(s, d).select("key", (F.col("projected") / 100_000).cast("bigint").alias("projected"))
+    return derived.levels(rows, "projected", thresholds).select("key", "level", derived.difficulty_factor(F.col("level")).alias("factor"))
 
 
 @query("k_window", ", r AS (SELECT height, sum(delta) FILTER (WHERE delta > 0)::BIGINT AS v FROM ledger GROUP BY height) SELECT height, coalesce(sum(coalesce(v, 0)) OVER (ORDER BY height ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS previous FROM r", "ledger")  # W10
@@ -456,6 +539,93 @@ def _(s, d):
     return derived.rolling_before(rows, "v", 50).select("height", F.col("previous").cast("bigint").alias("previous"))
 
 
+@query("k_coefficient", ", r AS (SELECT height, coalesce(sum(delta) FILTER (WHERE delta > 0), 0)::BIGINT AS v FROM ledger GROUP BY height), w AS (SELECT height, v, coalesce(sum(v) OVER o, 0)::HUGEINT AS s, count(*) OVER o AS n FROM r WINDOW o AS (ORDER BY height ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)), a AS (SELECT height, v::HUGEINT AS ce, CASE WHEN n = 0 THEN 0::HUGEINT ELSE s // n END AS ae FROM w) SELECT height, CASE WHEN ae = 0 THEN 10000 WHEN ce < ae THEN greatest(8001, 20000 - (60000 * ae + ce + 5 * ae - 1) // (ce + 5 * ae)) ELSE least(20000, 10000 * ce // ae) END::INT AS k FROM a", "ledger")  # D9
+def _(s, d):
+    rows = _ledger(s, d).groupBy("height").agg(F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("delta"))), F.lit(0)).cast("bigint").alias("v"))
+    found = derived.rolling_before(rows, "v", 50)
+    average = F.when(F.col("samples") == 0, 0).otherwise(F.floor(F.col("previous") / F.greatest("samples", F.lit(1))))
+    return found.select("height", derived.efficiency(F.col("v"), average).alias("k"))
+
+
+@query("page_totals", f""", {T.sql_snapshot(EVENT_H)} SELECT 'active' AS page, count(*) AS n FROM snap WHERE new_state = 'active' UNION ALL SELECT 'owner', count(*) FROM snap WHERE new_owner = 'o14' UNION ALL SELECT 'recent', count(*) FROM snap
+UNION ALL SELECT 'invalid', count(*) FROM ({T.sql_snapshot(10**9).removeprefix("snap AS (").removesuffix(")")}) JOIN passes USING (inscription_id) WHERE new_state = 'invalid' AND mint_block_height BETWEEN 0 AND 500
+UNION ALL SELECT 'history', count(*) FROM history WHERE inscription_id = '17' AND block_height BETWEEN 10 AND {EVENT_H}""", "history")  # A8
+def _(s, d):
+    asked = service.PassService(T.history(s, d), T.passes(s, d))
+    pages = {"active": asked.active_total(EVENT_H), "owner": asked.of_owner_total("o14", EVENT_H), "recent": asked.recent_total(EVENT_H), "invalid": asked.invalid_total(0, 500), "history": asked.events_total("17", 10, EVENT_H)}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("page"), "n") for name, rows in pages.items()])
+
+
+@query("energy_page_total", f"{_ENERGY} SELECT count(*) AS n FROM energy WHERE key = {ACCOUNT} AND height BETWEEN {START} AND {END}", "ledger")  # A8
+def _(s, d):
+    return service.PassService(T.history(s, d), T.passes(s, d), _energy(s, d), synced=10**9).energy_range_total(ACCOUNT, START, END)
+
+
+@query("active_owners", f", {T.sql_snapshot(EVENT_H)} SELECT DISTINCT new_owner AS owner FROM snap WHERE new_state = 'active'", "history")  # T9
+def _(s, d):
+    return events.owners(events.snapshot(T.history(s, d), EVENT_H))
+
+
+# --- blocks decoded to a ledger, and the life of passes
+
+
+def _blocks(s, d):
+    """Orders as transactions whose lines are outputs; one spends the second output of its customer's order before it."""
+    script = F.when(F.col("l_linenumber") == 1, F.unhex(F.lit("6a01ff"))).otherwise(F.concat(F.unhex(F.lit("0014")), F.unhex(F.substring(F.sha2((F.col("l_partkey") % 50).cast("string"), 256), 1, 40))))
+    lines = T.table(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("value"), script.alias("script")).alias("o"))
+    outs = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("o")), lambda o: F.struct(o["value"].alias("value"), o["script"].alias("script"))).alias("vout"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    orders = T.table(s, d, "orders").select("o_orderkey", "o_orderdate", before.alias("_b")).join(outs, F.col("o_orderkey") == F.col("l_orderkey"))
+    vin = F.array(F.struct(F.concat(F.lit("t"), F.col("_b").cast("string")).alias("txid"), F.when(F.col("_b").isNotNull(), F.lit(1)).cast("bigint").alias("vout")))
+    tx = F.struct("o_orderkey", F.struct(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("txid"), vin.alias("vin"), "vout").alias("tx"))
+    return orders.groupBy(T.day("o_orderdate").alias("height")).agg(F.transform(F.sort_array(F.collect_list(tx)), lambda x: x["tx"]).alias("txs"))
+
+
+_DECODED = f"""WITH lines AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, value, script) - 1 AS vout, value, script
+  FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS value, CASE WHEN l_linenumber = 1 THEN '6A01FF' ELSE '0014' || upper(substr(sha256((l_partkey % 50)::VARCHAR), 1, 40)) END AS script FROM lineitem)
+), txs AS (
+  SELECT o_orderkey, date_diff('day', DATE '{T.EPOCH}', CAST(o_orderdate AS DATE))::BIGINT AS height, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders
+), outputs AS (
+  SELECT o_orderkey, vout, height, value, script, {_reversed("sha256(unhex(script))")} AS account FROM lines JOIN txs ON l_orderkey = o_orderkey WHERE script NOT LIKE '6A%'
+)"""
+
+
+@query("decoded_ledger", f"""{_DECODED}, moved AS (
+  SELECT account, height, value AS delta FROM outputs UNION ALL
+  SELECT o.account, t.height, -o.value FROM txs t JOIN outputs o ON o.o_orderkey = t.prev AND o.vout = 1 WHERE t.o_orderkey IN (SELECT l_orderkey FROM lineitem)
+), summed AS (SELECT account, height, sum(delta)::BIGINT AS delta FROM moved GROUP BY account, height)
+SELECT account, height, delta, (sum(delta) OVER (PARTITION BY account ORDER BY height ROWS UNBOUNDED PRECEDING))::BIGINT AS balance FROM summed""")  # S3, F1, F2, J1, A1
+def _(s, d):
+    vin, vout = blockfiles.decoded(_blocks(s, d))
+    outs = vout.select("txid", "vout", "height", "value", B.script_hash(F.col("script_pubkey")).alias("account"))
+    made = outs.select(F.col("txid").alias("prev_txid"), F.col("vout").alias("prev_vout"), "account", "value")
+    spends = ledger.resolved_inputs(vin, made, ["prev_txid", "prev_vout"]).where("account is not null")
+    return ledger.running_balance(ledger.deltas(ledger.signed_rows(outs, spends)))
+
+
+@query("script_registry", f"{_DECODED} SELECT account AS script_hash, lower(min(script)) AS script_pubkey, count(DISTINCT script) AS conflicts FROM outputs GROUP BY account")  # A2
+def _(s, d):
+    vout = blockfiles.decoded(_blocks(s, d))[1]
+    return ledger.script_registry(vout.select(B.script_hash(F.col("script_pubkey")).alias("script_hash"), "script_pubkey")).withColumn("script_pubkey", F.lower(F.hex("script_pubkey")))
+
+
+@query("pass_lifecycle", """, mints AS (
+  SELECT block_height, 'p' || id AS name, 'o' || (inscription_id::BIGINT % 37) AS owner, id % 2 = 0 AS names, lag('p' || id) OVER (PARTITION BY inscription_id::BIGINT % 37 ORDER BY block_height, id) AS old FROM history
+)
+SELECT block_height, old AS inscription_id, 'state_update' AS event_type, 'active' AS prev_state, 'dormant' AS new_state, owner AS new_owner FROM mints WHERE old IS NOT NULL
+UNION ALL SELECT block_height, name, 'mint', NULL, 'active', owner FROM mints
+UNION ALL SELECT block_height, old, 'state_update', 'dormant', 'consumed', owner FROM mints WHERE old IS NOT NULL AND names""", "history")  # R7, R8
+def _(s, d):
+    """Every event mints a pass for one of 37 owners; every other one names the owner's last pass as its predecessor."""
+    rows = T.history(s, d).select(F.col("block_height").alias("height"), F.col("id").cast("int").alias("event_order"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("inscription_id"), F.concat(F.lit("o"), (F.col("inscription_id").cast("bigint") % 37).cast("string")).alias("owner"))
+    old = F.lag("inscription_id").over(Window.partitionBy("owner").orderBy("height", "event_order"))
+    named = F.when((F.col("event_order") % 2 == 0) & F.col("_old").isNotNull(), F.array("_old")).otherwise(F.array().cast("array<string>"))
+    nothing = F.lit(None).cast("bigint")
+    mints = rows.withColumn("_old", old).select("height", "event_order", F.lit("mint").alias("op"), "inscription_id", "owner", named.alias("prev"), F.lit("s").alias("satpoint"), nothing.alias("balance"), nothing.alias("delta"))
+    return fsm.run(mints).select("block_height", "inscription_id", "event_type", "prev_state", "new_state", "new_owner")
+
+
 # --- derived values of the specifications
 
 
@@ -487,7 +657,7 @@ _CUSTOMERS = """WITH passes AS (
 
 
 @query("derived_raw_energy", f"""WITH RECURSIVE {T.SQL_LEDGER}, r AS (
-  SELECT account AS key, height, (balance // 100000)::HUGEINT AS units, row_number() OVER (PARTITION BY account ORDER BY height) AS n FROM ledger WHERE account % 20 = 1
+  SELECT account AS key, height, (balance // 100000)::HUGEINT AS units, row_number() OVER (PARTITION BY account ORDER BY height) AS n FROM ledger
 ), f AS (
   SELECT key, n, height, units, 0::HUGEINT AS age, 0::HUGEINT AS energy FROM r WHERE n = 1
   UNION ALL

@@ -5,20 +5,24 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the network's record magic, little-endian.
 MAGIC = 0xD9B4BEF9
+#: Blocks that leave a task at once.
+AT_ONCE = 64
 RECORDS = "file string, record_index bigint, file_offset bigint, block_hash string, prev_hash string, time bigint, payload binary"
 
 
 def records(data: bytes, key: bytes = b"", magic: int = MAGIC) -> Iterator[tuple[int, bytes]]:
     """Offset and payload of each record: magic, size, payload. Zero padding ends a file."""
     if any(key):
-        data = bytes(b ^ key[i % len(key)] for i, b in enumerate(data))
+        data = (np.frombuffer(data, np.uint8) ^ np.resize(np.frombuffer(key, np.uint8), len(data))).tobytes()
     at = 0
     while at + 8 <= len(data):
         found, size = struct.unpack_from("<II", data, at)
@@ -42,8 +46,9 @@ def read_block_files(spark: SparkSession, path: str, key: bytes = b"", magic: in
     def parse(frames):
         for frame in frames:
             for name, content in zip(frame.path, frame.content):
-                rows = [(name, i, at, hashlib.sha256(hashlib.sha256(p[:80]).digest()).digest()[::-1].hex(), p[4:36][::-1].hex(), struct.unpack_from("<I", p, 68)[0], p) for i, (at, p) in enumerate(records(content, key, magic))]
-                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORDS.split(", ")])
+                found = ((name, i, at, hashlib.sha256(hashlib.sha256(p[:80]).digest()).digest()[::-1].hex(), p[4:36][::-1].hex(), struct.unpack_from("<I", p, 68)[0], p) for i, (at, p) in enumerate(records(content, key, magic)))
+                while rows := list(islice(found, AT_ONCE)):
+                    yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORDS.split(", ")])
 
     return files.mapInPandas(parse, RECORDS)
 

@@ -69,5 +69,7 @@ def install(spark: SparkSession, staged: str, live: str, trust: str = "manifest"
             fs.delete(old, True)
         fs.rename(target, old)
     if not fs.rename(source, target):
+        if not fs.exists(target) and fs.exists(_hadoop(spark, f"{live}.previous")[0]):
+            fs.rename(_hadoop(spark, f"{live}.previous")[0], target)  # what was live is live again
         raise RequestError("SNAPSHOT_INSTALL_FAILED", live)
     return manifest | {"provenance": {"source": staged, "trust": trust}}

@@ -12,18 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _day(column: str):
+def day(column: str):
     return F.datediff(F.col(column), F.lit(EPOCH).cast("date")).cast("bigint")
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is an output to its customer, in cents, on its day."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("outpoint"), F.col("o_custkey").alias("account"), _day("o_orderdate").alias("height"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("value"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("outpoint"), F.col("o_custkey").alias("account"), day("o_orderdate").alias("height"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("value"))
 
 
 def spends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An output is spent on the first day, not before its own, on which one of its lines came back."""
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("outpoint"), _day("l_shipdate").alias("day"))
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("outpoint"), day("l_shipdate").alias("day"))
     return outputs(spark, sf_dir).join(returned, "outpoint").where("day >= height").groupBy("outpoint", "account", "value").agg(F.min("day").alias("height")).select("outpoint", "account", "height", "value")
 
 

@@ -1,7 +1,11 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from heightline.llm import quality, toxicity
+from heightline.llm import quality, text, toxicity
 from tests.llm import brute
 
 TERSE = "doc_id long, quality int, toxic int"
@@ -132,8 +136,6 @@ def test_gradients_equal_differences():
 
 
 def test_blocks_don_t_matter(monkeypatch):
-    import pyarrow as pa
-
     rng = np.random.default_rng(5)
     texts = pa.array(["".join(chr(c) for c in rng.integers(32, 120, n)) for n in (5000, 3, 70_000)] + [None, ""])
     net = quality.Network()
@@ -142,3 +144,58 @@ def test_blocks_don_t_matter(monkeypatch):
     monkeypatch.setattr(quality, "SLICE", 1000)
     assert np.allclose(whole, quality.probabilities(net, texts), atol=1e-5)
     assert whole[3] == whole[4]
+
+
+def _hash(token: bytes) -> int:
+    """One token's hash by the definition: a polynomial over its bytes, A-Z folded, and the finaliser."""
+    total = sum(int(text._FOLDED[b]) * pow(text._BASE, i, 1 << 64) for i, b in enumerate(token)) % (1 << 64)
+    return int(text.mix(np.array([total], np.uint64))[0])
+
+
+def _best(scores: list[float], at: int = 0) -> list[tuple[int, int, float]]:
+    """Maximal segments by their definition: the best one, then those on either side of it."""
+    sums = [(sum(scores[i:j]), j - i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    top = max((s for s in sums if s[0] > 0), key=lambda s: (round(s[0], 9), -s[1]), default=None)
+    if top is None:
+        return []
+    _, _, i, j = top
+    return _best(scores[:i], at) + [(at + i, at + j, top[0])] + _best(scores[j:], at + j)
+
+
+def test_toxic_scores_equal_a_plain_form(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    t, half = model.table, 64 - toxicity.BITS
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 400").orderBy("doc_id").limit(25).collect()] + [(-1, ""), (-2, None)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, whole in rows:
+        scores = []
+        for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (whole or "").encode()):
+            k, stem = _hash(token) >> half, _hash(token[: toxicity.STEM]) >> half
+            rate = float(t.rate[stem])
+            odds = math.log((float(t.toxic[k]) + toxicity.PRIOR * rate) / (float(t.clean[k]) + toxicity.PRIOR * (1 - rate))) - t.log_base
+            scores.append(min(max(odds - toxicity.DRIFT, toxicity.FLOOR), toxicity.CEILING))
+        n = max(1, len(scores))
+        found = [(b - a, model.scale * s - model.log_k - math.log(n)) for a, b, s in _best(scores)]
+        strong = [x for x in found if x[1] >= -math.log(toxicity.SIGNIFICANT)]
+        best = max((x[1] for x in found), default=-model.log_k - math.log(n))
+        features = [min(max(best, -15), 30), math.log1p(sum(x[1] for x in strong)), math.log1p(len(strong)), sum(x[0] for x in strong) / n, math.log(n)]
+        logit = sum(w * f for w, f in zip(model.weights, features)) + model.weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-3)
+
+
+def test_network_scores_equal_a_plain_form():
+    rng = np.random.default_rng(8)
+    net = quality.Network()
+    net.bias += rng.normal(0, 0.2, quality.FILTERS).astype(np.float32)
+    raw = [rng.integers(32, 120, n).astype(np.uint8).tobytes() for n in (0, 3, 255, 256, 257, 512, 513, 1500)]
+    got = quality.probabilities(net, pa.array([r.decode() for r in raw]))
+    for p, own in zip(got, raw):
+        halves = max(2, -(-len(own) // quality.HALF))
+        codes = list(own) + [quality.PAD] * (halves * quality.HALF + quality.OVERHANG - len(own))
+        chunks = []
+        for first in range(0, (halves - 1) * quality.HALF, quality.HALF):
+            windows = [net.embedding[codes[s : s + quality.WIDTH]].reshape(-1).astype(float) @ net.filters.astype(float) for s in range(first, first + quality.CHUNK, quality.STRIDE)]
+            chunks.append(np.maximum(np.max(windows, axis=0) + net.bias, 0))
+        logit = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.last.astype(float) + float(net.offset[0])
+        assert p == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)

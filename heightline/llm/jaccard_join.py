@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from heightline.llm.substring_dedup import compressed
 from heightline.llm.text import Words, buffers, grams, mix, slices, tidied, words
 from heightline.operators.graph import components
-from heightline.staging import extended, staged
+from heightline.staging import discard, extended, staged
 
 SHINGLE = 5
 BITS = 18
@@ -237,16 +237,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = lists.join(heads, "token").where(f"key <> head and {_FITS}").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     one, two = sets.select(F.col("key").alias("a"), "n", "bits"), sets.select(F.col("key").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_bits"))
     near = staged(near.join(one, "a").join(two, "b").where(_NEAR).select("a", "b"), "near")
+    discard(heads)
 
     listed = lists.select("key").distinct().join(sets.select("key", "doc_id"), "key")
     texts = staged(_packed(docs, listed), "texts")
     found = staged(checked(near, texts).unionByName(by_subset).distinct(), "links")
+    discard(ends)
 
     # Second round: lists that still hold several components, of which any two might have a link.
     of = components(found)
     placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = staged(placed.join(apart, "token").join(sets.select("key", "bits"), "key"), "open")
+    discard(lists, sets)
     kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"))
     others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"), F.col("size").alias("_size"))
     # The smaller side is laid out first; the larger one then meets it under the full condition.
@@ -255,7 +258,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = open_.select("token", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("bits").alias("_bits"))
     cross = meet.join(left, ["token", "component"]).join(right, ["token", "other"]).where(f"{_FITS} and {_NEAR}")
     rest = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    return rows, found.unionByName(staged(checked(rest, texts), "links"))
+    late = staged(checked(rest, texts), "links")
+    discard(near, texts, open_)
+    return rows, found.unionByName(late)
 
 
 def _packed(docs: DataFrame, listed: DataFrame) -> DataFrame:

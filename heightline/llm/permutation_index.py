@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heightline.llm.text import tidied
-from heightline.staging import staged
+from heightline.staging import discard, staged
 
 #: Pivots: this many times the square root of the number of vectors, within bounds.
 PIVOTS_A_ROOT = 0.6
@@ -84,6 +84,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     data, asked = sound.where(alike), usable(queries, key, column).where(alike).distinct()
     first = data.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     entries = staged(first.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "entries")
+    discard(sound)
     n = entries.count()
     count = min(MOST_PIVOTS, n, max(16, int(PIVOTS_A_ROOT * math.sqrt(n))))
     chosen = entries.select("v", F.xxhash64(F.lit(3), "v").alias("_h")).orderBy("_h", "v").limit(max(count, 1)).select("v").collect()

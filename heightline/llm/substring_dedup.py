@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from heightline.llm.columns import spare
-from heightline.staging import extended, staged
+from heightline.staging import discard, extended, staged
 from heightline.llm.text import buffers, grams, slices, tidied, words
 
 WINDOW = 50
@@ -254,6 +254,7 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = anchors.join(F.broadcast(index) if small else index, "hash").select(F.explode("entries").alias("e"), "ref", "at")
     hits = found.groupBy("e.doc_id", "e.tag").agg(F.collect_list(F.struct("e.place", "ref", "at")).alias("hits"))
     parsed = staged(parse(compressed(docs.where("doc_id is not null")), hits), "parsed")
+    discard(anchors, index)
     windows = parsed.where("wa is not null")
     earliest = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi")).where("ref < hi").drop("hi")
     earliest = staged(earliest, "earliest")

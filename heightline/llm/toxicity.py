@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from heightline.llm import labelled
 from heightline.llm.columns import others
-from heightline.staging import extended, staged
+from heightline.staging import discard, extended, staged
 from heightline.llm.text import BREAK, Words, buffers, slices, tidied, words
 
 BITS = 20
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     seen_by = taught.where("part = 1").select("text", "label").mapInArrow(evidenced, "label int, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
     weights = labelled.logistic(features(seen_by[list(FEATURES)].to_numpy()), (seen_by.label > 0).to_numpy(float)) if len(seen_by) else np.array([0.3, 0.3, 0.3, 0.0, 0.0, -2.0])
     shared.destroy()  # no job reads it any more
+    discard(taught)
     return Model(table, scale, log_k, weights)
 
 

@@ -5,7 +5,8 @@ in the inverted files of the first POSTED of them, with that order. A query read
 nearest pivots, ranks what they hold by the footrule distance between the orders, and the best ranked are
 ranked again by their true distance. The number of pivots grows with the square root of the number of
 vectors, and the files that a query reads with the number of pivots, so that the share of vectors in its
-reach does not shrink. Files are read in blocks of at most BLOCK vectors and QUERIES queries, so a file that holds a third
+reach does not shrink. A vector and a query that share several files meet in the first of the vector's
+alone, so no pair is ranked or measured twice. Files are read in blocks of at most BLOCK vectors and QUERIES queries, so a file that holds a third
 of all vectors is many tasks' work.
 
 Equal vectors are one entry with its k + 1 smallest ids, which answers any query exactly as all would, and
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from heightline.llm.text import tidied
 from heightline.staging import discard, staged
@@ -64,21 +66,27 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1).astype(np.int16)
 
 
-def footrule(query: np.ndarray, places: np.ndarray, rest: np.ndarray, length: int) -> np.ndarray:
-    """Distance of one order to many. places[j, p]: place of pivot p in order j, or `length`.
+def footrule(query: np.ndarray, places: np.ndarray, rest: np.ndarray, length: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Distance of one order to many, or to some rows of them. places[j, p]: place of pivot p in order j, or `length`.
 
     A pivot that one order lacks counts as standing at `length`; rest is what an order would cost if it
     shared no pivot with the query.
     """
-    own = places[:, query]
+    own = places[:, query] if rows is None else places[rows[:, None], query]
     shared = own < length
     at = np.arange(len(query), dtype=np.int32)[None, :]
     return np.abs(own - at).sum(1) + rest - (np.where(shared, length - own, 0)).sum(1)
 
 
+def stored_as(*tables: DataFrame, column: str) -> type:
+    """The narrowest type that holds the components of all tables exactly."""
+    return np.float32 if all(df.schema[column].dataType == ArrayType(FloatType(), df.schema[column].dataType.containsNull) for df in tables) else np.float64
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found of each query."""
     spark = vectors.sparkSession
+    exact = stored_as(vectors, queries, column=column)
     sound = staged(usable(vectors, key, column), "vectors")
     alike = F.size("v") == dimension(sound)
     data, asked = sound.where(alike), usable(queries, key, column).where(alike).distinct()
@@ -102,8 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 got = orders(x, pivots.value, max(length, taken))
                 rows = np.repeat(np.arange(len(x)), taken)
-                raw = [a.tobytes() for a in got[:, :length]]
-                vectors_ = [a.tobytes() for a in np.ascontiguousarray(x)]
+                raw = [a.tobytes() for a in got]
+                vectors_ = [a.tobytes() for a in x.astype(exact)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(got[:, :taken].reshape(-1).astype(np.int32)), batch.column("ids").take(pa.array(rows)), pa.array(raw, pa.binary()).take(pa.array(rows)), pa.array(vectors_, pa.binary()).take(pa.array(rows))],
                     ["pivot", "ids", "perm", "vec"],
@@ -127,25 +135,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
 
     def meet(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        unpack = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(side), -1)
-        perm, x, ids = unpack("perm", np.int16), unpack("vec", np.float64), table.column("ids").to_pylist()
         mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         q, v, s = [], [], []
         if len(mine) and len(theirs):
+            unpack = lambda c, rows, kind: np.frombuffer(b"".join(table.column(c).take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), -1)
+            ids = table.column("ids").to_pylist()
+            perm, wanted_perm = unpack("perm", mine, np.int16).astype(np.int64), unpack("perm", theirs, np.int16).astype(np.int64)
+            base, x = unpack("vec", mine, exact).astype(np.float64), unpack("vec", theirs, exact).astype(np.float64)
             places = np.full((len(mine), len(pivots.value)), length, np.int16)
-            np.put_along_axis(places, perm[mine].astype(np.int64), np.arange(length, dtype=np.int16)[None, :], 1)
-            rest = np.full(len(mine), length * (length + 1) // 2)
-            keep = min(len(mine), max(KEPT_LEAST, math.ceil(KEPT_SHARE * len(mine))))
-            base = x[mine]
-            for j in theirs.tolist():
-                near = footrule(perm[j].astype(np.int64), places, rest, length)
-                top = np.argpartition(near, keep - 1)[:keep] if keep < len(mine) else np.arange(len(mine))
+            np.put_along_axis(places, perm[:, :length], np.arange(length, dtype=np.int16)[None, :], 1)
+            rest = length * (length + 1) // 2
+            files_of = perm[:, :posted]
+            ahead = np.arange(posted)[None, :] < places[:, table.column("pivot")[0].as_py()][:, None]
+            for j in range(len(theirs)):
+                read = np.zeros(len(pivots.value), bool)
+                read[wanted_perm[j, :probed]] = True
+                here = np.flatnonzero(~(read[files_of] & ahead).any(1))
+                keep = min(len(here), max(KEPT_LEAST, math.ceil(KEPT_SHARE * len(mine))))
+                if not keep:
+                    continue
+                near = footrule(wanted_perm[j, :length], places, rest, length, here)
+                top = here[np.argpartition(near, keep - 1)[:keep]] if keep < len(here) else here
                 d = np.sqrt(((base[top] - x[j]) ** 2).sum(1))
                 best = np.lexsort((top, d))
                 cut = best[d[best] <= d[best[min(k, len(best) - 1)]]]  # the k + 1 nearest and what ties with the last
                 for t in cut.tolist():
                     for i in ids[mine[top[t]]]:
-                        q.append(ids[j][0])
+                        q.append(ids[theirs[j]][0])
                         v.append(i)
                         s.append(float(d[t]))
         return pa.table({"query": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})

@@ -66,16 +66,18 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1).astype(np.int16)
 
 
-def footrule(query: np.ndarray, places: np.ndarray, rest: np.ndarray, length: int, rows: np.ndarray | None = None) -> np.ndarray:
-    """Distance of one order to many, or to some rows of them. places[j, p]: place of pivot p in order j, or `length`.
+def footrule(query: np.ndarray, places: np.ndarray, rest: np.ndarray | int, length: int) -> np.ndarray:
+    """Distance of one order to many. places[j, p]: place of pivot p in order j, or `length`; columns had best be contiguous.
 
     A pivot that one order lacks counts as standing at `length`; rest is what an order would cost if it
-    shared no pivot with the query.
+    shared no pivot with the query. A shared pivot costs the distance d of its two places in place of what
+    both orders would pay for it alone, which leaves the query's place and twice what the other exceeds it by.
     """
-    own = places[:, query] if rows is None else places[rows[:, None], query]
-    shared = own < length
-    at = np.arange(len(query), dtype=np.int32)[None, :]
-    return np.abs(own - at).sum(1) + rest - (np.where(shared, length - own, 0)).sum(1)
+    at = np.arange(len(query), dtype=places.dtype)
+    over = places.T[query]
+    over -= at[:, None]
+    np.maximum(over, 0, out=over)
+    return 2 * over.sum(0, dtype=np.int32) + at.sum(dtype=np.int32) + rest - length * len(query)
 
 
 def stored_as(*tables: DataFrame, column: str) -> type:
@@ -142,8 +144,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
             ids = table.column("ids").to_pylist()
             perm, wanted_perm = unpack("perm", mine, np.int16).astype(np.int64), unpack("perm", theirs, np.int16).astype(np.int64)
             base, x = unpack("vec", mine, exact).astype(np.float64), unpack("vec", theirs, exact).astype(np.float64)
-            places = np.full((len(mine), len(pivots.value)), length, np.int16)
-            np.put_along_axis(places, perm[:, :length], np.arange(length, dtype=np.int16)[None, :], 1)
+            places = np.full((len(pivots.value), len(mine)), length, np.int16).T
+            places[np.arange(len(mine))[:, None], perm[:, :length]] = np.arange(length, dtype=np.int16)[None, :]
             rest = length * (length + 1) // 2
             files_of = perm[:, :posted]
             ahead = np.arange(posted)[None, :] < places[:, table.column("pivot")[0].as_py()][:, None]
@@ -154,7 +156,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                 keep = min(len(here), max(KEPT_LEAST, math.ceil(KEPT_SHARE * len(mine))))
                 if not keep:
                     continue
-                near = footrule(wanted_perm[j, :length], places, rest, length, here)
+                near = footrule(wanted_perm[j, :length], places, rest, length)[here]
                 top = here[np.argpartition(near, keep - 1)[:keep]] if keep < len(here) else here
                 d = np.sqrt(((base[top] - x[j]) ** 2).sum(1))
                 best = np.lexsort((top, d))

@@ -70,6 +70,12 @@ def missing_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).exceptAll(right.select(key))
 
 
+def ids_apart(primary: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
+    """Ids that one of two sources has more often than the other, as often as it does, and which one that is."""
+    parts = {"primary": missing_ids(primary, shadow, key), "shadow": missing_ids(shadow, primary, key)}
+    return parts["primary"].withColumn("only", F.lit("primary")).unionByName(parts["shadow"].withColumn("only", F.lit("shadow")))
+
+
 def sat_positions(inputs: DataFrame, outputs: DataFrame, sats: DataFrame) -> DataFrame:
     """Output of a transaction that a satoshi of one of its inputs moves to.
 

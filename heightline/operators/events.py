@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heightline.schema import STATES
@@ -113,3 +113,34 @@ def prev_resolution(mints: DataFrame, found: DataFrame) -> DataFrame:
     known = found.select(F.col("inscription_id").alias("prev_id"), "new_owner", "new_state")
     why = F.when(F.col("new_state").isNull(), "missing").when(F.col("new_owner") != F.col("owner"), "other_owner").when(F.col("new_state") != "dormant", "not_dormant").otherwise("inherited")
     return named.join(known, "prev_id", "left").select("inscription_id", "position", "prev_id", why.alias("outcome"))
+
+
+def state_code(state: Column) -> Column:
+    """The number of a state's name, whatever its case; null for names that are none."""
+    place = F.array_position(F.array(*map(F.lit, STATES)), F.lower(state))
+    return F.when(place > 0, place - 1).cast("int")
+
+
+def state_name(code: Column) -> Column:
+    """The name of a state's number, null beyond the last."""
+    return F.get(F.array(*map(F.lit, STATES)), code)
+
+
+def prev_text(prev: Column) -> Column:
+    """The predecessors of a mint as one text; none, like null, is empty."""
+    return F.coalesce(F.array_join(prev, ","), F.lit(""))
+
+
+def prev_list(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
+
+
+def compare_and_set(current: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
+    """What becomes of each update (key, expected, value; one a key): the value that stands after it and its outcome.
+
+    An update applies where the column holds what it expects, null included; else it is stale, or its key is missing.
+    """
+    held = current.select(key, F.col(column).alias("_v"), F.lit(True).alias("_known"))
+    outcome = F.when(F.col("_known").isNull(), "missing").when(F.col("_v").eqNullSafe(F.col("expected")), "applied").otherwise("stale")
+    found = updates.join(held, key, "left").withColumn("outcome", outcome)
+    return found.select(key, F.when(F.col("outcome") == "applied", F.col("value")).otherwise(F.col("_v")).alias(column), "outcome")

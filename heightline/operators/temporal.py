@@ -15,9 +15,9 @@ def in_range(ledger: DataFrame, account, start: int, end: int) -> DataFrame:
     return ledger.where((F.col("account") == account) & (F.col("height") >= start) & (F.col("height") < end))
 
 
-def latest(ledger: DataFrame) -> DataFrame:
-    """The last row of each account, zero balances included."""
-    return ledger.groupBy("account").agg(F.max_by(F.struct("height", "delta", "balance"), "height").alias("r")).select("account", "r.*")
+def latest(ledger: DataFrame, start=None) -> DataFrame:
+    """The last row of each account, zero balances included; with a start, of the accounts up to it, from where a scan goes down."""
+    return (ledger if start is None else ledger.where(F.col("account") <= start)).groupBy("account").agg(F.max_by(F.struct("height", "delta", "balance"), "height").alias("r")).select("account", "r.*")
 
 
 def as_of(ledger: DataFrame, height: int) -> DataFrame:
@@ -72,6 +72,11 @@ def missing_heights(rows: DataFrame, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1).toDF("height").join(rows.select("height"), "height", "left_anti")
 
 
+def first_missing(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """The lowest height between the bounds that has no row, null if all have one."""
+    return missing_heights(rows, first, last).agg(F.min("height").alias("height"))
+
+
 def undo_window(rows: DataFrame, tip: int, retention: int = 64) -> DataFrame:
     """Heights that can still be rolled back."""
     return rows.where(F.col("height") >= max(0, tip - (retention - 1)))

@@ -103,6 +103,11 @@ def _(s, d):
     return temporal.latest(_ledger(s, d))
 
 
+@query("ledger_latest_from", f", {T.sql_as_of(10**9)} SELECT * FROM upto WHERE account <= 60", "ledger")  # S14
+def _(s, d):
+    return temporal.latest(_ledger(s, d), 60)
+
+
 @query("ledger_traverse_at_height", f", {T.sql_as_of(H)} SELECT * FROM upto WHERE balance > 0", "ledger")  # S15
 def _(s, d):
     return temporal.holders_at(_ledger(s, d), H)
@@ -229,6 +234,11 @@ def _(s, d):
     return temporal.missing_heights(_ledger(s, d).select("height").distinct(), 0, 2600)
 
 
+@query("first_missing_height", "SELECT min(height) AS height FROM (SELECT unnest(generate_series(0, 2600))::BIGINT AS height EXCEPT SELECT height FROM ledger)", "ledger")  # Z11
+def _(s, d):
+    return temporal.first_missing(_ledger(s, d).select("height").distinct(), 0, 2600)
+
+
 @query("rollback_replay_equality", "SELECT * FROM ledger", "ledger")  # R4
 def _(s, d):
     """The ledger after a rollback and the replay of what came behind."""
@@ -328,6 +338,33 @@ def _(s, d):
     return chain.missing_ids(rows.where("id % 7 <> 0"), rows.where("id % 5 <> 0"), "id")
 
 
+@query("source_ids_apart", "SELECT id, 'primary' AS only FROM (SELECT id FROM history WHERE id % 7 <> 0 EXCEPT ALL SELECT id FROM history WHERE id % 5 <> 0) UNION ALL SELECT id, 'shadow' FROM (SELECT id FROM history WHERE id % 5 <> 0 EXCEPT ALL SELECT id FROM history WHERE id % 7 <> 0)", "history")  # U4
+def _(s, d):
+    rows = T.history(s, d)
+    return chain.ids_apart(rows.where("id % 7 <> 0"), rows.where("id % 5 <> 0"), "id")
+
+
+@query("state_codes", "SELECT id, CASE new_state WHEN 'active' THEN 0 WHEN 'dormant' THEN 1 WHEN 'consumed' THEN 2 WHEN 'burned' THEN 3 WHEN 'invalid' THEN 4 END::INT AS code, new_state AS state FROM history", "history")  # X14
+def _(s, d):
+    return T.history(s, d).select("id", events.state_code(F.upper("new_state")).alias("code")).withColumn("state", events.state_name(F.col("code")))
+
+
+@query("prev_texts", f", {T.sql_snapshot(EVENT_H)} SELECT inscription_id, CASE WHEN inscription_id::BIGINT % 5 = 0 THEN '' ELSE 'a' || inscription_id || ',b' || inscription_id END AS prev, CASE WHEN inscription_id::BIGINT % 5 = 0 THEN 0 ELSE 2 END::INT AS n FROM snap", "history")  # X13
+def _(s, d):
+    name = F.col("inscription_id")
+    prev = F.when(name.cast("bigint") % 5 != 0, F.array(F.concat(F.lit("a"), name), F.concat(F.lit("b"), name)))
+    rows = events.snapshot(T.history(s, d), EVENT_H).select("inscription_id", events.prev_text(prev).alias("prev"))
+    return rows.withColumn("n", F.size(events.prev_list(F.col("prev"))))
+
+
+@query("state_updates", f""", {T.sql_snapshot(EVENT_H)}, asked AS (SELECT inscription_id FROM passes)
+SELECT a.inscription_id, CASE WHEN new_state = 'active' THEN 'dormant' ELSE new_state END AS new_state, CASE WHEN new_state IS NULL THEN 'missing' WHEN new_state = 'active' THEN 'applied' ELSE 'stale' END AS outcome
+FROM asked a LEFT JOIN snap USING (inscription_id)""", "history")  # Z16
+def _(s, d):
+    asked = T.passes(s, d).select("inscription_id", F.lit("active").alias("expected"), F.lit("dormant").alias("value"))
+    return events.compare_and_set(events.snapshot(T.history(s, d), EVENT_H), asked, "inscription_id", "new_state")
+
+
 @query("future_rows", f"SELECT 'history' AS table_name, count(*) AS n FROM history WHERE block_height > {EVENT_H}", "history")  # F14
 def _(s, d):
     return events.future_rows({"history": T.history(s, d)}, EVENT_H)

@@ -70,3 +70,17 @@ def test_request_checks():
     with pytest.raises(validation.RequestError, match="SNAPSHOT_ID_MISMATCH"):
         validation.expected_state({"snapshot_id": "a", "system_state_id": "b"}, {"snapshot_id": "x", "system_state_id": "y"})
     assert validation.readiness({"synced": 5, "target": 9, "snapshot_height": 3}) == {"blockers": ["CATCHING_UP"], "query_ready": True, "consensus_ready": False}
+
+
+def test_updates_apply_only_to_what_they_expect(spark):
+    held = spark.createDataFrame([("a", "active"), ("b", "burned"), ("c", None)], "id string, state string")
+    asked = spark.createDataFrame([("a", "active", "dormant"), ("b", "active", "dormant"), ("c", None, "active"), ("d", None, "active")], "id string, expected string, value string")
+    got = {r["id"]: (r["state"], r["outcome"]) for r in events.compare_and_set(held, asked, "id", "state").collect()}
+    assert got == {"a": ("dormant", "applied"), "b": ("burned", "stale"), "c": ("active", "applied"), "d": (None, "missing")}
+
+
+def test_state_names_and_predecessors_as_stored(spark):
+    rows = spark.createDataFrame([("Active", 4, ["x", "y"]), ("none", 5, []), (None, None, None)], "s string, c int, p array<string>")
+    text = events.prev_text(rows["p"])
+    got = [tuple(r) for r in rows.select(events.state_code(rows["s"]), events.state_name(rows["c"]), text, events.prev_list(text)).collect()]
+    assert got == [(0, "invalid", "x,y", ["x", "y"]), (None, None, "", []), (None, None, "", [])]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,45 @@ def sat_positions(inputs: DataFrame, outputs: DataFrame, sats: DataFrame) -> Dat
     return placed.join(spans, where, "left").select(placed["*"], "vout", (F.col("position") - F.col("_from")).alias("new_offset"))
 
 
-def transfers(inputs: DataFrame, tracked: DataFrame) -> DataFrame:
-    """Inputs that spend a tracked outpoint; several passes may share one."""
-    return inputs.join(tracked, ["prev_txid", "prev_vout"])
+def tracked_moves(inputs: DataFrame, outputs: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Every move of tracked passes through a batch of blocks, also several within one block.
+
+    inputs: height, tx_index, txid, input_index, prev_txid, prev_vout, value; outputs: txid, vout, value, owner
+    (null where the script has no address); tracked: inscription_id, owner, txid, vout, offset. An outpoint is
+    spent once, so each round joins the outputs that passes lie on with the inputs that spend them and places
+    the satoshis again, until none moves. A round reads only the transactions that it touches and is staged;
+    there are as many as the longest way of one pass through the batch.
+
+    hop counts a pass's moves from 1. kind: `transfer` (same_owner says whether it came back), `burn` for an
+    output without address, `fee` past all outputs (vout null); after the last two a pass is tracked no more.
+    Several passes may share an outpoint. Repeated rows of tracked count once, and rows with a null outpoint or
+    offset never move.
+    """
+    ends = inputs.select("height", "tx_index", "txid", "input_index", F.col("prev_txid").alias("_txid"), F.col("prev_vout").alias("_vout"))
+    owners = outputs.select("txid", "vout", F.col("owner").alias("new_owner"))
+    names = ["inscription_id", "owner", "txid", "vout", "offset"]
+    lying = tracked.select(names).distinct()
+    kind = F.when(F.col("vout").isNull(), "fee").when(F.col("new_owner").isNull(), "burn").otherwise("transfer")
+    found = None
+    for hop in count(1):
+        at = lying.select("inscription_id", F.col("owner").alias("prev_owner"), F.col("txid").alias("_txid"), F.col("vout").alias("_vout"), "offset")
+        spent = staged(at.join(ends, ["_txid", "_vout"]), "spent")
+        touched = spent.select("txid").distinct()
+        placed = sat_positions(inputs.join(touched, "txid", "left_semi"), outputs.join(touched, "txid", "left_semi"), spent)
+        moved = placed.join(owners, ["txid", "vout"], "left").select(
+            "inscription_id", F.lit(hop).alias("hop"), "height", "tx_index", "input_index", kind.alias("kind"), "prev_owner", "new_owner", F.coalesce(F.col("prev_owner") == F.col("new_owner"), F.lit(False)).alias("same_owner"),
+            F.col("_txid").alias("prev_txid"), F.col("_vout").alias("prev_vout"), F.col("offset").alias("prev_offset"), "txid", "vout", F.col("new_offset").alias("offset"),
+        )
+        step = staged(moved, "moved")
+        discard(spent)
+        found = step if found is None else found.unionByName(step)
+        if step.isEmpty():
+            return found
+        lying = step.where("kind = 'transfer'").withColumn("owner", F.col("new_owner")).select(names)
+
+
+def tracked_after(tracked: DataFrame, moves: DataFrame) -> DataFrame:
+    """Where tracked passes lie behind a batch; the ones burned or lost to fees are gone."""
+    last = moves.groupBy("inscription_id").agg(F.max_by(F.struct("kind", F.col("new_owner").alias("owner"), "txid", "vout", "offset"), "hop").alias("_m"))
+    stayed = tracked.select("inscription_id", "owner", "txid", "vout", "offset").distinct().join(last, "inscription_id", "left_anti")
+    return stayed.unionByName(last.where("_m.kind = 'transfer'").select("inscription_id", "_m.owner", "_m.txid", "_m.vout", "_m.offset"))

@@ -14,6 +14,7 @@ from heightline.functions import binary as B
 from heightline.operators import chain, commit, derived, energy, events, fsm, ledger, series, temporal
 from heightline.sources import blockfiles
 from heightline.sources import testdata as T
+from heightline.staging import staged
 
 H, H2 = 1000, 400
 START, END, SIZE = 200, 1000, 100
@@ -641,6 +642,28 @@ def _(s, d):
     return ledger.running_balance(ledger.deltas(ledger.signed_rows(outs, spends)))
 
 
+@query("pass_moves", f"""WITH RECURSIVE {_DECODED.removeprefix("WITH ").replace("outputs AS (", "spans AS (SELECT l_orderkey AS tx, vout, value, script, sum(value) OVER (PARTITION BY l_orderkey ORDER BY vout) - value AS low FROM lines), outputs AS (")},
+moves AS (
+  SELECT tx AS pass, 0 AS hop, NULL::BIGINT AS height, 'transfer' AS kind, NULL::VARCHAR AS new_owner, tx, vout, (value * (tx % 97) // 97)::BIGINT AS pos FROM spans WHERE vout = 1
+  UNION ALL
+  SELECT m.pass, m.hop + 1, t.height, CASE WHEN s.tx IS NULL THEN 'fee' WHEN s.script LIKE '6A%' THEN 'burn' ELSE 'transfer' END, CASE WHEN s.script NOT LIKE '6A%' THEN s.script END, t.o_orderkey, s.vout, (m.pos - s.low)::BIGINT
+  FROM moves m JOIN txs t ON t.prev = m.tx AND m.vout = 1 AND m.kind = 'transfer' AND t.o_orderkey IN (SELECT l_orderkey FROM lineitem)
+  LEFT JOIN spans s ON s.tx = t.o_orderkey AND m.pos >= s.low AND m.pos < s.low + s.value
+)
+SELECT 'i' || pass AS inscription_id, hop, height, kind, CASE WHEN new_owner IS NOT NULL THEN {_reversed("sha256(unhex(new_owner))")} END AS new_owner, 't' || tx AS txid, vout, pos AS "offset" FROM moves WHERE hop > 0""")  # J11, R9
+def _(s, d):
+    """Every second output holds a pass, somewhere in it."""
+    blocks = _blocks(s, d)
+    tx = blocks.select(F.explode("txs").alias("tx"))
+    outs = tx.select(F.col("tx.txid").alias("txid"), F.posexplode("tx.vout").alias("vout", "o")).select("txid", F.col("vout").cast("bigint"), "o.value", F.when(~F.hex("o.script").startswith("6A"), B.script_hash(F.col("o.script"))).alias("owner"))
+    outs = staged(outs, "outputs")
+    made = outs.select(F.col("txid").alias("prev_txid"), F.col("vout").alias("prev_vout"), F.col("owner").alias("account"), "value")
+    vin = staged(ledger.resolved_inputs(blockfiles.decoded(blocks)[0], made, ["prev_txid", "prev_vout"]), "inputs")
+    key = F.substring("txid", 2, 20).cast("bigint")
+    held = outs.where("vout = 1").select(F.concat(F.lit("i"), key.cast("string")).alias("inscription_id"), "owner", "txid", "vout", F.expr("value * (cast(substring(txid, 2, 20) as bigint) % 97) div 97").alias("offset"))
+    return chain.tracked_moves(vin, outs, held).select("inscription_id", "hop", "height", "kind", "new_owner", "txid", "vout", "offset")
+
+
 @query("script_registry", f"{_DECODED} SELECT account AS script_hash, lower(min(script)) AS script_pubkey, count(DISTINCT script) AS conflicts FROM outputs GROUP BY account")  # A2
 def _(s, d):
     vout = blockfiles.decoded(_blocks(s, d))[1]

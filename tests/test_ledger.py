@@ -91,3 +91,24 @@ def test_sat_position_past_the_outputs_is_a_fee(spark):
     s = spark.createDataFrame([("t", 1, 1, "p"), ("t", 1, 5, "q")], "txid string, input_index int, offset bigint, name string")
     got = {r["name"]: (r.vout, r.new_offset) for r in chain.sat_positions(i, o, s).collect()}
     assert got == {"p": (0, 11), "q": (None, None)}
+
+
+def test_passes_move_several_times_within_a_block(spark):
+    i = spark.createDataFrame(
+        [(7, 1, "b", 0, "a", 0, 10), (7, 2, "c", 0, "z", 0, 4), (7, 2, "c", 1, "b", 1, 6), (8, 0, "d", 0, "c", 0, 8), (8, 1, "e", 0, "q", 3, 5)],
+        "height bigint, tx_index int, txid string, input_index int, prev_txid string, prev_vout bigint, value bigint",
+    )
+    o = spark.createDataFrame([("b", 0, 4, "bob"), ("b", 1, 6, "ann"), ("c", 0, 8, "bob"), ("d", 0, 3, "eve"), ("d", 1, 2, None), ("e", 0, 5, "ann")], "txid string, vout bigint, value bigint, owner string")
+    held = [("p", "ann", "a", 0, 5), ("p", "ann", "a", 0, 5), ("r", "ann", "a", 0, 9), ("s", "eve", "z", 0, 3), ("u", "ann", "a", 0, 4), ("stays", "bob", "k", 1, 0), ("odd", "bob", None, None, None)]
+    tracked = spark.createDataFrame(held, "inscription_id string, owner string, txid string, vout bigint, offset bigint")
+    moves = chain.tracked_moves(i, o, tracked)
+    got = {(r.inscription_id, r.hop): (r.height, r.txid, r.vout, r.offset, r.kind, r.new_owner, r.same_owner) for r in moves.collect()}
+    assert len(got) == moves.count()
+    assert got == {
+        ("p", 1): (7, "b", 1, 1, "transfer", "ann", True), ("p", 2): (7, "c", 0, 5, "transfer", "bob", False), ("p", 3): (8, "d", None, None, "fee", None, False),
+        ("r", 1): (7, "b", 1, 5, "transfer", "ann", True), ("r", 2): (7, "c", None, None, "fee", None, False),
+        ("u", 1): (7, "b", 1, 0, "transfer", "ann", True), ("u", 2): (7, "c", 0, 4, "transfer", "bob", False), ("u", 3): (8, "d", 1, 1, "burn", None, False),
+        ("s", 1): (7, "c", 0, 3, "transfer", "bob", False), ("s", 2): (8, "d", 1, 0, "burn", None, False),
+    }
+    assert sorted(r.inscription_id for r in chain.tracked_after(tracked, moves).collect()) == ["odd", "stays"]
+    assert chain.tracked_moves(i, o, tracked.limit(0)).count() == 0

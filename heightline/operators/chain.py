@@ -54,6 +54,39 @@ def rolled_back(rows: DataFrame, ancestor: int, column: str = "height") -> DataF
     return rows.where(F.col(column) <= ancestor)
 
 
+def upstream_drift(local: DataFrame, upstream: DataFrame, genesis: int) -> DataFrame:
+    """One row: reasons why the local state no longer follows its source, and the height to roll back to.
+
+    Both sides have a row for each height: height, block_hash, commit. Judged at the highest local height:
+    `height_regressed` if the source ends below it, `anchor_drifted` if the source ends there with another hash,
+    `commit_missing` or `commit_drifted` from genesis on. The target is the highest height with the same hash
+    and commit on both sides; it is the one before genesis if there is none, or if a local row is missing above
+    it. Without reasons, and without local rows, reasons is empty and the target null.
+    """
+    tip = local.agg(F.max("height").alias("_tip"))
+    end = upstream.agg(F.max("height").alias("_end"))
+    theirs = upstream.select("height", F.col("block_hash").alias("_hash"), F.col("commit").alias("_commit"), F.lit(True).alias("_there"))
+    ours = local.select("height", "block_hash", "commit").join(theirs, "height", "left").join(F.broadcast(tip)).join(F.broadcast(end))  # one row each
+    reachable = (F.col("height") >= genesis) & (F.col("height") <= F.least("_tip", F.coalesce("_end", F.lit(genesis - 1))))
+    same_hash, same_commit = F.col("block_hash").eqNullSafe(F.col("_hash")), F.col("commit").eqNullSafe(F.col("_commit"))
+    shared = reachable & F.col("_there").isNotNull() & same_hash & same_commit
+    found = ours.agg(
+        F.max("_tip").alias("tip"), F.max("_end").alias("end"), F.max_by(F.struct(F.coalesce("_there", F.lit(False)).alias("there"), same_hash.alias("hash"), same_commit.alias("commit")), "height").alias("at"),
+        F.max(F.when(shared, F.col("height"))).alias("last"),
+    )
+    search = F.least("tip", "end")
+    above = ours.where(reachable).select("height").distinct().join(F.broadcast(found.select("last"))).where("height > last").agg(F.count("*").alias("_above"))
+    whole = F.col("_above") == search - F.col("last")
+    owes = F.col("tip") >= genesis
+    tests = [
+        F.when(F.col("end").isNull() | (F.col("tip") > F.col("end")), "height_regressed"), F.when((F.col("tip") == F.col("end")) & ~F.col("at.hash"), "anchor_drifted"),
+        F.when(owes & ~F.col("at.there"), "commit_missing"), F.when(owes & F.col("at.there") & ~F.col("at.commit"), "commit_drifted"),
+    ]
+    named = F.when(F.col("tip").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*tests)))
+    target = F.when(F.size("reasons") > 0, F.when(whole, F.col("last")).otherwise(F.lit(genesis - 1)))
+    return found.join(F.broadcast(above)).withColumn("reasons", named).select("tip", F.col("end").alias("upstream_tip"), "reasons", target.cast("bigint").alias("rollback_to"))
+
+
 def check_rollback(tip: int, ancestor: int, retention: int) -> None:
     """Refuses a rollback beyond the undo window before anything is changed."""
     if tip - ancestor > retention:

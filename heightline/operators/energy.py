@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heightline.functions import energy as E
+from heightline.operators.validation import RequestError
 from heightline.schema import U64_MAX
 from heightline.staging import staged
 
@@ -79,3 +80,16 @@ def winner(rows: DataFrame) -> DataFrame:
 def last_write(rows: DataFrame) -> DataFrame:
     """Of several writes to one key and height the one with the highest sequence stays."""
     return rows.groupBy("key", "height").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("key", "height")]), "sequence").alias("r")).select("key", "height", "r.*")
+
+
+def reconciled(records: DataFrame, passes_synced: int, synced: int | None, pending: int | None = None) -> tuple[DataFrame, int]:
+    """Energy records that stay, and their synced height, once the passes stand at `passes_synced`.
+
+    A pending height was left by a block that never ended: its records and later ones go. So do all beyond the
+    passes. Energy that is behind the passes can't be mended by truncation and raises; without a synced height
+    the passes' one is taken. records: block_height; a record without one is left out.
+    """
+    if synced is not None and synced < passes_synced:
+        raise RequestError("ENERGY_BEHIND_PASSES", f"{synced} < {passes_synced}")
+    bound = passes_synced if pending is None else min(passes_synced, pending - 1)
+    return records.where(F.col("block_height") <= bound), passes_synced

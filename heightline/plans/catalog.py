@@ -801,6 +801,24 @@ def _(s, d):
 # --- undo, minting and address texts
 
 
+@query("upstream_drift", """, ours AS (SELECT r.height, 'h' || r.height AS block_hash, coalesce(sum(value), 0)::BIGINT::VARCHAR AS commit FROM (SELECT unnest(range(0, (SELECT max(height) + 1 FROM outs))) AS height) r LEFT JOIN outs USING (height) GROUP BY r.height),
+theirs AS (SELECT height, CASE WHEN height % 400 = 399 THEN 'other' ELSE block_hash END AS block_hash, CASE WHEN height >= 1200 THEN commit || 'x' ELSE commit END AS commit FROM ours WHERE height <= (SELECT max(height) - 3 FROM ours)),
+shared AS (SELECT max(height) AS last FROM ours JOIN theirs USING (height, block_hash, commit)),
+tips AS (SELECT (SELECT max(height) FROM ours) AS tip, (SELECT max(height) FROM theirs) AS upstream_tip)
+SELECT tip, upstream_tip, 'height_regressed,commit_missing' AS reasons, CASE WHEN (SELECT count(*) FROM ours WHERE height > last AND height <= upstream_tip) = upstream_tip - last THEN last ELSE -1 END::BIGINT AS rollback_to FROM tips, shared""", "ledger")  # R10
+def _(s, d):
+    """Against a source that ends three heights before and has other commits from height 1200 on."""
+    outs = T.outputs(s, d)
+    heights = outs.agg(F.max("height").alias("_m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "_m")).alias("height"))
+    sums = outs.groupBy("height").agg(F.sum("value").cast("bigint").alias("_v"))
+    ours = heights.join(sums, "height", "left").select("height", F.concat(F.lit("h"), F.col("height").cast("string")).alias("block_hash"), F.coalesce("_v", F.lit(0)).cast("string").alias("commit"))
+    hashed = F.when(F.col("height") % 400 == 399, "other").otherwise(F.col("block_hash")).alias("block_hash")
+    committed = F.when(F.col("height") >= 1200, F.concat("commit", F.lit("x"))).otherwise(F.col("commit")).alias("commit")
+    end = F.broadcast(ours.agg((F.max("height") - 3).alias("_end")))  # one row
+    theirs = ours.join(end).where("height <= _end").select("height", hashed, committed)
+    return chain.upstream_drift(ours, theirs, 0).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("undo_bundle", f""", rows AS (
   SELECT height, account, outpoint AS created, NULL::BIGINT AS spent FROM outs WHERE height BETWEEN {H - 20} AND {H}
   UNION ALL SELECT height, account, NULL, outpoint FROM spends WHERE height BETWEEN {H - 20} AND {H}

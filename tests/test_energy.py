@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from heightline.operators import energy
+from heightline.operators.validation import RequestError
 from heightline.schema import U64_MAX
 
 
@@ -60,3 +63,12 @@ def test_leaderboard_order_and_winner(spark):
 def test_last_write_wins(spark):
     df = spark.createDataFrame([("a", 1, 0, 5), ("a", 1, 1, 7)], "key string, height bigint, sequence int, energy bigint")
     assert energy.last_write(df).first().energy == 7
+
+
+def test_energy_records_follow_the_passes(spark):
+    rows = spark.createDataFrame([(h,) for h in (1, 5, 6, 7, None)], "block_height bigint")
+    kept = lambda *a: sorted(r[0] for r in energy.reconciled(rows, *a)[0].collect())
+    assert kept(6, 7) == [1, 5, 6] and kept(6, 6, 6) == [1, 5] and kept(9, 9) == [1, 5, 6, 7] and kept(5, 7, 7) == [1, 5] and kept(5, None) == [1, 5]
+    assert energy.reconciled(rows, 6, 9)[1] == 6
+    with pytest.raises(RequestError, match="ENERGY_BEHIND_PASSES"):
+        energy.reconciled(rows, 5, 4)

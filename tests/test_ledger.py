@@ -112,3 +112,22 @@ def test_passes_move_several_times_within_a_block(spark):
     }
     assert sorted(r.inscription_id for r in chain.tracked_after(tracked, moves).collect()) == ["odd", "stays"]
     assert chain.tracked_moves(i, o, tracked.limit(0)).count() == 0
+
+
+def test_upstream_drift(spark):
+    ddl = "height bigint, block_hash string, commit string"
+
+    def judged(ours, theirs, genesis=1):
+        r = chain.upstream_drift(spark.createDataFrame(ours, ddl), spark.createDataFrame(theirs, ddl), genesis).first()
+        return r.reasons, r.rollback_to
+
+    ours = [(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]
+    assert judged(ours, ours) == ([], None)
+    assert judged(ours, [*ours, (4, "d", "w")]) == ([], None)
+    assert judged(ours, ours[:2]) == (["height_regressed", "commit_missing"], 2)
+    assert judged(ours, [*ours[:2], (3, "q", "z")]) == (["anchor_drifted"], 2)
+    assert judged(ours, [ours[0], (2, "b", "n"), (3, "c", "n")]) == (["commit_drifted"], 1)
+    assert judged(ours, [(h, "q", "q") for h in (1, 2, 3, 4)]) == (["commit_drifted"], 0)
+    assert judged([ours[0], ours[2]], [ours[0], ours[1], (3, "q", "z")]) == (["anchor_drifted"], 0)
+    assert judged(ours, []) == (["height_regressed", "commit_missing"], 0)
+    assert judged([], ours) == ([], None)

@@ -12,7 +12,7 @@ from heightline import service
 from heightline.functions import address, mint
 from heightline.functions import binary as B
 from heightline.operators import chain, commit, derived, energy, events, fsm, ledger, series, temporal
-from heightline.sources import blockfiles
+from heightline.sources import blockfiles, envelopes
 from heightline.sources import testdata as T
 from heightline.staging import staged
 
@@ -819,6 +819,23 @@ def _(s, d):
     return chain.upstream_drift(ours, theirs, 0).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query("envelope_inscriptions", f"""SELECT 't' || o_orderkey || 'i' || k AS inscription_id, k::INT AS inscription_number, 'text/plain' AS content_type, o_orderpriority || ' ' || k AS content_string
+FROM orders, (SELECT unnest([0, 1]) AS k) WHERE o_orderkey % 3 > 0 AND k <= o_orderkey % 2""")  # S10
+def _(s, d):
+    """Every third order has a witness without an envelope, every second one of the others two envelopes."""
+    hexed = lambda text: F.unhex(F.lit(text))
+
+    def envelope(k):
+        body = F.concat(F.col("o_orderpriority"), F.lit(f" {k}")).cast("binary")
+        return F.concat(F.lit(envelopes.OPENING), hexed("01010A"), F.lit(b"text/plain"), hexed("00"), F.unhex(F.lpad(F.hex(F.length(body)), 2, "0")), body, hexed("68"))
+
+    key = F.col("o_orderkey")
+    script = F.when(key % 3 == 0, hexed("51AC")).when(key % 2 == 1, F.concat(envelope(0), envelope(1))).otherwise(envelope(0))
+    witness = F.array(hexed("AA"), script, hexed("C0"))
+    inputs = T.table(s, d, "orders").select(T.day("o_orderdate").alias("height"), F.lit(0).alias("tx_index"), F.concat(F.lit("t"), key.cast("string")).alias("txid"), F.lit(0).alias("input_index"), witness.alias("witness"))
+    return envelopes.read_envelopes(inputs).drop("height", "tx_index")
+
+
 @query("undo_bundle", f""", rows AS (
   SELECT height, account, outpoint AS created, NULL::BIGINT AS spent FROM outs WHERE height BETWEEN {H - 20} AND {H}
   UNION ALL SELECT height, account, NULL, outpoint FROM spends WHERE height BETWEEN {H - 20} AND {H}

@@ -38,8 +38,9 @@ RATE = 4e-3
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 SLICE = 1 << 20
-#: Halves convolved at once, which bounds memory on texts of any length.
-BLOCK = 1024
+#: Halves convolved at once, which bounds memory on texts of any length. Every block has this one shape, the
+#: last one padded: a matrix product may sum in another order for another shape, and then equal texts differ.
+BLOCK = 256
 PAD = 256
 
 
@@ -85,8 +86,9 @@ class Network:
             return both.max(1), both.argmax(1)
         out = np.empty((n, FILTERS), np.float32)
         for a in range(0, n, BLOCK):
-            b = min(n, a + BLOCK)
-            out[a:b] = np.maximum(*(phase.max(1) for phase in self._phases(codes, a, b)))
+            own = codes[a : a + BLOCK]
+            full = own if len(own) == BLOCK else np.concatenate([own, np.full((BLOCK - len(own), HALF + OVERHANG), PAD, np.int16)])
+            out[a : a + BLOCK] = np.maximum(*(phase.max(1) for phase in self._phases(full, 0, BLOCK)))[: len(own)]
         return out
 
     def _phases(self, codes: np.ndarray, a: int, b: int) -> list[np.ndarray]:
@@ -107,7 +109,7 @@ class Network:
         starts = np.cumsum(counts) - counts
         mean = np.add.reduceat(active, starts) / counts[:, None]
         top = np.maximum.reduceat(active, starts)
-        logit = np.concatenate([mean, top], 1) @ self.last + self.offset[0]
+        logit = (np.concatenate([mean, top], 1) * self.last).sum(1) + self.offset[0]  # by rows, each alike in any batch
         return labelled.sigmoid(logit.astype(np.float64)), (best, place, inside, active, counts, starts, mean, top)
 
     def gradients(self, codes: np.ndarray, halves: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:

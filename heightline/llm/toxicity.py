@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         m = shared.value
         for batch in batches:
             found = np.array([evidence(s, m.scale, m.log_k)[:5] for s, *_ in _scores(batch.column(len(kept)), m.table)]).reshape(-1, 5)
-            p = labelled.sigmoid(features(found) @ m.weights[:-1] + m.weights[-1])
+            p = labelled.sigmoid((features(found) * m.weights[:-1]).sum(1) + m.weights[-1])  # by rows, each alike in any batch
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     return source.mapInArrow(run, extended(docs.select(*kept), "score double, predicted int"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from heightline.llm import byte_bpe, jaccard_join, matroska, packing, permutation_index, quality, sharding, substring_dedup, toxicity, url_filter
-
+from heightline.llm import byte_bpe, collocation, jaccard_join, matroska, mixing, packing, permutation_index, quality, sharding, substring_dedup, toxicity, url_filter, vector_codes
 from heightline.staging import document_batches
 
 
@@ -30,9 +29,19 @@ def queries():
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_url_filters": url_filter.op9_url_filters,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_source_mixing": mixing.op12_source_mixing,
+        "op13_collocations": collocation.op13_collocations,
     }
     return {name: _in_batches(query) for name, query in found.items()}
 
 
 def oracle_sql():
-    return {"op7_substring_dedup": substring_dedup.ORACLE, "op9_url_filters": url_filter.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+    return {
+        "op7_substring_dedup": substring_dedup.ORACLE,
+        "op9_url_filters": url_filter.ORACLE,
+        "op10_jaccard_join": jaccard_join.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
+        "op12_source_mixing": mixing.ORACLE,
+        "op13_collocations": collocation.ORACLE,
+    }

@@ -2,57 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heightline.functions import energy as E
+from heightline.operators import clamp
+from heightline.operators.pieces import nearest
 from heightline.operators.validation import RequestError
-from heightline.schema import U64_MAX
 from heightline.staging import staged
 
 
-def by_windows(rows: DataFrame) -> DataFrame:
-    """Closed form for keys that never saturate: a running sum reflected at zero.
+def records(rows: DataFrame) -> DataFrame:
+    """The energy of a key after each of its rows, bounds included; the first row of a key is its seed with energy 0.
 
-    rows: key, height, balance, delta; the first row of a key is its seed with energy 0.
+    rows: key, height, balance, delta; staged, as several passes read them. Keys of any length are taken in pieces of heights.
     """
-    order = Window.partitionBy("key").orderBy("height")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    grown = E.growth(F.lag("balance").over(order), F.col("height") - F.lag("height").over(order))
-    step = F.when(F.lag("height").over(order).isNull(), F.lit(0).cast(E.WIDE)).otherwise(grown - E.penalty(F.col("delta")))
-    sums = rows.withColumn("_step", step.cast(E.WIDE)).withColumn("_s", F.sum("_step").over(upto).cast(E.WIDE))
-    active = F.coalesce(F.last(F.when(F.col("delta") < 0, F.col("height")), ignorenulls=True).over(upto), F.first("height").over(upto))
-    return sums.select("key", "height", "balance", "delta", active.alias("active_height"), (F.col("_s") - F.least(F.min("_s").over(upto), F.lit(0).cast(E.WIDE))).cast("decimal(20,0)").alias("energy"))
-
-
-def by_fold(rows: DataFrame) -> DataFrame:
-    """Ordered fold of each key with clamps at every step; for the few keys that may saturate."""
-    kind = "struct<height:bigint,balance:bigint,delta:bigint,active:bigint,energy:decimal(38,0)>"
-    first = F.lit(None).cast(f"array<{kind}>")
-
-    def step(acc, row):
-        last = F.element_at(acc, -1)
-        next_ = F.struct(
-            row["height"].alias("height"), row["balance"].alias("balance"), row["delta"].alias("delta"),
-            F.when(row["delta"] < 0, row["height"]).otherwise(last["active"]).alias("active"),
-            E.settled(last["energy"], last["balance"], last["active"], last["height"], row["height"], row["delta"]).cast("decimal(38,0)").alias("energy"),
-        )
-        seed = F.struct(row["height"].alias("height"), row["balance"].alias("balance"), row["delta"].alias("delta"), row["height"].alias("active"), F.lit(0).cast("decimal(38,0)").alias("energy"))
-        return F.when(acc.isNull(), F.array(seed).cast(f"array<{kind}>")).otherwise(F.concat(acc, F.array(next_)).cast(f"array<{kind}>"))
-
-    listed = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("height", "balance", "delta"))).alias("rows"))
-    folded = listed.select("key", F.explode(F.aggregate("rows", first, step)).alias("r"))
-    return folded.select("key", "r.height", "r.balance", "r.delta", F.col("r.active").alias("active_height"), F.col("r.energy").cast("decimal(20,0)").alias("energy"))
-
-
-def records(rows: DataFrame) -> DataFrame:
-    """Windows where no sum can reach the u64 limit, the fold for the other keys. rows are staged, as three passes read them."""
     rows = staged(rows, "energy-rows")
-    order = Window.partitionBy("key").orderBy("height")
-    grown = E.growth(F.lag("balance").over(order), F.col("height") - F.lag("height").over(order))
-    bound = rows.withColumn("_g", F.coalesce(grown, F.lit(0).cast(E.WIDE))).groupBy("key").agg(F.sum(F.col("_g").cast("double")).alias("_g"), F.max(E.penalty(F.col("delta"))).alias("_p"))
-    wide = bound.where((F.col("_g") >= 0.99 * U64_MAX) | (F.col("_p") >= F.lit(str(U64_MAX)).cast(E.WIDE))).select("key")
-    return by_windows(rows.join(wide, "key", "left_anti")).unionByName(by_fold(rows.join(wide, "key", "left_semi")))
+    own = {"_last": F.struct("height", "balance"), "_drop": F.when(F.col("delta") < 0, F.col("height"))}
+    seen = nearest(rows, ["key"], ["height"], own)
+    firsts = rows.groupBy("key").agg(F.min("height").alias("_first"))
+    known = seen.join(firsts, "key")
+    active = F.coalesce("_drop", "_first")  # before this row
+    grown = E.increase(F.col("_last.balance"), active, F.col("_last.height"), F.col("height"))
+    seed = F.col("_last").isNull()
+    steps = known.select(
+        "key", "height", "balance", "delta", F.when((F.col("delta") < 0) & ~seed, F.col("height")).otherwise(active).alias("active_height"),
+        F.when(seed, E.wide(0)).otherwise(grown).alias("up"), F.when(seed, E.wide(0)).otherwise(E.penalty(F.col("delta"))).alias("down"),
+    )
+    made = clamp.prefixes(steps, ["key"], ["height"])
+    return made.select("key", "height", "balance", "delta", "active_height", clamp.applied(F.col("f"), E.wide(0)).cast("decimal(20,0)").alias("energy"))
 
 
 def as_of(records_: DataFrame, height: int) -> DataFrame:

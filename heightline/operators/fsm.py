@@ -1,158 +1,223 @@
-"""The pass state machine with its energy, folded in canonical order.
+"""The pass state machine with its energy, as joins and looks along heights; no group holds a component, a pass or an owner.
 
-Passes and owners that ever meet form components of the owner-pass graph; different components never
-touch, so each is folded by itself. Within one the machine is sequential by its nature.
+What ends a pass's active time is known from three heights alone: its owner's next mint, its first move to another owner, its burning.
+Who owned it when follows from its own moves. So which mint consumes it is a join of mints' predecessors with both, and states
+need no replay. Where a mint must be refused as a whole for one bad predecessor, validity is guessed and derived again
+until no guess changes: a decision hangs on earlier ones alone, so every round settles at least the first wrong one, and mostly all.
+
+Energy is one clamped function of what a pass inherits (`clamp`), made of its owner's balance rows in its active time.
+Inheritance is a forest: a consumed pass hands its energy to one mint. Rounds resolve it from both ends: passes whose predecessors
+are known hand on their value, and passes with one unknown predecessor jump over it, which halves chains.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heightline.functions.energy import GROWTH, PENALTY, THRESHOLD
-from heightline.operators.graph import components
-from heightline.schema import U64_MAX
+from heightline.functions import energy as E
+from heightline.operators import clamp
+from heightline.operators.pieces import nearest
+from heightline.staging import discard, staged
 
 #: events: height, event_order, op (mint, invalid_mint, transfer, burn, balance), inscription_id, owner,
-#: prev, satpoint, balance, delta.
-LOG = "component string, sequence bigint, block_height bigint, inscription_id string, event_type string, prev_state string, new_state string, prev_owner string, new_owner string, prev_satpoint string, new_satpoint string, energy decimal(20,0)"
-_RANK = {"balance": 0, "mint": 1, "transfer": 1, "burn": 1, "invalid_mint": 2}
-
-
-def growth(balance: int, blocks: int) -> int:
-    return 0 if balance < THRESHOLD else min(U64_MAX, balance * GROWTH * blocks)
-
-
-def grown(record: dict, height: int) -> int:
-    if record["state"] != "active" or height <= record["height"]:
-        return record["energy"]
-    more = growth(record["balance"], height - record["active"]) - growth(record["balance"], record["height"] - record["active"])
-    return min(U64_MAX, record["energy"] + max(0, more))
-
-
-class Machine:
-    def __init__(self, strict: bool = False):
-        self.passes: dict[str, dict] = {}
-        self.active: dict[str, dict[str, None]] = {}  # of each owner the active passes, oldest first
-        self.energy: dict[str, dict] = {}
-        self.balances: dict[str, tuple[int, int, int]] = {}
-        self.log: list[tuple] = []
-        self.strict = strict
-
-    def put(self, name: str, new: dict) -> None:
-        """Sets a pass and keeps the owners' active passes."""
-        old = self.passes.get(name)
-        if old and old["state"] == "active":
-            self.active[old["owner"]].pop(name, None)
-        self.passes[name] = new
-        if new["state"] == "active":
-            self.active.setdefault(new["owner"], {})[name] = None
-
-    def note(self, height, name, kind, old, new) -> None:
-        record = self.energy.get(name)
-        self.log.append((len(self.log), height, name, kind, old.get("state"), new["state"], old.get("owner"), new["owner"], old.get("satpoint"), new["satpoint"], record and record["energy"]))
-
-    def settle(self, name: str, height: int, zero_too: bool) -> None:
-        """Applies the owner's balance row of this height, once."""
-        record, held = self.energy[name], self.passes[name]
-        row = self.balances.get(held["owner"])
-        if record["state"] != "active" or not row or row[0] != height or record["height"] >= height or not (row[2] or zero_too):
-            return
-        energy = grown(record, height)
-        if row[2] < 0:
-            energy = max(0, energy - min(U64_MAX, -row[2] * PENALTY))
-        self.energy[name] = {"state": "active", "height": height, "active": height if row[2] < 0 else record["active"], "balance": row[1], "delta": row[2], "energy": energy}
-
-    def dormant(self, name: str, height: int) -> None:
-        self.settle(name, height, True)
-        record = self.energy[name]
-        self.energy[name] = record | {"energy": grown(record, height), "state": "dormant", "height": height, "delta": record["delta"] if record["height"] == height else 0}
-        old = self.passes[name]
-        self.put(name, old | {"state": "dormant"})
-        self.note(height, name, "state_update", old, self.passes[name])
-
-    def mint(self, e, height: int) -> None:
-        for name in list(self.active.get(e.owner, ())):
-            self.dormant(name, height)
-        new = {"state": "active", "owner": e.owner, "satpoint": e.satpoint}
-        self.put(e.inscription_id, new)
-        inherited = 0
-        consumed = []
-        for prev in e.prev if e.prev is not None else []:
-            held = self.passes.get(prev)
-            if held and held["owner"] == e.owner and held["state"] == "dormant":
-                inherited = min(U64_MAX, inherited + self.energy[prev]["energy"])
-                self.energy[prev] = {"state": "consumed", "height": height, "active": height, "balance": 0, "delta": 0, "energy": 0}
-                self.put(prev, held | {"state": "consumed"})
-                consumed.append((prev, held))
-        _, balance, delta = self.balances.get(e.owner, (0, 0, 0))
-        self.energy[e.inscription_id] = {"state": "active", "height": height, "active": height, "balance": balance, "delta": delta, "energy": inherited}
-        self.note(height, e.inscription_id, "mint", {}, new)
-        for prev, held in consumed:
-            self.note(height, prev, "state_update", held, self.passes[prev])
-
-    def transfer(self, e, height: int) -> None:
-        old = self.passes.get(e.inscription_id)
-        if old is None:
-            raise ValueError(f"pass {e.inscription_id} not found for transfer at {height}")
-        if old["state"] == "active":
-            self.settle(e.inscription_id, height, True)
-        if old["owner"] == e.owner:
-            self.put(e.inscription_id, old | {"satpoint": e.satpoint})
-            self.note(height, e.inscription_id, "satpoint_update", old, self.passes[e.inscription_id])
-            return
-        if old["state"] == "active":
-            self.dormant(e.inscription_id, height)
-            old = self.passes[e.inscription_id]
-        self.put(e.inscription_id, old | {"owner": e.owner, "satpoint": e.satpoint})
-        self.note(height, e.inscription_id, "owner_transfer", old, self.passes[e.inscription_id])
-
-    def burn(self, e, height: int) -> None:
-        old = self.passes.get(e.inscription_id)
-        if old is None:
-            raise ValueError(f"pass {e.inscription_id} not found for burning at {height}")
-        if old["state"] == "active":
-            self.settle(e.inscription_id, height, True)
-        if self.strict and e.inscription_id in self.energy:
-            self.energy[e.inscription_id] |= {"state": "burned", "energy": 0, "height": height}
-        self.put(e.inscription_id, old | {"state": "burned"})
-        self.note(height, e.inscription_id, "state_update", old, self.passes[e.inscription_id])
-
-    def invalid_mint(self, e, height: int) -> None:
-        self.put(e.inscription_id, {"state": "invalid", "owner": e.owner, "satpoint": e.satpoint})
-        self.note(height, e.inscription_id, "invalid_mint", {}, self.passes[e.inscription_id])
-
-    def block(self, height: int, events: list) -> None:
-        """Balances are known first, events follow in order, invalid mints come last, then owners settle."""
-        moved = []
-        for e in events:
-            if e.op == "balance":
-                self.balances[e.owner] = (height, int(e.balance), int(e.delta))
-                moved.append(e.owner)
-            else:
-                getattr(self, e.op)(e, height)
-        for owner in dict.fromkeys(moved):
-            for name in self.active.get(owner, ()):
-                self.settle(name, height, False)
-
-
-def run(events: DataFrame, strict_terminal_energy: bool = False) -> DataFrame:
-    """The event log of all passes; sequence orders it within a component."""
-    pass_node, owner_node = F.concat(F.lit("p:"), "inscription_id"), F.concat(F.lit("o:"), "owner")
-    edges = events.where("inscription_id is not null and owner is not null").select(pass_node.alias("a"), owner_node.alias("b"))
-    edges = edges.unionByName(events.where("inscription_id is not null").select(pass_node.alias("a"), F.explode("prev").alias("b")).withColumn("b", F.concat(F.lit("p:"), "b")))
-    of = components(edges)
-    node = F.when(F.col("inscription_id").isNotNull(), pass_node).otherwise(owner_node)
-    known = events.withColumn("_node", node).join(of, F.col("_node") == of["node"], "left").withColumn("component", F.coalesce("component", "_node")).drop("_node", "node")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        machine = Machine(strict_terminal_energy)
-        rows = rows.assign(rank=rows.op.map(_RANK)).sort_values(["height", "rank", "event_order", "inscription_id"], kind="stable")
-        for height, block in rows.groupby("height", sort=True):
-            machine.block(int(height), list(block.itertuples(index=False)))
-        out = pd.DataFrame(machine.log, columns=[c.split(" ")[0] for c in LOG.split(", ")[1:]])
-        out.insert(0, "component", rows.component.iloc[0] if len(rows) else None)
-        return out
-
-    return known.groupBy("component").applyInPandas(fold, LOG)
+#: prev, satpoint, balance, delta. An owner has one balance row a height, a pass one mint.
+#: The log's order within a block is rank, event_order, trigger (the pass whose event it was), step, place.
+LOG = ("block_height", "rank", "event_order", "trigger", "step", "place", "inscription_id", "event_type", "prev_state", "new_state", "prev_owner", "new_owner", "prev_satpoint", "new_satpoint", "energy")
+
+REMINT, AWAY, BURN = 0, 1, 2
+SEED, SETTLED, ASKED, FINAL = 0, 1, 2, 3
+
+
+def _position() -> Column:
+    """Mints, moves and burns come in their order, then invalid mints."""
+    rank = F.when(F.col("op") == "invalid_mint", 2).otherwise(1)
+    return F.struct("height", rank.alias("rank"), F.col("event_order").cast("int").alias("event_order"), F.col("inscription_id").alias("trigger"))
+
+
+def _sound(bad: Column, *message: Column | str) -> Column:
+    """True, unless bad holds: that raises, with the row's names."""
+    return F.when(bad, F.raise_error(F.concat(*(F.lit(m) if isinstance(m, str) else m.cast("string") for m in message))).cast("boolean")).otherwise(True)
+
+
+def _born(moves: DataFrame) -> DataFrame:
+    """id, born, minter, mint_satpoint, prev, may (be valid) of every pass."""
+    mints = moves.where("op in ('mint', 'invalid_mint')").groupBy(F.col("inscription_id").alias("id"))
+    first = mints.agg(F.count("*").alias("_n"), F.min_by(F.struct("owner", "satpoint", "prev", "op"), "pos").alias("_m"), F.min("pos").alias("born"))
+    first = first.where(_sound(F.col("_n") > 1, "pass ", F.col("id"), " is minted twice"))
+    return first.select("id", "born", F.col("_m.owner").alias("minter"), F.col("_m.satpoint").alias("mint_satpoint"), "_m.prev", (F.col("_m.op") == "mint").alias("may"))
+
+
+def _changes(moves: DataFrame, born: DataFrame) -> DataFrame:
+    """Transfers and burns, each with the owner and satpoint before and after it."""
+    known = moves.where("op in ('transfer', 'burn')").select(F.col("inscription_id").alias("id"), "pos", "height", "op", "owner", "satpoint").join(born.select("id", "born", "minter", "mint_satpoint"), "id", "left")
+    lost = F.col("born").isNull() | (F.col("pos") < F.col("born"))
+    known = staged(known.where(_sound(lost, "pass ", F.col("id"), " not found for a ", F.col("op"), " at ", F.col("height"))), "moves")
+    moved = F.col("op") == "transfer"
+    seen = nearest(known, ["id"], ["height", "pos"], {"_before": F.when(moved, F.struct("owner", "satpoint"))})
+    owner = F.coalesce("_before.owner", "minter")
+    at = F.when(F.col("_before").isNull(), F.col("mint_satpoint")).otherwise(F.col("_before.satpoint"))
+    kept = lambda new, old: F.when(moved, F.col(new)).otherwise(old)
+    return seen.select("id", "pos", "height", "op", "minter", owner.alias("prev_owner"), kept("owner", owner).alias("new_owner"), at.alias("prev_satpoint"), kept("satpoint", at).alias("new_satpoint"))
+
+
+def _marks(changes: DataFrame) -> DataFrame:
+    """id, away (first move to another owner) and burnt of the passes that changed."""
+    moved = (F.col("op") == "transfer") & (F.col("new_owner") != F.col("minter"))
+    return changes.groupBy("id").agg(F.min(F.when(moved, F.col("pos"))).alias("away"), F.min(F.when(F.col("op") == "burn", F.col("pos"))).alias("burnt"))
+
+
+def _claims(born: DataFrame, changes: DataFrame) -> DataFrame:
+    """heir, pos, place, id: the predecessors of mints that exist by then, are the minter's and not burned; each once a mint."""
+    asked = born.where("may").select(F.col("id").alias("heir"), F.col("born").alias("pos"), F.col("minter").alias("by"), F.posexplode("prev").alias("place", "id"))
+    asked = asked.where("id is not null").groupBy("heir", "pos", "by", "id").agg(F.min("place").alias("place"))
+    could = asked.join(born.where("may").select("id", "born", "minter", "burnt"), "id")
+    could = could.where((F.col("born") < F.col("pos")) & (F.col("burnt").isNull() | (F.col("burnt") > F.col("pos")))).drop("born", "burnt")
+    moved = changes.where("op = 'transfer'").select("id", "pos", F.col("new_owner").alias("owner"))
+    line = staged(could.withColumn("owner", F.lit(None).cast("string")).unionByName(moved, allowMissingColumns=True).withColumn("height", F.col("pos.height")), "claims")
+    held = nearest(line, ["id"], ["height", "pos"], {"_held": F.col("owner")}).where("heir is not null")
+    return held.where(F.coalesce("_held", "minter") == F.col("by")).select("heir", "pos", "place", "id")
+
+
+def _valid(born: DataFrame, claims: DataFrame, whole_prev: bool) -> DataFrame:
+    """id and valid of every pass. With whole_prev a mint is invalid unless it gets every one of prev, each named once."""
+    found = born.select("id", F.col("may").alias("valid"))
+    if not whole_prev:
+        return found
+    held = claims.groupBy(F.col("heir").alias("id")).agg(F.count("*").alias("_n"))
+    could = born.join(held, "id", "left").select("id", (F.col("may") & (F.greatest(F.coalesce(F.size("prev"), F.lit(0)), F.lit(0)) == F.coalesce("_n", F.lit(0)))).alias("could"))
+    could = staged(could, "mints")
+    guess = could.withColumn("valid", F.col("could"))
+    while True:
+        sound = guess.where("valid").select("id")
+        first = claims.join(sound.withColumnRenamed("id", "heir"), "heir").groupBy("id").agg(F.min("pos").alias("_first"))
+        open_ = claims.join(first, "id", "left").join(sound.withColumn("_there", F.lit(True)), "id", "left")
+        refused = open_.where(F.col("_there").isNull() | (F.col("_first") < F.col("pos"))).select(F.col("heir").alias("id"), F.lit(True).alias("_refused")).distinct()
+        again = could.join(refused, "id", "left").select("id", "could", (F.col("could") & F.col("_refused").isNull()).alias("valid"))
+        again = staged(again.join(guess.select("id", F.col("valid").alias("_old")), "id"), "mints")
+        if again.where("valid <> _old").isEmpty():
+            return again.select("id", "valid")
+        guess = again.drop("_old")
+
+
+def passes(born: DataFrame, changes: DataFrame, whole_prev: bool) -> DataFrame:
+    """All passes with validity, end and cause of their active time, burnt, and heir, taken and place where a mint consumes them."""
+    born = staged(born.join(_marks(changes), "id", "left"), "born")
+    claims = staged(_claims(born, changes), "claimed")
+    rows = staged(born.join(_valid(born, claims, whole_prev), "id"), "valid")
+    sound = rows.where("valid").select("id", "minter", "born", F.col("born.height").alias("height"))
+    following = nearest(sound, ["minter"], ["height", "born"], {"_next": F.col("born")}, back=False).select("id", F.col("_next").alias("remint"))
+    mine = claims.join(sound.select(F.col("id").alias("heir")), "heir").join(sound.select("id"), "id").groupBy("id").agg(F.min(F.struct("pos", "heir", "place")).alias("t"))
+    full = rows.join(following, "id", "left").join(mine.select("id", F.col("t.pos").alias("taken"), "t.heir", "t.place"), "id", "left")
+    end = F.when(F.col("valid"), F.least("remint", "away", "burnt"))
+    cause = F.when(F.col("end") == F.col("remint"), REMINT).when(F.col("end") == F.col("away"), AWAY).when(F.col("end").isNotNull(), BURN)
+    return staged(full.withColumn("end", end).withColumn("cause", cause).drop("remint", "away"), "passes")
+
+
+def _functions(events: DataFrame, held: DataFrame, changes: DataFrame) -> DataFrame:
+    """id, kind, pos, f: what a pass's energy is, of what it inherits, at the end of its active time and at changes in it."""
+    balances = events.where("op = 'balance'").select("owner", "height", F.lit(0).alias("kind"), F.lit(None).cast(held.schema["born"].dataType).alias("pos"), F.struct(F.col("balance").cast("bigint").alias("balance"), F.col("delta").cast("bigint").alias("delta")).alias("b"))
+    minted = held.where("valid").select(F.col("minter").alias("owner"), F.col("born.height").alias("height"), F.lit(1).alias("kind"), F.col("born").alias("pos"), F.struct("id", "end", F.col("born")).alias("m"))
+    line = staged(balances.unionByName(minted, allowMissingColumns=True), "owners")
+    # A balance row belongs to the pass minted before its block, a mint starts from the row of its own block.
+    seen = staged(nearest(line, ["owner"], ["height", "kind", "pos"], {"_m": F.col("m"), "_b": F.col("b")}), "seen")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    seeds = seen.where("kind = 1").select("m.id", "height", F.lit(SEED).alias("kind"), F.col("m.born").alias("pos"), zero("_b.balance").alias("balance"), F.lit(0).cast("bigint").alias("delta"))
+    rows = seen.where("kind = 0 and _m is not null and (_m.end is null or _m.end.height >= height)").select("_m.id", "height", F.lit(SETTLED).alias("kind"), F.col("_m.born").alias("pos"), "b.balance", "b.delta", (F.col("_m.end.height") == F.col("height")).alias("_last"))
+    known = changes.join(held.where("valid").select("id", "end"), "id").where((F.col("end").isNull()) | (F.col("pos") <= F.col("end")))
+    asked = staged(known.select("id", "height", F.lit(ASKED).alias("kind"), "pos"), "asked")
+    busy = asked.select("id", "height", F.lit(True).alias("_busy")).distinct()
+    rows = rows.join(busy, ["id", "height"], "left").where("delta <> 0 or _last or _busy").drop("_last", "_busy")
+    finals = held.where(F.col("cause").isin(REMINT, AWAY)).select("id", F.col("end.height").alias("height"), F.lit(FINAL).alias("kind"), F.col("end").alias("pos"))
+    steps = seeds.unionByName(rows).unionByName(asked, allowMissingColumns=True).unionByName(finals, allowMissingColumns=True)
+    steps = staged(steps, "steps-of-passes")
+    own = F.col("kind") <= SETTLED
+    before = nearest(steps, ["id"], ["height", "kind", "pos"], {"_last": F.when(own, F.struct("height", "balance")), "_from": F.when((F.col("kind") == SEED) | (own & (F.col("delta") < 0)), F.col("height"))})
+    grown = E.increase(F.col("_last.balance"), F.col("_from"), F.col("_last.height"), F.col("height"))
+    up = F.when(F.col("kind").isin(SETTLED, FINAL), grown).otherwise(E.wide(0))
+    down = F.when(F.col("kind") == SETTLED, E.penalty(F.col("delta"))).otherwise(E.wide(0))
+    made = clamp.prefixes(before.select("id", "height", "kind", "pos", up.alias("up"), down.alias("down")), ["id"], ["height", "kind", "pos"])
+    return staged(made.where(F.col("kind") >= ASKED).select("id", "kind", "pos", "f"), "functions")
+
+
+def inherited(edges: DataFrame) -> DataFrame:
+    """id and inherited of every heir. edges: id, heir, f; an energy is f of the capped sum of those that were handed on to id.
+
+    A forest in rounds, as many as the logarithm of its longest chain and its branching ask for.
+    """
+    kinds = "ptr string, g " + clamp.KIND
+    open_ = edges.groupBy(F.col("heir").alias("id")).agg(F.count("*").alias("open"))
+    rest = staged(edges.join(open_, "id", "left").select("id", "heir", "f", E.wide(0).alias("acc"), F.coalesce("open", F.lit(0)).alias("open"), *(F.lit(None).cast(t).alias(n) for n, t in (x.split(" ", 1) for x in kinds.split(", ", 1)))), "rest")
+    done = edges.sparkSession.createDataFrame([], f"id string, heir string, v {clamp.WIDE}")
+    last = done
+    while not rest.isEmpty():
+        came = last.groupBy(F.col("heir").alias("id")).agg(F.sum("v").cast(clamp.WIDE).alias("_sum"), F.count("*").alias("_n"))
+        only = rest.groupBy(F.col("heir").alias("id")).agg(F.min("id").alias("_child"))
+        known = rest.join(came, "id", "left").join(only, "id", "left")
+        known = known.withColumns({"acc": (F.col("acc") + F.coalesce("_sum", E.wide(0))).cast(clamp.WIDE), "open": F.col("open") - F.coalesce("_n", F.lit(0))})
+        new = (F.col("open") == 1) & F.col("ptr").isNull()
+        known = known.withColumns({"g": F.when(new, clamp.shifted(F.col("f"), F.col("acc"))).otherwise(F.col("g")), "ptr": F.when(new, F.col("_child")).otherwise(F.col("ptr"))})
+        over = rest.where("ptr is not null").select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("g").alias("_g"))
+        known = known.join(done.select(F.col("id").alias("ptr"), F.col("v").alias("_v")), "ptr", "left").join(over, "ptr", "left")
+        capped = F.least("acc", clamp.wide(clamp.U64_MAX))
+        value = F.when(F.col("open") == 0, clamp.applied(F.col("f"), capped)).when(F.col("_v").isNotNull(), clamp.applied(F.col("g"), F.col("_v")))
+        jump = F.col("_ptr").isNotNull()
+        known = staged(known.select("id", "heir", "f", "acc", "open", F.when(jump, F.col("_ptr")).otherwise(F.col("ptr")).alias("ptr"), F.when(jump, clamp.composed(F.col("_g"), F.col("g"))).otherwise(F.col("g")).alias("g"), value.cast(clamp.WIDE).alias("v")), "rest")
+        last = known.where("v is not null").select("id", "heir", "v")
+        done = done.unionByName(last)
+        rest = known.where("v is null").drop("v")
+    return done.groupBy(F.col("heir").alias("id")).agg(F.least(F.sum("v").cast(clamp.WIDE), clamp.wide(clamp.U64_MAX)).alias("inherited"))
+
+
+def run(events: DataFrame, strict_terminal_energy: bool = False, strict_prev: bool = False) -> DataFrame:
+    """The event log of all passes, with the energy of each after the event.
+
+    strict_terminal_energy: a burned pass keeps none. strict_prev: a mint that doesn't get all its predecessors is invalid as a whole.
+    A change of a pass before its mint, or without one, and a second mint of a pass raise.
+    """
+    moves = staged(events.where("op <> 'balance'").withColumn("pos", _position()), "events")
+    born = _born(moves)
+    changes = staged(_changes(moves, born), "changes")
+    held = passes(born, changes, strict_prev)
+    functions = _functions(events, held, changes)
+    finals = functions.where(F.col("kind") == FINAL).select("id", F.col("f").alias("_final"))
+    edges = staged(held.where("heir is not null").select("id", "heir").join(finals.withColumnRenamed("_final", "f"), "id"), "edges")
+    asked = functions.where(F.col("kind") == ASKED).select("id", "pos", F.col("f").alias("_asked"))
+    full = held.join(inherited(edges), "id", "left").join(finals, "id", "left").join(asked.select("id", F.col("pos").alias("end"), F.col("_asked").alias("_burning")), ["id", "end"], "left")
+    gained = F.coalesce("inherited", E.wide(0))
+    kept = F.when(F.col("cause") == BURN, clamp.applied(F.col("_burning"), gained)).otherwise(clamp.applied(F.col("_final"), gained))
+    full = staged(full.withColumn("gained", gained).withColumn("kept", kept).drop("_final", "_burning", "inherited"), "full")
+
+    nothing = F.lit(None).cast("string")
+
+    def row(pos, step, place, kind, states, owners, satpoints, energy):
+        of = [pos["height"], pos["rank"], pos["event_order"], pos["trigger"], F.lit(step), place.cast("int"), F.col("id"), F.lit(kind) if isinstance(kind, str) else kind, *states, *owners, *satpoints, energy.cast("decimal(20,0)")]
+        return [c.alias(n) for c, n in zip(of, LOG)]
+
+    text = F.lit
+    valid = F.col("valid")
+    mints = full.select(*row(F.col("born"), 1, F.lit(0), F.when(valid, "mint").otherwise("invalid_mint"), (nothing, F.when(valid, "active").otherwise("invalid")), (nothing, F.col("minter")), (nothing, F.col("mint_satpoint")), F.when(valid, F.col("gained"))))
+    # Where a pass and its owner stood when another pass's mint changed it.
+    marks = full.where(F.col("cause") == REMINT).select("id", F.col("end").alias("pos"), F.lit(0).alias("step"), F.lit(0).alias("place"), "minter", "mint_satpoint", F.col("kept").alias("energy"))
+    marks = marks.unionByName(full.where("heir is not null").select("id", F.col("taken").alias("pos"), F.lit(2).alias("step"), "place", "minter", "mint_satpoint", E.wide(0).alias("energy")))
+    moved = changes.where("op = 'transfer'").select("id", "pos", F.struct("new_owner", "new_satpoint").alias("_new"))
+    line = staged(marks.unionByName(moved, allowMissingColumns=True).withColumns({"height": F.col("pos.height"), "step": F.coalesce("step", F.lit(-1))}), "marks")
+    stood = nearest(line, ["id"], ["height", "pos", "step"], {"_at": F.col("_new")}).where("step >= 0")
+    owner, place = F.coalesce("_at.new_owner", "minter"), F.when(F.col("_at").isNull(), F.col("mint_satpoint")).otherwise(F.col("_at.new_satpoint"))
+    slept = stood.where("step = 0").select(*row(F.col("pos"), 0, F.col("place"), "state_update", (text("active"), text("dormant")), (owner, owner), (place, place), F.col("energy")))
+    eaten = stood.where("step = 2").select(*row(F.col("pos"), 2, F.col("place"), "state_update", (text("dormant"), text("consumed")), (owner, owner), (place, place), F.col("energy")))
+
+    of = changes.drop("minter").join(full.select("id", "valid", "end", "cause", "burnt", "taken", "gained", "kept"), "id").join(asked, ["id", "pos"], "left")
+    past = lambda c: F.coalesce(F.col(c) < F.col("pos"), F.lit(False))
+    leaves = F.coalesce((F.col("pos") == F.col("end")) & (F.col("cause") == AWAY), F.lit(False))
+    state = F.when(past("burnt"), "burned").when(~valid, "invalid").when(past("taken"), "consumed").when(past("end") | leaves, "dormant").otherwise("active")
+    of = of.withColumn("_state", state).withColumn("_leaves", leaves)
+    live = F.when(F.col("_state") == "active", clamp.applied(F.col("_asked"), F.col("gained"))).otherwise(F.col("kept"))
+    spent = E.wide(0) if strict_terminal_energy else F.when(F.col("taken") < F.col("burnt"), E.wide(0)).otherwise(F.col("kept"))
+    burned = F.col("op") == "burn"
+    energy = F.when(~valid, F.lit(None).cast(clamp.WIDE)).when((F.col("_state") == "burned") | (burned & F.lit(strict_terminal_energy)), spent).when(F.col("_state") == "consumed", E.wide(0)).otherwise(live)
+    kind = F.when(burned, "state_update").when(F.col("prev_owner") == F.col("new_owner"), "satpoint_update").otherwise("owner_transfer")
+    owners, satpoints = (F.col("prev_owner"), F.col("new_owner")), (F.col("prev_satpoint"), F.col("new_satpoint"))
+    later = of.select(*row(F.col("pos"), 1, F.lit(0), kind, (F.col("_state"), F.when(burned, "burned").otherwise(F.col("_state"))), owners, satpoints, energy))
+    left = of.where("_leaves").select(*row(F.col("pos"), 0, F.lit(0), "state_update", (text("active"), text("dormant")), (owners[0], owners[0]), (satpoints[0], satpoints[0]), F.col("kept")))
+    return mints.unionByName(slept).unionByName(eaten).unionByName(later).unionByName(left)

@@ -26,9 +26,7 @@ def model(rows):
 def test_fixture_timeline(spark):
     rows = [(1, 100, 200_000, 0), (1, 103, 210_000, 10_000), (1, 106, 190_000, -20_000), (1, 108, 220_000, 30_000)]
     df = spark.createDataFrame(rows, "key bigint, height bigint, balance bigint, delta bigint")
-    for f in (energy.by_windows, energy.by_fold, energy.records):
-        got = {r.height: int(r.energy) for r in f(df).collect()}
-        assert got == {100: 0, 103: 6_000_000_000, 106: 0, 108: 3_800_000_000}
+    assert {r.height: int(r.energy) for r in energy.records(df).collect()} == {100: 0, 103: 6_000_000_000, 106: 0, 108: 3_800_000_000}
     assert int(energy.projected(energy.records(df), 110).first().projected) == 8_200_000_000
 
 

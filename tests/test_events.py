@@ -1,12 +1,16 @@
+import random
+from collections import namedtuple
+
 import pytest
 
 from heightline.operators import events, fsm, validation
+from tests.machine import replay
 
 KIND = "height bigint, event_order int, op string, inscription_id string, owner string, prev array<string>, satpoint string, balance bigint, delta bigint"
 
 
 def run(spark, rows, **kw):
-    return sorted(fsm.run(spark.createDataFrame(rows, KIND), **kw).collect(), key=lambda r: (r.block_height, r.sequence))
+    return sorted(fsm.run(spark.createDataFrame(rows, KIND), **kw).collect(), key=lambda r: tuple(r[:6]))
 
 
 def balance(h, owner, b, d):
@@ -84,3 +88,74 @@ def test_state_names_and_predecessors_as_stored(spark):
     text = events.prev_text(rows["p"])
     got = [tuple(r) for r in rows.select(events.state_code(rows["s"]), events.state_name(rows["c"]), text, events.prev_list(text)).collect()]
     assert got == [(0, "invalid", "x,y", ["x", "y"]), (None, None, "", []), (None, None, "", [])]
+
+
+def history(rng, passes, owners, heights, foul=0.0):
+    """Events of a world in which everything meets: re-mints, moves there and back, burns, balances, predecessors of all kinds."""
+    rows, made, n = [], [], 0
+    balances = {o: 0 for o in owners}
+    for h in heights:
+        for o in rng.sample(owners, rng.randint(0, len(owners))):
+            d = rng.choice([0, rng.randint(0, 300_000), -rng.randint(0, balances[o]), rng.randint(0, 10**6)])
+            balances[o] += d
+            rows.append((h, 0, "balance", None, o, None, None, balances[o], d))
+        for _ in range(rng.randint(0, 5)):
+            n += 1
+            kind = rng.random()
+            if kind < 0.55 or not made:
+                prev = rng.sample(made, min(len(made), rng.choice([0, 1, 1, 2, 3]))) + ["nobody"] * (rng.random() < foul)
+                prev += prev[:1] * (rng.random() < foul)
+                rows.append((h, n, "mint", f"p{n}", rng.choice(owners), prev, f"m{n}", None, None))
+                made.append(f"p{n}")
+            elif kind < 0.6:
+                rows.append((h, n, "invalid_mint", f"x{n}", rng.choice(owners), None, f"m{n}", None, None))
+            elif kind < 0.9:
+                rows.append((h, n, "transfer", rng.choice(made[-6:]), rng.choice(owners), None, f"t{n}", None, None))
+            else:
+                rows.append((h, n, "burn", rng.choice(made[-6:]), None, None, None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("seed,owners,whole", [(1, 2, False), (2, 3, True), (5, 3, False)])
+def test_joins_equal_the_plain_machine(spark, seed, owners, whole):
+    rng = random.Random(seed)
+    rows = history(rng, 40, [f"o{i}" for i in range(owners)], sorted(rng.sample(range(4000), 50)), 0.1)
+    event = namedtuple("event", [c.split(" ")[0] for c in KIND.split(", ")])
+    strict = seed % 2 == 0
+    want = replay([event(*r) for r in rows], strict, whole)
+    got = [(r.block_height, *r[6:14], None if r.energy is None else int(r.energy)) for r in run(spark, rows, strict_terminal_energy=strict, strict_prev=whole)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    states = {r[2] for r in want}, {r[4] for r in want}
+    assert {"consumed", "dormant", "burned", "invalid"} <= states[1]
+
+
+def test_a_long_chain_of_inheritance(spark):
+    """Hundreds of passes, each the next one's predecessor, beside others that join the chain; energies up to the limit."""
+    rows = [balance(0, "A", 10**14, 10**14)]
+    for i in range(1, 150):
+        rows.append(mint(i * 10, 1, f"p{i}", "A", [f"p{i - 1}", f"q{i}"]))
+        if i % 7 == 0:
+            rows.append(mint(i * 10 + 3, 1, f"q{i + 1}", "A"))
+            rows.append(balance(i * 10 + 5, "A", 10**14, 0 if i % 2 else -5))
+    event = namedtuple("event", [c.split(" ")[0] for c in KIND.split(", ")])
+    want = replay([event(*r) for r in rows])
+    got = [(r.block_height, *r[6:14], None if r.energy is None else int(r.energy)) for r in run(spark, rows)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(x[-1] == 2**64 - 1 for x in want)
+
+
+def test_faults_of_the_log_raise(spark):
+    move = (5, 1, "transfer", "p1", "B", None, "s", None, None)
+    for rows, said in (([mint(9, 1, "p1", "A"), move], "not found for a transfer"), ([move], "not found"), ([mint(1, 1, "p1", "A"), mint(2, 1, "p1", "B")], "minted twice")):
+        with pytest.raises(Exception, match=said):
+            run(spark, rows)
+
+
+def test_a_mint_that_lacks_a_predecessor_is_invalid_as_a_whole(spark):
+    rows = [mint(1, 1, "p1", "A"), mint(2, 1, "p2", "A", ["p1", "nothing"]), mint(3, 1, "p3", "A", ["p1"]), mint(4, 1, "p4", "A", ["p2"]), mint(5, 1, "p5", "A", ["p3", "p3"])]
+    got = [(r.inscription_id, r.event_type, r.new_state) for r in run(spark, rows, strict_prev=True)]
+    assert got == [("p1", "mint", "active"), ("p2", "invalid_mint", "invalid"), ("p1", "state_update", "dormant"), ("p3", "mint", "active"), ("p1", "state_update", "consumed"), ("p4", "invalid_mint", "invalid"), ("p5", "invalid_mint", "invalid")]
+
+
+def test_no_events(spark):
+    assert run(spark, []) == [] and run(spark, [balance(3, "A", 5, 5)], strict_prev=True) == []

@@ -38,9 +38,11 @@ RATE = 4e-3
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 SLICE = 1 << 20
-#: Halves convolved at once, which bounds memory on texts of any length. Every block has this one shape, the
-#: last one padded: a matrix product may sum in another order for another shape, and then equal texts differ.
-BLOCK = 256
+#: Halves convolved at once, which bounds memory on texts of any length.
+BLOCK = 1024
+#: Bits of embedding and filters of a trained network. With these, and 6 for the 64 products of a window, sums stay below
+#: the 24 bits that single precision holds exactly, so no order of summing, which differs by batch, can change a score.
+BITS = 9, 8
 PAD = 256
 
 
@@ -59,6 +61,13 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, self.filters, self.bias, self.last, self.offset]
 
+    def rounded(self) -> "Network":
+        """With embedding and filters rounded to BITS bits below a power of two."""
+        for x, bits in zip((self.embedding, self.filters), BITS):
+            unit = 2.0 ** np.ceil(np.log2(np.abs(x).max() / (2**bits - 1) + 1e-30))
+            x[:] = np.rint(x / unit) * unit
+        return self
+
     def layout(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Halves that each document takes, padded to at least two, and where they begin."""
         halves = np.maximum(2, -(-sizes // HALF))
@@ -86,9 +95,8 @@ class Network:
             return both.max(1), both.argmax(1)
         out = np.empty((n, FILTERS), np.float32)
         for a in range(0, n, BLOCK):
-            own = codes[a : a + BLOCK]
-            full = own if len(own) == BLOCK else np.concatenate([own, np.full((BLOCK - len(own), HALF + OVERHANG), PAD, np.int16)])
-            out[a : a + BLOCK] = np.maximum(*(phase.max(1) for phase in self._phases(full, 0, BLOCK)))[: len(own)]
+            b = min(n, a + BLOCK)
+            out[a:b] = np.maximum(*(phase.max(1) for phase in self._phases(codes, a, b)))
         return out
 
     def _phases(self, codes: np.ndarray, a: int, b: int) -> list[np.ndarray]:
@@ -147,7 +155,7 @@ class Network:
         share = labels.mean() if len(labels) else 0.5
         if share in (0, 1) or not len(labels):
             self.offset[:] = 0 if not len(labels) else 4 * (2 * share - 1)
-            return self
+            return self.rounded()
         self.offset[:] = np.log(share / (1 - share))
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         each = -(-len(texts) // DOCS_A_STEP)
@@ -168,7 +176,7 @@ class Network:
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return self
+        return self.rounded()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Network:

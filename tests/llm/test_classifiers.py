@@ -199,3 +199,36 @@ def test_network_scores_equal_a_plain_form():
             chunks.append(np.maximum(np.max(windows, axis=0) + net.bias, 0))
         logit = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.last.astype(float) + float(net.offset[0])
         assert p == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)
+
+
+def test_one_text_has_one_score_in_any_batch(spark):
+    """At any place among other texts, also where these fill the last block of halves by another length."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n)) if n else ""
+    text_of = " ".join(draw(int(k)) for k in rng.integers(1, 9, 300))
+    net = quality.Network()
+    net.bias += rng.normal(0, 0.2, quality.FILTERS).astype(np.float32)
+    net.rounded()
+    table = toxicity.Table(*(rng.random(1 << toxicity.BITS).astype(np.float32) for _ in range(3)), 0.1)
+    model = toxicity.Model(table, 0.7, 0.3, rng.normal(0, 1, len(toxicity.FEATURES) + 1))
+    quiet, toxic = set(), set()
+    rows = []
+    for k in range(40):
+        before, after = ([" ".join(draw(int(x)) for x in rng.integers(1, 9, int(rng.integers(0, 700)))) for _ in range(int(rng.integers(0, 12)))] for _ in range(2))
+        own = [*before, text_of, *after]
+        quiet.add(quality.probabilities(net, pa.array(own))[len(before)])
+        rows += [(k, i, t) for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "k int, i int, text string")
+    for parts in (1, 3, 11):
+        toxic |= {r["score"] for r in toxicity.score(docs.repartition(parts), model).where(f"text = '{text_of}'").collect()}
+    assert len(quiet) == 1 and len(toxic) == 1
+
+
+def test_rows_that_repeat_a_labelled_id_are_one_sample(spark):
+    from heightline.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(1, "text 7")] * 500 + [(i, f"other {i}") for i in range(2, 40)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 60)], TERSE)
+    rows = labelled.sample(docs, labels, "toxic", 4, 2, 30).collect()
+    assert len(rows) <= 30 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert [r["text"] for r in rows if r["doc_id"] == 1] in ([], ["text 0"])

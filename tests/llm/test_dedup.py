@@ -104,6 +104,15 @@ def test_join_random(spark, table, seed):
     assert by_row(map(tuple, found)) == by_row(brute.linked(rows))
 
 
+@pytest.mark.parametrize("bits", [4, 9])
+def test_join_of_sets_whose_keys_meet_by_chance(spark, edge_rows, bits):
+    """Keys of sets and subsets of a few bits: classes are split by the second hash, pairs are checked on words."""
+    rng = random.Random(bits)
+    rows = edge_rows + [(1000 + i, " ".join(prose(rng, rng.choice([5, 7, 9, 11, 14])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_row(map(tuple, jaccard_join.joined(docs, bits).collect())) == by_row(brute.linked(rows))
+
+
 def test_join_empty(spark, table):
     assert jaccard_join.op10_jaccard_join(spark, table([])).collect() == []
     assert [tuple(r) for r in jaccard_join.op10_jaccard_join(spark, table([(9, None)])).collect()] == [(9, 0, 9)]
@@ -124,7 +133,7 @@ def test_small_subsets_meet_exactly_for_linked_sets():
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
         linked = 100 * shared >= 80 * (n + m - shared)
         if not (linked and n == m == shared):  # equal sets are one class
-            x, y = ({(k >> 2, k & 3) for k in jaccard_join.small_keys(s, most).tolist()} for s in (a, b))
+            x, y = ({((k >> 2, m), k & 3) for k, m in zip(*(v.tolist() for v in jaccard_join.small_keys(s, most)))} for s in (a, b))
             assert linked == any(k == q and (r != p or r == jaccard_join.SAME) for k, r in x for q, p in y)
 
 

@@ -194,3 +194,23 @@ def test_a_timestamp_beyond_64_bits_is_an_error_text():
     assert matroska.parse(_file(wide)).error
     cue = matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.element(matroska.CUE_TRACK_POSITIONS, matroska.element(matroska.CUE_CLUSTER_POSITION, b"\xff" * 8))))
     assert not matroska.parse(_file(b"", cue)).packets()["cued"].any()
+
+
+def test_a_scale_beyond_64_bits_is_an_error_text(spark):
+    scaled = matroska.element(matroska.INFO, matroska.element(matroska.TIMESTAMP_SCALE, b"\xff" * 8))
+    good = matroska.unsigned(matroska.TIMESTAMP, 0) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    for raw in (_file(b"", scaled), _file(good, scaled), _file(good) + scaled):
+        media = matroska.parse(raw)
+        media.packets()
+        assert media.error or raw.endswith(scaled)
+    found = matroska.read_back(spark.createDataFrame([(1, _file(good, scaled))], "k int, media binary")).collect()
+    assert found[0]["error"]
+
+
+def test_long_and_repeated_urls(spark):
+    """One URL on most rows, and one of a megabyte."""
+    wide = "http://example.com/en/8" + "a/" * 500_000
+    rows = [(i, "http://www.net/de/x") for i in range(3000)] + [(5000, wide), (5001, None)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == 3002 and all(got[i]["verdict"] == "block" for i in range(3000))
+    assert (got[5000]["rule"], len(got[5000]["path"])) == ("com/en/", len(wide) - len("http://example.com")) and got[5001]["host"] == ""

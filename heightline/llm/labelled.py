@@ -17,12 +17,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
 
     The sample is fixed by hashes of the ids, so it is the same in every run. A document with several
     labels takes the largest. `part` is 0 or 1, for estimates that must not see each other's rows.
-    Rows of `docs` that repeat an id are all taken. The broadcast side has at most `most` rows.
+    Of rows of `docs` that repeat an id the one with the smallest text is taken, so there are at most `most`
+    rows, as there are on the broadcast side.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("_h", F.xxhash64(F.lit(11), "doc_id")).orderBy("_h", "doc_id").limit(most)
     part = F.pmod(F.shiftright("_h", 7), F.lit(2)).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label", part.alias("part"))), "doc_id").where(F.col("text").isNotNull())
+    taken = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id", "label", part.alias("part"))), "doc_id")
+    return taken.groupBy("doc_id", "label", "part").agg(F.min("text").alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:

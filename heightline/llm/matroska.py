@@ -175,7 +175,10 @@ def _segment(media: Media, data, at: int, stop: int) -> None:
         elif ident == INFO:
             for k, a, b, _ in children(data, body, at):
                 if k == TIMESTAMP_SCALE:
-                    media.scale = _number(data, a, b)
+                    scale = _number(data, a, b)
+                    if scale >= 1 << 63:
+                        raise ValueError(f"timestamp scale out of range at {a}")
+                    media.scale = scale
                     if any(abs(x[1] * media.scale) >= 1 << 63 for x in media.blocks):  # of clusters before it
                         media.blocks.clear()
                         raise ValueError(f"timestamp out of range under the scale at {a}")

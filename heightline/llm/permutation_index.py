@@ -123,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
 
     kind = "pivot int, ids array<long>, perm binary, vec binary"
     files = entries.select("v", "ids").mapInArrow(ordered(posted), kind)
-    heads = asked.groupBy("v").agg(F.min("id").alias("id"))
+    heads = staged(asked.groupBy("v").agg(F.min("id").alias("id")), "heads")  # joins with it can split a vector of many queries
     probes = heads.select("v", F.array("id").alias("ids")).mapInArrow(ordered(probed), kind)
     files, probes = staged(files, "files"), staged(probes, "probes")
 
@@ -171,8 +171,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     found = held.unionByName(wanted).groupBy("pivot", "_x", "_y").applyInArrow(meet, "query long, vec_id long, score double")
     top = Window.partitionBy("query").orderBy("score", "vec_id")
     merged = found.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)
+    merged = staged(merged.drop("_r"), "merged")
+    discard(files, probes, entries)
     own = asked.join(heads.select("v", F.col("id").alias("query")), "v").select(F.col("id").alias("query_id"), "query")
-    answers = own.join(merged.drop("_r"), "query").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    answers = own.join(merged, "query").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

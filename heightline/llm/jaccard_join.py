@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light join of sets of word shingles.
 
 Small sets enumerate their subsets of the fixed size that a linked pair must share, so two small sets link
-exactly if they meet in one subset. Large sets are found by scanning inverted lists, of the rarest part of
+exactly if they meet in one subset. Subsets meet by two independent hashes, and every such pair is checked on its words. Large sets are found by scanning inverted lists, of the rarest part of
 each set that any linked partner must touch. The boundary between small and large is where enumerating
 costs more postings than scanning and checking. Sets near the boundary take both ways, for partners on
 either side.
@@ -10,7 +10,8 @@ Rarity comes from counts of all shingles of the corpus in 2**BITS buckets; any o
 links, a good one gives short lists. A posting has the place of its shingle in the set's order: two sets
 whose first common shingle is this one have at most what follows it in common, so pairs for which that is
 too little are never made. Nor are those that differ in too many of SKETCH bits, each the parity of a set's
-shingles in one bucket, for sets differ in at least as many shingles. Equal sets are one class. In a list, every set is first checked against HEADS
+shingles in one bucket, for sets differ in at least as many shingles. Equal sets are one class: their keys and a second,
+independent hash agree, and a key that several sets share by chance is split. In a list, every set is first checked against HEADS
 sets of the list, the same ones in all lists that hold them; sets that these links join need no further
 check, and only pairs of different components that still share a list are checked in a second round. So no
 list emits all its pairs unless they are all apart and alike, and no link between components is lost.
@@ -120,24 +121,29 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (of the set), tokens for the inverted lists, subsets of small sets."""
+def signatures(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """doc_id, n (set size), key and check (of the set), tokens for the inverted lists, subsets of small sets.
+
+    key_bits: of keys of sets and subsets, so that tests can make them meet by chance.
+    """
     rank = np.argsort(np.argsort(bucket_counts(docs), kind="stable"), kind="stable").astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB at any size
     most = boundary()
     source = docs.select("doc_id", F.col("text").alias("_text"))
-    schema = extended(source.select("doc_id"), "n long, key long, bits array<long>, tokens array<long>, subsets array<long>")
+    schema = extended(source.select("doc_id"), "n long, key long, check long, bits array<long>, tokens array<long>, subsets array<long>, seconds array<long>")
+    few = (1 << key_bits) - 1
 
     @tidied
     def run(batches):
         for batch in batches:
             for a, b, g, first in _texts(batch, "_text"):
-                sizes, keys, bits, tokens, subsets = [], [], [], [], []
+                sizes, keys, checks, bits, tokens, subsets, seconds = [], [], [], [], [], [], []
                 for i in range(b - a):
                     own = np.unique(g[first[i] : first[i + 1]])
                     n = len(own)
                     sizes.append(n)
-                    keys.append(set_key(own) if n else None)
+                    keys.append(set_key(own, few) if n else None)
+                    checks.append(set_key(mix(own ^ _OTHER)) if n else None)
                     bits.append(sketch(own))
                     lists = n and 5 * n // 4 > most
                     if lists:
@@ -145,18 +151,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                         tokens.append(own[order[: prefix(n)]].view(np.int64))
                     else:
                         tokens.append(np.empty(0, np.int64))
-                    subsets.append(small_keys(own, most) if 0 < n <= most else np.empty(0, np.int64))
+                    both = small_keys(own, most, few) if 0 < n <= most else (np.empty(0, np.int64),) * 2
+                    subsets.append(both[0])
+                    seconds.append(both[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(bits), _lists(tokens), _lists(subsets)], schema.names
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), _lists(bits), _lists(tokens), _lists(subsets), _lists(seconds)], schema.names
                 )
 
     return source.mapInArrow(run, schema)
 
 
-def set_key(own: np.ndarray) -> int:
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+_ALL = (1 << 64) - 1
+
+
+def set_key(own: np.ndarray, few: int = _ALL) -> int:
     """One hash of a set, whatever its order."""
     both = np.bitwise_xor.reduce(mix(own + np.uint64(1)), keepdims=True) ^ own.sum(dtype=np.uint64, keepdims=True) * np.uint64(3)
-    return int(mix(both).view(np.int64)[0])
+    return int((mix(both) & np.uint64(few)).view(np.int64)[0])
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -165,18 +177,23 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def small_keys(own: np.ndarray, most: int) -> np.ndarray:
+def small_keys(own: np.ndarray, most: int, few: int = _ALL) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the subsets of a small set, with its role in the two low bits: LOW and HIGH for the smaller
-    and larger of two sizes, SAME for equal ones. Sets link that meet in a key, but for two of one role
-    that is not SAME."""
-    out = []
+    and larger of two sizes, SAME for equal ones; and a second key of each. Sets link that meet in both keys, but for two of
+    one role that is not SAME."""
+    out, more = [], []
     spread = mix(own)
     for low, high, c in subset_sizes(len(own), most):
         picks = np.array(list(itertools.combinations(range(len(own)), c)), np.int64)
         role = SAME if low == high else LOW if len(own) == low else HIGH
-        keys = mix(spread[picks].sum(axis=1, dtype=np.uint64) + np.uint64(low << 40 | high << 20 | c))
-        out.append(keys & ~np.uint64(3) | np.uint64(role))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+        kind = np.uint64(low << 40 | high << 20 | c)
+        keys = mix(spread[picks].sum(axis=1, dtype=np.uint64) + kind)
+        out.append(keys & np.uint64(few) & ~np.uint64(3) | np.uint64(role))
+        more.append(mix(mix(own ^ _OTHER)[picks].sum(axis=1, dtype=np.uint64) ^ kind))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    both = np.unique(np.column_stack([np.concatenate(out), np.concatenate(more)]), axis=0)
+    return both[:, 0].copy().view(np.int64), both[:, 1].copy().view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -217,20 +234,37 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (signatures) with base, the key that they had, and a key that is one set's alone; and one row a key."""
+    rows = rows.withColumn("base", F.col("key"))
+    while True:
+        groups = rows.where("doc_id is not null and n > 0").groupBy("key")
+        kept = [F.first(c).alias(c) for c in ("base", "check", "n", "bits", "tokens", "subsets", "seconds")]
+        sets = staged(groups.agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("_lo"), F.max("check").alias("_hi"), *kept), "sets")
+        shared = sets.where("_lo <> _hi").select("key", F.lit(True).alias("_shared"))
+        if shared.isEmpty():
+            return rows, sets
+        split = rows.join(shared, "key", "left").withColumn("key", F.when(F.col("_shared"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("_shared")
+        rows = staged(split, "signatures")
+        discard(sets)
+
+
+def links(docs: DataFrame, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """All rows with n and key; and links between keys, enough of them for all components."""
-    rows = staged(signatures(docs), "signatures")
-    sets = staged(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"), F.first("subsets").alias("subsets")), "sets")
-    small = sets.select(F.explode("subsets").alias("_s"), "key").select(F.expr("_s & ~3L").alias("subset"), F.expr("_s & 3L").alias("role"), "key")
+    rows, sets = classes(staged(signatures(docs, key_bits), "signatures"))
+    small = sets.select(F.explode(F.arrays_zip("subsets", "seconds")).alias("_s"), "key").select(F.expr("_s.subsets & ~3L").alias("subset"), F.col("_s.seconds").alias("second"), F.expr("_s.subsets & 3L").alias("role"), "key")
     lowest = lambda role: F.min(F.when(F.col("role") != role, F.col("key")))
-    ends = small.groupBy("subset").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
+    ends = small.groupBy("subset", "second").agg(lowest(HIGH).alias("lo"), lowest(LOW).alias("hi"), F.count("*").alias("_n")).where("_n > 1 and lo is not null and hi is not null").drop("_n")
     ends = staged(ends, "ends")
-    by_subset = small.join(ends, "subset").select(F.col("key").alias("a"), F.when(F.col("role") == LOW, F.col("hi")).otherwise(F.col("lo")).alias("b")).where("a <> b")
+    by_subset = small.join(ends, ["subset", "second"]).select(F.col("key").alias("a"), F.when(F.col("role") == LOW, F.col("hi")).otherwise(F.col("lo")).alias("b")).where("a <> b")
+    by_subset = staged(by_subset.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "subset-pairs")
+    discard(ends)
 
     # A posting has what its set holds from the shingle on: rest = n - place.
     posted = sets.select("n", "key", F.posexplode("tokens").alias("place", "token")).select("token", F.col("n").cast("int"), (F.col("n") - F.col("place")).cast("int").alias("rest"), "key")
-    met = posted.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    met = staged(posted.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "met")
     lists = staged(posted.join(met, "token"), "lists")
+    discard(met)
     order = Window.partitionBy("token").orderBy(F.xxhash64("key"))
     heads = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HEADS).select("token", F.col("n").alias("_m"), F.col("rest").alias("_rest"), F.col("key").alias("head"))
     heads = staged(heads, "heads")  # so that a join with them can split a list which a third of all sets are in
@@ -239,17 +273,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = staged(near.join(one, "a").join(two, "b").where(_NEAR).select("a", "b"), "near")
     discard(heads)
 
-    listed = lists.select("key").distinct().join(sets.select("key", "doc_id"), "key")
-    texts = staged(_packed(docs, listed), "texts")
-    found = staged(checked(near, texts).unionByName(by_subset).distinct(), "links")
-    discard(ends)
+    listed = lists.select("key").union(by_subset.select("a")).union(by_subset.select("b")).distinct().join(sets.select("key", "base", "check", "doc_id"), "key")
+    texts = staged(_packed(docs, listed, key_bits), "texts")
+    found = staged(checked(near.union(by_subset).distinct(), texts), "links")
+    discard(by_subset)
 
     # Second round: lists that still hold several components, of which any two might have a link.
     of = components(found)
     placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    apart = staged(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "apart")
     open_ = staged(placed.join(apart, "token").join(sets.select("key", "bits"), "key"), "open")
-    discard(lists, sets)
+    discard(lists, sets, apart)
     kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"))
     others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"), F.col("size").alias("_size"))
     # The smaller side is laid out first; the larger one then meets it under the full condition.
@@ -263,9 +297,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, found.unionByName(late)
 
 
-def _packed(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """key and packed text of the sets in listed (key, doc_id); another text of that id is left out."""
-    found = compressed(docs.where("doc_id is not null")).join(listed.hint("shuffle_hash"), "doc_id").select("key", "packed")
+def _packed(docs: DataFrame, listed: DataFrame, key_bits: int) -> DataFrame:
+    """key and packed text of the sets in listed (key, base, check, doc_id); another text of that id is left out."""
+    found = compressed(docs.where("doc_id is not null")).join(listed.hint("shuffle_hash"), "doc_id").select("key", "base", "check", "packed")
+    few = (1 << key_bits) - 1
 
     @tidied
     def run(batches):
@@ -273,15 +308,17 @@ def _packed(docs: DataFrame, listed: DataFrame) -> DataFrame:
         for batch in batches:
             raw = pa.array([coder.decompress(p) for p in batch.column("packed").to_pylist()], pa.binary())
             g, first = shingles(words(raw))
-            own = [set_key(np.unique(g[i:j])) for i, j in zip(first[:-1], first[1:])]
-            yield batch.filter(pa.array(np.array(own, np.int64) == batch.column("key").to_numpy()))
+            own = [np.unique(g[i:j]) for i, j in zip(first[:-1], first[1:])]
+            alike = np.array([set_key(x, few) for x in own], np.int64) == batch.column("base").to_numpy()
+            alike &= np.array([set_key(mix(x ^ _OTHER)) for x in own], np.int64) == batch.column("check").to_numpy()
+            yield batch.select(["key", "packed"]).filter(pa.array(alike))
 
-    return found.mapInArrow(run, found.schema).groupBy("key").agg(F.first("packed").alias("packed"))
+    return found.mapInArrow(run, "key long, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     """Of each row of docs: doc_id, n_shingles and component_id."""
-    rows, found = links(docs)
+    rows, found = links(docs, key_bits)
     thin = rows.select("doc_id", "n", "key")
     known = thin.where("doc_id is not null and n > 0")
     first = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "representatives")

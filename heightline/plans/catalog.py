@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from heightline import service
 from heightline.functions import address, mint
 from heightline.functions import binary as B
-from heightline.operators import chain, commit, derived, energy, events, fsm, ledger, series, temporal
+from heightline.operators import chain, commit, derived, energy, events, ledger, series, temporal
+from heightline.plans import lifecycle
 from heightline.sources import blockfiles, envelopes
 from heightline.sources import testdata as T
 from heightline.staging import staged
@@ -670,20 +671,15 @@ def _(s, d):
     return ledger.script_registry(vout.select(B.script_hash(F.col("script_pubkey")).alias("script_hash"), "script_pubkey")).withColumn("script_pubkey", F.lower(F.hex("script_pubkey")))
 
 
-@query("pass_lifecycle", """, mints AS (
-  SELECT block_height, 'p' || id AS name, 'o' || (inscription_id::BIGINT % 37) AS owner, id % 2 = 0 AS names, lag('p' || id) OVER (PARTITION BY inscription_id::BIGINT % 37 ORDER BY block_height, id) AS old FROM history
-)
-SELECT block_height, old AS inscription_id, 'state_update' AS event_type, 'active' AS prev_state, 'dormant' AS new_state, owner AS new_owner FROM mints WHERE old IS NOT NULL
-UNION ALL SELECT block_height, name, 'mint', NULL, 'active', owner FROM mints
-UNION ALL SELECT block_height, old, 'state_update', 'dormant', 'consumed', owner FROM mints WHERE old IS NOT NULL AND names""", "history")  # R7, R8
-def _(s, d):
-    """Every event mints a pass for one of 37 owners; every other one names the owner's last pass as its predecessor."""
-    rows = T.history(s, d).select(F.col("block_height").alias("height"), F.col("id").cast("int").alias("event_order"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("inscription_id"), F.concat(F.lit("o"), (F.col("inscription_id").cast("bigint") % 37).cast("string")).alias("owner"))
-    old = F.lag("inscription_id").over(Window.partitionBy("owner").orderBy("height", "event_order"))
-    named = F.when((F.col("event_order") % 2 == 0) & F.col("_old").isNotNull(), F.array("_old")).otherwise(F.array().cast("array<string>"))
-    nothing = F.lit(None).cast("bigint")
-    mints = rows.withColumn("_old", old).select("height", "event_order", F.lit("mint").alias("op"), "inscription_id", "owner", named.alias("prev"), F.lit("s").alias("satpoint"), nothing.alias("balance"), nothing.alias("delta"))
-    return fsm.run(mints).select("block_height", "inscription_id", "event_type", "prev_state", "new_state", "new_owner")
+@query("pass_lifecycle", lifecycle.sql())  # R7, R8, A10
+def _(s, d):
+    return lifecycle.lifecycle(s, d)
+
+
+@query("pass_lifecycle_strict", lifecycle.sql(strict=True))  # D12
+def _(s, d):
+    """A mint that doesn't get its predecessor is invalid, and burned passes keep no energy."""
+    return lifecycle.lifecycle(s, d, strict=True)
 
 
 # --- derived values of the specifications

@@ -8,6 +8,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heightline.operators.pieces import nearest
+from heightline.staging import discard, staged
+
 # Fixed values of the specifications.
 UNIT = 100_000
 INHERIT_BPS, COLLAB_BPS, BPS = 9_500, 5_000, 10_000
@@ -28,9 +31,14 @@ def units(balance: Column) -> Column:
     return _floor_div(balance, UNIT)
 
 
-def raw_energy_v2(rows: DataFrame) -> DataFrame:
+#: Heights whose rows of one key are folded at once.
+SPAN = 65_536
+
+
+def raw_energy_v2(rows: DataFrame, span: int = SPAN) -> DataFrame:
     """Fold of each key's balance rows: growth by units, a penalty of 1.5 x lost units x age, age cut in
-    proportion to the units that stay. Ages make it sequential within a key.
+    proportion to the units that stay. Ages, which are floored at each loss, make it sequential within a key, so spans of heights
+    follow one another: each is folded from the state that the one before left, and that is staged. An array holds a key's rows of one span.
 
     The exact limit of 128 bits has 39 digits and is out of reach of DECIMAL(38,0); energies are held in
     38 digits and an overflow raises.
@@ -47,10 +55,20 @@ def raw_energy_v2(rows: DataFrame) -> DataFrame:
         kept = F.when(n < acc["units"], _floor_div((age * n).cast(_W), F.greatest(acc["units"], F.lit(1).cast(_W)))).otherwise(age)
         return F.struct(r["height"].alias("height"), n.alias("units"), kept.cast(_W).alias("age"), F.greatest(grown.cast(_W) - cost, F.lit(0).cast(_W)).cast(_W).alias("energy")).cast(kind)
 
-    listed = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("height", "balance"))).alias("rows"))
-    first = F.element_at("rows", 1)
+    cut = staged(rows.select("key", "height", "balance", F.floor(F.col("height") / span).alias("_span")), "raw-energy")
+    spans = [r[0] for r in cut.select("_span").distinct().orderBy("_span").collect()]  # one entry for `span` heights
+    first = F.element_at("_rows", 1)
     seed = F.struct(first["height"].alias("height"), units(first["balance"]).alias("units"), F.lit(0).cast(_W).alias("age"), F.lit(0).cast(_W).alias("energy")).cast(kind)
-    return listed.select("key", F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), seed, step).alias("e")).select("key", "e.*")
+    rest = F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(1)))
+    state = cut.select("key", F.lit(None).cast(kind).alias("e")).limit(0)
+    for at in spans:
+        listed = cut.where(F.col("_span") == at).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("height", "balance"))).alias("_rows"))
+        both = state.join(listed, "key", "full_outer")
+        folded = F.when(F.col("_rows").isNull(), F.col("e")).when(F.col("e").isNull(), F.aggregate(rest, seed, step)).otherwise(F.aggregate("_rows", F.col("e"), step))
+        last, state = state, staged(both.select("key", folded.alias("e")), "raw-energy-state")
+        if at != spans[0]:
+            discard(last)
+    return state.select("key", "e.*")
 
 
 def inherited(rows: DataFrame) -> DataFrame:
@@ -148,9 +166,41 @@ def level_table() -> list[tuple[int, int]]:
 
 
 def price_at(heights: DataFrame, policy: DataFrame) -> DataFrame:
-    """The price whose range holds each height; policy (start, price) has one row a change."""
-    table = F.broadcast(policy.agg(F.sort_array(F.collect_list(F.struct("start", "price"))).alias("_p")))
-    return heights.join(table).withColumn("price", F.try_element_at(F.filter("_p", lambda p: p["start"] <= F.col("height")), F.lit(-1))["price"]).drop("_p")
+    """heights (height and others) with the price whose range holds each; policy (start, price) has one row a change, and any number of them.
+
+    Changes and heights are looked along together in pieces; a height before the first change has no price. Of several changes
+    at one height the one with the highest price counts.
+    """
+    changes = policy.groupBy(F.col("start").cast("bigint").alias("height")).agg(F.max("price").alias("price")).withColumn("side", F.lit(0))
+    asked = heights.select(F.col("height").cast("bigint").alias("height"), F.lit(None).cast(policy.schema["price"].dataType).alias("price"), F.lit(1).alias("side")).distinct()
+    line = staged(changes.unionByName(asked).where("height is not null"), "prices")
+    found = nearest(line, [], ["height", "side"], {"_price": F.col("price")}).where("side = 1").select("height", F.col("_price").alias("price"))
+    return heights.join(found, "height", "left")
+
+
+def candidate_page(effective: DataFrame, limit: int, after: tuple[int, object] | None = None, energy: str = "effective_energy") -> DataFrame:
+    """The next `limit` candidates (key, energy above 0), most energy first, then the smaller key.
+
+    after: energy and key of the last one seen. A cursor by value stays right while others enter or leave: none that stays is
+    shown twice or left out.
+    """
+    rows = effective.where(F.col(energy) > 0)
+    if after is not None:
+        most, key = F.lit(str(after[0])).cast(_W), F.lit(after[1])
+        rows = rows.where((F.col(energy).cast(_W) < most) | ((F.col(energy).cast(_W) == most) & (F.col("key") > key)))
+    return rows.orderBy(F.desc(energy), "key").limit(limit)
+
+
+def collaborators(page: DataFrame, raw: DataFrame, collab: DataFrame) -> DataFrame:
+    """What the energies of a page of candidates are made of: key, collaborator, energy and share; a row for each active collaborator.
+
+    A candidate's own energy is the row that has itself as its collaborator, with all of it as its share.
+    """
+    share = _floor_div(F.col("energy").cast(_W) * COLLAB_BPS, BPS)
+    wanted = page.select("key")
+    others = collab.join(wanted.withColumnRenamed("key", "leader"), "leader").join(raw.where("active").select("key", "energy"), "key")
+    own = raw.join(wanted, "key").select("key", F.col("key").alias("collaborator"), F.col("energy").cast(_W).alias("energy"), F.col("energy").cast(_W).alias("share"))
+    return own.unionByName(others.select(F.col("leader").alias("key"), F.col("key").alias("collaborator"), F.col("energy").cast(_W).alias("energy"), share.alias("share")))
 
 
 def candidate_energy(height: Column, last_quote: Column, effective: Column, raw: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heightline.operators.pieces import nearest
+from heightline.staging import staged
+
 
 def exact(ledger: DataFrame, account, height: int) -> DataFrame:
     return ledger.where((F.col("account") == account) & (F.col("height") == height))
@@ -40,16 +43,17 @@ def as_of_keys(ledger: DataFrame, keys: DataFrame, height: int) -> DataFrame:
 def as_of_many(ledger: DataFrame, points: DataFrame) -> DataFrame:
     """points (account, at, and others) with the last ledger row at or before `at`, zeros where there is none.
 
-    Both sides meet in one exchange on the account; the last ledger row is carried forward.
+    Ledger rows and the distinct (account, at) are looked along together in pieces of heights; points then meet their answers by an
+    equi join, whose larger side adaptive execution can split. So no account and no height is one task's work.
     """
+    kind = "struct<height:bigint,delta:bigint,balance:bigint>"
+    rows = ledger.select("account", F.col("height").alias("at"), F.lit(0).alias("side"), F.struct("height", "delta", "balance").cast(kind).alias("row"))
+    asked = points.select("account", F.col("at").cast("bigint"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("row")).distinct()
+    line = staged(rows.unionByName(asked).where("account is not null and at is not null"), "as-of")
+    found = nearest(line, ["account"], ["at", "side"], {"_found": F.col("row")}, height="at").where("side = 1").select("account", "at", "_found")
     extra = [c for c in points.columns if c not in ("account", "at")]
-    nothing = lambda c: F.lit(None).cast(points.schema[c].dataType).alias(c)
-    rows = ledger.select("account", F.col("height").alias("at"), F.lit(0).alias("_side"), F.struct("height", "delta", "balance").alias("_row"), *map(nothing, extra))
-    asked = points.select("account", "at", F.lit(1).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), *extra)
-    order = Window.partitionBy("account").orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.unionByName(asked).withColumn("_row", F.last("_row", ignorenulls=True).over(order)).where("_side = 1")
-    zero = lambda c: F.coalesce(F.col(f"_row.{c}"), F.lit(0)).alias(c)
-    return filled.select("account", "at", *extra, zero("height"), zero("delta"), zero("balance"))
+    zero = lambda c: F.coalesce(F.col(f"_found.{c}"), F.lit(0)).alias(c)
+    return points.join(found, ["account", "at"], "left").select("account", "at", *extra, zero("height"), zero("delta"), zero("balance"))
 
 
 def keyset_page(rows: DataFrame, key: str, after, limit: int) -> DataFrame:

@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None, base: str | None = None):
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.running_balance(ledger.deltas(ledger.signed_rows(T.outputs(spark, d), T.spends(spark, d))))
+    return ledger.running_balance(ledger.deltas(T.signed_rows(spark, d)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -764,6 +764,21 @@ def _(s, d):
     return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("effective_energy"), "key")))  # a page of 100 rows
 
 
+@query("candidate_next_page", _EFFECTIVE + f""", seen AS (
+  SELECT *, row_number() OVER (ORDER BY effective_energy DESC, key) AS place FROM effective WHERE effective_energy > 0
+), page AS (SELECT key FROM seen WHERE place BETWEEN 31 AND 60)
+SELECT key, key AS collaborator, energy::BIGINT AS energy, energy::BIGINT AS share FROM passes JOIN page USING (key)
+UNION ALL SELECT led.leader, led.key, energy::BIGINT, (energy * 5000 // 10000)::BIGINT FROM led JOIN passes USING (key) JOIN page ON page.key = led.leader WHERE active""")  # D7
+def _(s, d):
+    """What the energies of the second page of thirty are made of."""
+    raw = _customers(s, d)
+    led = derived.leaders(_collabs(s, d), raw)
+    effective = _effective(raw, led)
+    last = derived.candidate_page(effective, 30).orderBy("effective_energy", F.desc("key")).first()
+    page = derived.candidate_page(effective, 30, last and (last["effective_energy"], last["key"]))
+    return derived.collaborators(page, raw, led).select("key", "collaborator", *(F.col(c).cast("bigint").alias(c) for c in ("energy", "share")))
+
+
 @query("derived_difficulty", "SELECT p_partkey AS key, CAST(ceil(CAST(p_retailprice * 100 AS BIGINT) * (10000 - least(p_size * 100, 5000))::BIGINT / 10000.0) AS BIGINT) AS difficulty FROM part")  # D5, D6
 def _(s, d):
     base = F.round(F.col("p_retailprice") * 100).cast("bigint")

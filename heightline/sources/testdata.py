@@ -27,6 +27,14 @@ def spends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs(spark, sf_dir).join(returned, "outpoint").where("day >= height").groupBy("outpoint", "account", "value").agg(F.min("day").alias("height")).select("outpoint", "account", "height", "value")
 
 
+def signed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account, height, delta of outputs and of their spends, with one look at either table."""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("outpoint"), day("l_shipdate").alias("_day"))
+    both = outputs(spark, sf_dir).join(returned, "outpoint", "left").groupBy("outpoint", "account", "height", "value").agg(F.min(F.when(F.col("_day") >= F.col("height"), F.col("_day"))).alias("_spent"))
+    moved = F.array(F.struct("height", F.col("value").alias("delta")), F.struct(F.col("_spent").alias("height"), (-F.col("value")).alias("delta")))
+    return both.select("account", F.explode(moved).alias("_m")).where("_m.height is not null").select("account", "_m.height", "_m.delta")
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a log of passes: one pass a user, a state for each kind of event."""
     state = F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col("event_type"))

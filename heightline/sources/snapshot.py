@@ -47,8 +47,12 @@ def content_digest(rows: DataFrame) -> str:
     return hashlib.sha256("|".join(map(str, sums)).encode()).hexdigest()
 
 
+def described(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first()[0])
+
+
 def verify(spark: SparkSession, path: str) -> dict:
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    manifest = described(spark, path)
     if manifest["version"] != VERSION:
         raise RequestError("SNAPSHOT_VERSION", str(manifest["version"]))
     for name, digest in manifest["digests"].items():
@@ -60,7 +64,7 @@ def verify(spark: SparkSession, path: str) -> dict:
 
 def install(spark: SparkSession, staged: str, live: str, trust: str = "manifest") -> dict:
     """Checks a staged snapshot, then swaps it in by renaming; what was live is kept beside it."""
-    manifest = verify(spark, staged) if trust != "dev" else json.loads(spark.read.text(f"{staged}/manifest").first()[0])
+    manifest = verify(spark, staged) if trust != "dev" else described(spark, staged)
     source, fs = _hadoop(spark, staged)
     target, _ = _hadoop(spark, live)
     if fs.exists(target):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the network's record magic, little-endian.
 MAGIC = 0xD9B4BEF9
+ZERO_TXID = "0" * 64
 #: Blocks that leave a task at once.
 AT_ONCE = 64
 RECORDS = "file string, record_index bigint, file_offset bigint, block_hash string, prev_hash string, time bigint, payload binary"
@@ -85,3 +86,23 @@ def index_gaps(index: DataFrame) -> DataFrame:
     """Heights of a restored index with no entry below them; any but the first means a rebuild."""
     below = index.select((F.col("height") + 1).alias("height"))
     return index.join(below, "height", "left_anti").where("height > 0")
+
+
+def index_verdict(index: DataFrame, tip: DataFrame) -> DataFrame:
+    """One row, outcome and reason: what to do with a restored index (height, block_hash, prev_hash), given the tip (height, block_hash).
+
+    reuse: it is whole and ends at the tip. extend: it is whole and ends below. rebuild: it is empty, holds two blocks of one
+    height, lacks a height, has a block whose parent isn't the one below it, ends above the tip, or has another block there.
+    """
+    below = index.select((F.col("height") + 1).alias("height"), F.col("block_hash").alias("_below"))
+    sizes = index.agg(F.count("*").alias("n"), F.count_distinct("height").alias("heights"), F.min("height").alias("low"), F.max("height").alias("high"))
+    broken = index.join(below, "height").agg(F.count_if(~F.col("_below").eqNullSafe(F.col("prev_hash"))).alias("broken"))
+    ends = tip.select(F.col("height").alias("tip"), F.col("block_hash").alias("tip_hash"))
+    at = index.join(ends, (F.col("height") == F.col("tip"))).agg(F.count("*").alias("there"), F.count_if(F.col("block_hash") == F.col("tip_hash")).alias("same"))
+    reason = (
+        F.when(F.col("n") == 0, "empty").when(F.col("n") > F.col("heights"), "fork").when((F.col("low") > 0) | (F.col("heights") <= F.col("high")), "gap").when(F.col("broken") > 0, "broken_link")
+        .when(F.col("high") > F.col("tip"), "beyond_tip").when(F.col("there") > F.col("same"), "other_tip")
+    )
+    one = sizes.join(broken).join(at).join(ends.select("tip"))  # one row each
+    outcome = F.when(F.col("reason").isNotNull(), "rebuild").when(F.col("high") == F.col("tip"), "reuse").otherwise("extend")
+    return one.withColumn("reason", reason).select(outcome.alias("outcome"), "reason", "high", "tip")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from heightline import service
 from heightline.functions import address, mint
 from heightline.functions import binary as B
-from heightline.operators import chain, commit, derived, energy, events, ledger, series, temporal
+from heightline.operators import asserts, chain, commit, derived, energy, events, ledger, series, temporal
 from heightline.plans import lifecycle
 from heightline.sources import blockfiles, envelopes
 from heightline.sources import testdata as T
-from heightline.staging import staged
+from heightline.staging import shared_dir, staged
+from heightline.streaming.store import Store
 
 H, H2 = 1000, 400
 START, END, SIZE = 200, 1000, 100
@@ -175,6 +177,13 @@ def _(s, d):
     return ledger.resolved_inputs(T.spends(s, d).select("outpoint", F.col("height").alias("spent_height")), T.outputs(s, d), ["outpoint"])
 
 
+@query("utxo_resolved_fallback", "SELECT outpoint, spends.height AS spent_height, outs.account, outs.value, CASE WHEN outpoint % 3 <> 0 THEN 'first' ELSE 'second' END AS source FROM spends JOIN outs USING (outpoint)", "ledger")  # S8
+def _(s, d):
+    """The first source lacks every third output, which the second one has."""
+    outs = T.outputs(s, d).select("outpoint", "account", "value")
+    return asserts.resolved_inputs(T.spends(s, d).select("outpoint", F.col("height").alias("spent_height")), outs.where("outpoint % 3 <> 0"), outs.where("outpoint % 2 = 0 or outpoint % 3 = 0"), ["outpoint"])
+
+
 @query("utxo_touched_accounts", f"SELECT account FROM outs WHERE height BETWEEN {START} AND {START + 5} UNION SELECT account FROM spends WHERE height BETWEEN {START} AND {START + 5}", "ledger")  # U2, U3
 def _(s, d):
     return ledger.touched_accounts(T.outputs(s, d), T.spends(s, d), START, START + 5)
@@ -241,11 +250,20 @@ def _(s, d):
     return temporal.first_missing(_ledger(s, d).select("height").distinct(), 0, 2600)
 
 
-@query("rollback_replay_equality", "SELECT * FROM ledger", "ledger")  # R4
+def _store(s: SparkSession, name: str) -> Store:
+    return Store(s, f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}", retention=10**9)
+
+
+@query("rollback_replay_equality", "SELECT * FROM ledger", "ledger")  # R4, K1
 def _(s, d):
-    """The ledger after a rollback and the replay of what came behind."""
-    signed = ledger.signed_rows(T.outputs(s, d), T.spends(s, d))
-    return ledger.running_balance(ledger.deltas(chain.rolled_back(signed, H).unionByName(signed.where(F.col("height") > H))))
+    """The ledger of a store after three batches, a rollback into the second one, and the replay of what came behind."""
+    rows = staged(T.signed_rows(s, d).withColumn("account", F.col("account").cast("string")), "signed")
+    store = _store(s, "replay")
+    for low, high in ((-1, H2), (H2, H), (H, 10**6)):
+        store.commit(high, {"ledger": rows.where((F.col("height") > low) & (F.col("height") <= high))})
+    store.rollback(H - 200)
+    store.commit(10**6, {"ledger": rows.where(F.col("height") > H - 200)})
+    return ledger.running_balance(ledger.deltas(store.read("ledger").withColumn("account", F.col("account").cast("bigint"))))
 
 
 _BLOCKS = "blocks AS (SELECT DISTINCT height, sha256('a' || height) AS block_hash FROM ledger), forks AS (SELECT height, CASE WHEN height > 1234 THEN sha256('b' || height) ELSE block_hash END AS block_hash FROM blocks)"
@@ -258,6 +276,31 @@ def _(s, d):
     return chain.common_ancestor(ours, theirs)
 
 
+def _chain(s, d):
+    """A block for each height of the ledger, numbered from 0; each names the one below it."""
+    hashed = lambda c: F.sha2(c.cast("string"), 256)
+    placed = derived.numbered(T.signed_rows(s, d).select("height").distinct()).select(F.col("_i").cast("bigint").alias("height"))
+    return placed.select("height", hashed(F.col("height")).alias("block_hash"), F.when(F.col("height") == 0, chain.ZERO_HASH).otherwise(hashed(F.col("height") - 1)).alias("prev_hash"))
+
+
+@query("linearized_chain", ", n AS (SELECT count(DISTINCT height) AS n FROM deltas) SELECT i AS height, sha256(i::VARCHAR) AS block_hash FROM (SELECT unnest(range(n)) AS i FROM n)", "ledger")  # S4
+def _(s, d):
+    return chain.linearize(_chain(s, d).select("block_hash", "prev_hash"))
+
+
+@query("block_index_verdicts", """, n AS (SELECT count(DISTINCT height) AS n FROM deltas)
+SELECT 'whole' AS name, 'reuse' AS outcome, NULL AS reason, n - 1 AS high, n - 1 AS tip FROM n
+UNION ALL SELECT 'half', 'extend', NULL, n // 2 - 1, n - 1 FROM n
+UNION ALL SELECT 'holes', 'rebuild', 'gap', n - CASE WHEN n % 500 = 251 THEN 2 ELSE 1 END, n - 1 FROM n""", "ledger")  # S5
+def _(s, d):
+    """A restored index that ends at the tip, one that ends half-way, and one that lacks some heights."""
+    whole = staged(_chain(s, d), "chain")
+    tip = whole.agg(F.max_by(F.struct("height", "block_hash"), "height").alias("t")).select("t.*")
+    half = whole.join(F.broadcast(tip.select(F.col("height").alias("_tip")))).where("height < (_tip + 1) div 2").drop("_tip")  # one row
+    kinds = {"whole": whole, "half": half, "holes": whole.where("height % 500 <> 250")}
+    return reduce(DataFrame.unionByName, [blockfiles.index_verdict(rows, tip).select(F.lit(name).alias("name"), "outcome", "reason", "high", "tip") for name, rows in kinds.items()])
+
+
 # --- event log
 
 
@@ -377,6 +420,23 @@ def _(s, d):
     return chain.rolled_back(T.history(s, d), EVENT_H, "block_height")
 
 
+@query("rollback_current_rows", f", {T.sql_snapshot(EVENT_H)} SELECT inscription_id, block_height, id, new_state AS state, new_owner AS owner FROM snap", "history")  # U6, K8
+def _(s, d):
+    """Current rows of a store's passes after a rollback between two batches of the log."""
+    log, store = T.history(s, d), _store(s, "current")
+    store.commit(EVENT_H // 2, {"log": log.where(F.col("block_height") <= EVENT_H // 2)})
+    store.commit(10**6, {"log": log.where(F.col("block_height") > EVENT_H // 2)})
+    store.rollback(EVENT_H)
+    return store.read("passes").drop("satpoint")
+
+
+@query("event_positions", "SELECT id, block_height, id % 7 AS tx_position, id % 3 AS input_index FROM history", "history")  # J13
+def _(s, d):
+    rows = T.history(s, d).select("id", "block_height")
+    places = rows.select("id", "block_height", (F.col("id") % 7).alias("tx_position"), (F.col("id") % 3).alias("input_index"))
+    return asserts.event_positions(rows, places, ["block_height", "id"])
+
+
 @query("runs_summary", "SELECT event_type, new_state, count(*) AS runs, count(*) FILTER (WHERE id % 3 = 0) AS failures, min(block_height) AS min_seconds, (sum(block_height)::DOUBLE / count(*)) AS avg_seconds, max(block_height) AS max_seconds FROM history GROUP BY ALL", "history")  # A15
 def _(s, d):
     rows = T.history(s, d).select("event_type", "new_state", (F.col("id") % 3 != 0).alias("ok"), F.col("block_height").alias("seconds"))
@@ -426,6 +486,16 @@ def _(s, d):
     return energy.leaderboard(_projected(s, d).select("key", F.col("projected").alias("energy"), F.col("height").alias("record_height")), 100)
 
 
+@query("cross_checked_leaderboard", f"{_ENERGY}{_ENERGY_AT} SELECT key, projected AS energy FROM projected ORDER BY projected DESC, height DESC, key LIMIT 100", "ledger")  # J17
+def _(s, d):
+    """The leaderboard, once it agrees with the records, and the owners' balances with what was settled at the height."""
+    found = staged(_projected(s, d).select("key", F.col("projected").alias("energy"), F.col("height").alias("record_height"), "balance"), "projected")
+    active = found.select(F.col("key").alias("owner"), "balance")
+    rows = found.select(F.col("key").alias("account"), "balance", F.col("record_height").alias("height"))
+    settled = events.settlement(active.select("owner"), rows, H)
+    return asserts.cross_checked(energy.leaderboard(found, 100).select("key", "energy"), found.select("key", "energy"), active, settled)
+
+
 @query("candidate_winner", f"{_ENERGY}{_ENERGY_AT} SELECT key, projected AS energy FROM projected ORDER BY projected DESC, key LIMIT 1", "ledger")  # T8
 def _(s, d):
     return energy.winner(_projected(s, d).select("key", F.col("projected").alias("energy")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,19 +46,26 @@ def _digests(heads: DataFrame, entries: DataFrame, order: list[str], kept: list[
             return pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.string())], [*kept, name])
 
         for batch in batches:
-            for height, k, e, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if k == 0:
+            heights, entry = batch.column(0).fill_null(-1).to_numpy(), batch.column(1).to_numpy() == 1
+            e = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(e.buffers()[1], np.int64)[e.offset : e.offset + len(e) + 1]
+            data, lost = memoryview(e.buffers()[2] or b""), e.is_null().to_numpy(zero_copy_only=False)
+            # Runs of entries of one height are one update; heads stand alone.
+            edges = np.flatnonzero((heights[1:] != heights[:-1]) | ~entry[1:] | ~entry[:-1]) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(heights)]):
+                height = heights[a]
+                if not entry[a]:
                     if held and height != at:
                         yield out()
                         held = []
-                    at = height
-                    held.append([own, e, None if e is None else hashlib.sha256(e)])
+                    at, own = height, e[a].as_py()
+                    held.append([batch.column(3)[a].as_py(), own, None if own is None else hashlib.sha256(own)])
                 elif held and height == at:
                     for one in held:
-                        if e is None:
+                        if lost[a:b].any():
                             one[2] = None
                         elif one[2]:
-                            one[2].update(e)
+                            one[2].update(data[offsets[a] : offsets[b]])
         if held:
             yield out()
 

@@ -452,8 +452,11 @@ energy AS (SELECT key, height, balance, delta, coalesce(last_value(CASE WHEN del
 _ENERGY_AT = f", known AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY height DESC) AS n FROM energy WHERE height <= {H}) WHERE n = 1), projected AS (SELECT *, (energy + CASE WHEN balance < 100000 THEN 0 ELSE balance::HUGEINT * 10000 * ({H} - height) END)::BIGINT AS projected FROM known)"
 
 
-def _energy(s, d):
-    rows = _ledger(s, d).select(F.col("account").alias("key"), "height", "balance", "delta")
+def _energy(s, d, account: int | None = None):
+    """Energy records of all accounts, or of one."""
+    signed = T.signed_rows(s, d)
+    own = signed if account is None else signed.where(F.col("account") == account)
+    rows = ledger.running_balance(ledger.deltas(own)).select(F.col("account").alias("key"), "height", "balance", "delta")
     return energy.records(rows).withColumn("energy", F.col("energy").cast("bigint"))
 
 
@@ -473,7 +476,7 @@ def _(s, d):
 
 @query("energy_range", f"{_ENERGY} SELECT * FROM energy WHERE key = {ACCOUNT} AND height BETWEEN {START} AND {END}", "ledger")  # P10, T7
 def _(s, d):
-    return _energy(s, d).where((F.col("key") == ACCOUNT) & F.col("height").between(START, END))
+    return _energy(s, d, ACCOUNT).where(F.col("height").between(START, END))
 
 
 @query("energy_max_height", f"{_ENERGY} SELECT max(height) AS height FROM energy", "ledger")  # A14
@@ -667,7 +670,7 @@ def _(s, d):
 
 @query("energy_page_total", f"{_ENERGY} SELECT count(*) AS n FROM energy WHERE key = {ACCOUNT} AND height BETWEEN {START} AND {END}", "ledger")  # A8
 def _(s, d):
-    return service.PassService(T.history(s, d), T.passes(s, d), _energy(s, d), synced=10**9).energy_range_total(ACCOUNT, START, END)
+    return service.PassService(T.history(s, d), T.passes(s, d), _energy(s, d, ACCOUNT), synced=10**9).energy_range_total(ACCOUNT, START, END)
 
 
 @query("active_owners", f", {T.sql_snapshot(EVENT_H)} SELECT DISTINCT new_owner AS owner FROM snap WHERE new_state = 'active'", "history")  # T9

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heightline.functions import binary
+from heightline.functions import address, binary
 from heightline.operators import commit, energy, events, ledger, series, temporal, validation
 from heightline.operators.validation import RequestError
 from heightline.schema import STATES
@@ -83,9 +83,10 @@ class BalanceService:
         return self.utxo.where((F.col("txid") == txid) & (F.col("vout") == vout))
 
     def resolve(self, hashes: list[str]) -> DataFrame:  # B9
-        """Script and its class for each hash, in order; nulls for unknown ones."""
+        """Script, its class and its address for each hash, in order; nulls for unknown ones, and where a script has no address."""
         rows = self.registry.withColumn("kind", binary.script_kind(F.col("script_pubkey")))
-        return temporal.ordered_lookup(validation.batch(hashes), rows, "script_hash").orderBy("pos")
+        found = temporal.ordered_lookup(validation.batch(hashes), rows, "script_hash")
+        return found.withColumn("address", address.script_address(F.col("script_pubkey"))).orderBy("pos")
 
     def block_commit(self, height: int) -> DataFrame:  # B10
         return self.commits.where(F.col("height") == height)
@@ -233,8 +234,15 @@ class PassService:
             raise RequestError("NO_RECORD", str(height))
         return found
 
-    def latest_active_balance(self) -> DataFrame:  # P13, Z12
+    def latest_active_balance(self) -> DataFrame:  # P13
         return self.snapshots.orderBy(F.desc("block_height")).limit(1)
 
+    def synced_active_balance(self) -> DataFrame:  # Z12
+        """The latest snapshot, which must be that of the synced height."""
+        row = self.latest_active_balance().first()
+        if row is None or row["block_height"] != self.synced:
+            raise RequestError("SNAPSHOT_NOT_SYNCED", f"{row and row['block_height']}, synced {self.synced}")
+        return self.latest_active_balance()
+
     def commit_at(self, height: int) -> DataFrame:  # Z9
         return commit.commit_at(self.commits, height)

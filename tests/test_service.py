@@ -43,6 +43,8 @@ def test_lookups(balances):
     assert balances.live_output("t", 0).count() == 1 and balances.live_output("t", 1).count() == 0
     assert values(balances.resolve(["x", "h1"]), "pos", "kind")[0] == (0, None)
     assert balances.resolve(["h1"]).first()["kind"] is not None
+    unknown, known = (r["address"] for r in balances.resolve(["x", "h1"]).collect())
+    assert unknown is None and known.startswith("bc1q") and len(known) == 42
     assert balances.state_ref(18, {"stable_block_hash": "bh18"}).count() == 1
     with pytest.raises(RequestError, match="BLOCK_HASH"):
         balances.state_ref(18, {"stable_block_hash": "other"})
@@ -88,4 +90,12 @@ def test_energy(passes):
     assert passes.energy("p2", 6, "exact").count() == 1 and passes.energy("p2", 7, "exact").count() == 0
     assert passes.energy("p2", 8).first()["projected"] > 7
     assert passes.latest_active_balance().first()["total_balance"] == 30 and passes.active_balance(5).count() == 1
+    latest = passes.latest_active_balance().first()["block_height"]
+    for synced in (latest, latest + 1):
+        asked = PassService(passes.history, passes.passes, snapshots=passes.snapshots, synced=synced)
+        if synced == latest:
+            assert asked.synced_active_balance().count() == 1
+        else:
+            with pytest.raises(RequestError, match="SNAPSHOT_NOT_SYNCED"):
+                asked.synced_active_balance()
     assert passes.commit_at(6).first()["block_commit"] == "x"

@@ -51,10 +51,20 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.staged_at)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this application has staged, once no result of it is read any more."""
-    for path in list(_written.get(spark.sparkContext.applicationId, [])):
-        _delete(spark, path)
+def clear(spark: SparkSession, kept: tuple[DataFrame, ...] = (), since: int = 0) -> None:
+    """Deletes the tables that this application has staged, once no result of them is read any more.
+
+    Not those of kept, nor the first `since` of them, which is what `mark` gave before the others were staged.
+    """
+    left = {df.staged_at for df in kept}
+    for path in _written.get(spark.sparkContext.applicationId, [])[since:]:
+        if path not in left:
+            _delete(spark, path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many staged tables this application has now."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

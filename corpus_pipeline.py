@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heightline.llm import jaccard_join, packing, quality, substring_dedup, toxicity
-from heightline.staging import document_batches, staged
+from heightline.staging import clear, document_batches, mark, staged
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written in the shared folder and read again by the next.
+
+    What a stage and its operators staged is deleted as soon as the stage is written, and so is the stage before it; only the
+    last stage's input, and what its result still reads, stay for the caller.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        clear(spark, (docs,), before)
     return STAGES[-1][1](spark, docs, sf_dir)

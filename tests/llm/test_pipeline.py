@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from heightline import staging
 from heightline.llm import packing, quality, toxicity
 from heightline.staging import staged
 from tests.llm import brute
@@ -45,11 +46,14 @@ def test_run_over_edges(spark, table, edge_rows, monkeypatch, rows):
     monkeypatch.setattr(quality, "LEAST_STEPS", 60)
     folder = table(edge_rows if rows == "edge" else [])
     spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    before = set(staging._written.get(spark.sparkContext.applicationId, []))
     found = corpus_pipeline.run(spark, folder)
+    left = {p.rsplit("/", 1)[-1].split("-")[0] for p in set(staging._written[spark.sparkContext.applicationId]) - before}
+    assert "substring_dedup" in left and not left & {"toxicity", "quality_classifier", "ngram_jaccard_join", "taught", "signatures", "sets", "parsed", "profile"}
     assert tuple(found.columns) == packing.COLUMNS
     found.collect()
 
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))

@@ -13,7 +13,7 @@ from heightline import service
 from heightline.functions import address, mint
 from heightline.functions import binary as B
 from heightline.operators import asserts, chain, commit, derived, energy, events, ledger, series, temporal
-from heightline.plans import lifecycle
+from heightline.plans import blockfile_ledger, lifecycle
 from heightline.sources import blockfiles, envelopes
 from heightline.sources import testdata as T
 from heightline.staging import shared_dir, staged
@@ -716,6 +716,12 @@ def _(s, d):
     return ledger.running_balance(ledger.deltas(ledger.signed_rows(outs, spends)))
 
 
+@query("block_file_ledger", blockfile_ledger.sql(_reversed("sha256(unhex(script))")))  # S1, S2, S3, S4
+def _(s, d):
+    """Orders written as serialised blocks in files, and the ledger of those files."""
+    return blockfile_ledger.block_file_ledger(s, d)
+
+
 @query("pass_moves", f"""WITH RECURSIVE {_DECODED.removeprefix("WITH ").replace("outputs AS (", "spans AS (SELECT l_orderkey AS tx, vout, value, script, sum(value) OVER (PARTITION BY l_orderkey ORDER BY vout) - value AS low FROM lines), outputs AS (")},
 moves AS (
   SELECT tx AS pass, 0 AS hop, NULL::BIGINT AS height, 'transfer' AS kind, NULL::VARCHAR AS new_owner, tx, vout, (value * (tx % 97) // 97)::BIGINT AS pos FROM spans WHERE vout = 1

@@ -281,9 +281,11 @@ def links(docs: DataFrame, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     # Second round: lists that still hold several components, of which any two might have a link.
     of = components(found)
     placed = lists.join(of, lists["key"] == of["node"], "left").select("token", "n", "rest", "key", F.coalesce("component", "key").alias("component"))
+    placed = staged(placed, "placed")  # two joins read it
+    discard(lists)
     apart = staged(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "apart")
     open_ = staged(placed.join(apart, "token").join(sets.select("key", "bits"), "key"), "open")
-    discard(lists, sets, apart)
+    discard(placed, sets, apart)
     kinds = open_.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"))
     others = kinds.select("token", F.col("component").alias("other"), F.col("n").alias("_m"), F.col("most").alias("_most"), F.col("rest").alias("_rest"), F.col("size").alias("_size"))
     # The smaller side is laid out first; the larger one then meets it under the full condition.

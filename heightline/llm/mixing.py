@@ -2,14 +2,14 @@
 
 Every source gets a target: its share, by weight, of the words that the mix shall have, but at most MOST times
 its own size; what it can't take is shared again by weight. A document's expected copies are its source's target over
-its source's size, in units of 2**-UNITS. Within a source they are summed up, smallest documents first, one random
-offset is added, and a document is emitted once for each integer that its own part of the sum crosses. As sizes rise
-along the sum, the words taken differ from the target by about one document at most. Functions of Spark alone; a source that
-holds a third of all rows is summed in pieces (`prefix.running`).
+its source's size, in units of 2**-UNITS. Within a source they are summed up, in the order of a hash of the ids, one random
+offset is added, and a document is emitted once for each integer that its own part of the sum crosses. The offset is that one of TRIES random
+ones whose words come nearest to the target, so that a source of few and uneven documents comes near it too. Functions of Spark
+alone; a source that holds a third of all rows is summed in pieces (`prefix.running`).
 
 Defined results: a null text has size 0 and is emitted like others. A null source is a source of its own, the last one. A
 source without words has the target 0 and emits nothing. Rows that repeat a doc_id are documents by themselves. The offset
-comes from a hash of seed and source, so reruns agree. An empty table gives an empty result; texts of any length
+comes from hashes of seed and source, so reruns agree. An empty table gives an empty result; texts of any length
 count whole; other columns are left out.
 """
 
@@ -32,6 +32,8 @@ MOST = 2
 #: Binary digits after the point of expected copies.
 UNITS = 24
 SEED = "mix"
+#: Random offsets of a source, of which the one counts whose words come nearest to the target, the first of equally near ones.
+TRIES = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,12 +61,18 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[i
     return summed.join(F.broadcast(level)).withColumn("target", F.coalesce(own, F.col("_cap").cast("double"))).select("source", "number", "size", "weight", "target")
 
 
-def offset(source: Column, seed: str) -> Column:
-    """A number below 2**UNITS, fixed by seed and source."""
-    name = F.when(source.isNull(), F.lit(seed)).otherwise(F.concat(F.lit(f"{seed}:"), source))
+def offset(source: Column, seed: str, attempt: int) -> Column:
+    """A number below 2**UNITS, fixed by seed, attempt and source."""
+    name = F.when(source.isNull(), F.lit(f"{seed}{attempt}")).otherwise(F.concat(F.lit(f"{seed}{attempt}:"), source))
     return F.conv(F.substring(F.sha2(name, 256), 1, UNITS // 4), 16, 10).cast("long")
 
 
+def _copies(at: Column) -> Column:
+    """Integers that a document's part of the sum crosses, if its source's sum begins at `at`."""
+    start = F.col("_sum") + at
+    return F.shiftright(start + F.col("_expected"), UNITS) - F.shiftright(start, UNITS)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """key, source, size, source_size, target and copies of every document."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,11 +82,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") * (1 << UNITS) / F.col("source_size"))).otherwise(0).cast("long")
     named = aims.select(F.col("source").alias("_source"), "number", F.col("size").alias("source_size"), "target")
     joined = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_expected", rate)
-    summed = running(joined, ["number"], [F.col("size").asc(), F.col("key").asc_nulls_last(), F.col("_row").asc()], {"_sum": "_expected"})
-    discard(sized, sums, aims)
-    start = F.col("_sum") + offset(F.col("source"), seed)
-    copies = F.shiftright(start + F.col("_expected"), UNITS) - F.shiftright(start, UNITS)
-    return summed.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"))
+    place = [F.col("_hash").asc_nulls_last(), F.col("key").asc_nulls_last(), F.col("size").asc(), F.col("_row").asc()]
+    summed = running(joined.withColumn("_hash", F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 16)), ["number"], place, {"_sum": "_expected"})
+    discard(sized, sums)
+    tries = staged(aims.select("number", F.array(*(offset(F.col("source"), seed, i) for i in range(TRIES))).alias("_drawn")), "tries")
+    words = F.array(*(F.sum(F.col("size") * _copies(F.col("_drawn")[i])) for i in range(TRIES)))
+    tried = summed.join(tries, "number").groupBy("number").agg(F.max("target").alias("_t"), words.alias("_words")).join(tries, "number")
+    best = F.array_min(F.transform("_words", lambda w, i: F.struct(F.abs(w - F.col("_t")).alias("off"), i.alias("i"))))
+    chosen = staged(tried.select("number", F.get("_drawn", best["i"]).alias("_at")), "offsets")  # so that a join with it can split a source
+    taken = summed.join(chosen, "number")
+    return taken.select(F.col("key").alias(key), "source", "size", "source_size", "target", _copies(F.col("_at")).alias("copies"))
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
@@ -110,8 +123,14 @@ WITH d AS (
 ), e AS (
   SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN source_size > 0 THEN floor(target * 16777216 / source_size)::BIGINT ELSE 0 END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), r AS (
-  SELECT *, (coalesce(sum(expected) OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-    + ('0x' || substr(sha256(CASE WHEN source IS NULL THEN '{SEED}' ELSE '{SEED}:' || source END), 1, 6))::BIGINT)::BIGINT AS start FROM e
+  SELECT *, coalesce(sum(expected) OVER (PARTITION BY source ORDER BY substr(sha256(doc_id::VARCHAR), 1, 16) NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e
+), o AS (
+  SELECT source, i, ('0x' || substr(sha256('{SEED}' || i || CASE WHEN source IS NULL THEN '' ELSE ':' || source END), 1, 6))::BIGINT AS offs FROM s, (SELECT unnest(range({TRIES})) AS i)
+), w16 AS (
+  SELECT r.source, i, offs, abs(sum((((start + offs + expected) >> 24) - ((start + offs) >> 24)) * size)::DOUBLE - max(target)) AS off
+  FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source GROUP BY r.source, i, offs
+), c AS (
+  SELECT source, offs FROM w16 QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, i) = 1
 )
-SELECT doc_id, size, source_size, target, (((start + expected) >> 24) - (start >> 24)) * size AS taken FROM r
+SELECT doc_id, size, source_size, target, (((start + offs + expected) >> 24) - ((start + offs) >> 24)) * size AS taken FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
 """

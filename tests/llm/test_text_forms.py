@@ -152,6 +152,12 @@ def test_url_contract(spark, table):
     assert not python
 
 
+def test_url_rules_are_the_contracts(spark, table):
+    urls = {"http://x.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://x.org/es/1": ("org/es/", "block")}
+    found = url_filter.op9_url_filters(spark, table([(i, u, "") for i, u in enumerate(urls)], PAGES, "pages"))
+    assert [(r["rule"], r["verdict"]) for r in found.orderBy("page_id").collect()] == list(urls.values())
+
+
 def test_url_oracle(spark, sf_dir):
     same(url_filter.op9_url_filters(spark, sf_dir), url_filter.ORACLE, sf_dir)
 

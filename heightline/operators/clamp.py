@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heightline.functions.energy import WIDE
-from heightline.operators.pieces import PIECE, pieced
+from heightline.operators.pieces import PIECE, UNKNOWN, pieced
 from heightline.schema import U64_MAX
 from heightline.staging import staged
 
@@ -58,15 +58,16 @@ def _running(functions: Column) -> Column:
     return F.aggregate(functions, first, join)
 
 
-def prefixes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece: int = PIECE) -> DataFrame:
+def prefixes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece: int = PIECE, spans=UNKNOWN) -> DataFrame:
     """rows (with up and down, at least 0) with f: what the steps of the key up to and including this row make.
 
-    order begins with height and tells the rows of a key apart. up and down go.
+    order begins with height and tells the rows of a key apart. up and down go, and so does _piece. spans: the keys that have several pieces.
     """
+    rows, cut = rows.drop("_piece"), rows if "_piece" in rows.columns else pieced(rows, piece=piece)
     kept = [c for c in rows.columns if c not in ("up", "down")]
     parts = Window.partitionBy(*keys, "_piece")
     upto = parts.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = pieced(rows, piece=piece).withColumn("_s", F.sum(wide(F.col("up") - F.col("down"))).over(upto).cast(WIDE))
+    summed = cut.withColumn("_s", F.sum(wide(F.col("up") - F.col("down"))).over(upto).cast(WIDE))
     summed = summed.withColumn("_t", wide(F.col("_s") + F.col("down"))).withColumns({"_low": F.least(F.min("_s").over(upto), wide(0)), "_high": F.greatest(F.max("_t").over(upto), wide(0))})
     apart = (F.max("_high").over(parts) - F.min("_low").over(parts)) > wide(U64_MAX)
     plain = function(F.col("_s"), F.col("_s") - F.col("_low"), F.lit(str(U64_MAX)).cast(WIDE) + F.col("_s") - F.col("_high"))
@@ -76,9 +77,15 @@ def prefixes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece:
         pairs = F.arrays_zip(F.col("_r").alias("r"), _running(F.transform("_r", lambda r: step(r["up"], r["down"]))).alias("f"))
         folded = listed.select(*keys, "_piece", F.explode(pairs).alias("_z")).select(*keys, *(F.col(f"_z.r.{c}").alias(c) for c in order), F.col("_z.f").alias("_g"))
         found = found.join(folded, [*keys, *order], "left").withColumn("_f", F.when(F.col("_apart"), F.col("_g")).otherwise(F.col("_f"))).drop("_g")
-    totals = found.groupBy(*keys, "_piece").agg(F.max_by("_f", F.struct(*order)).alias("_f"))
+    if spans is None:
+        return found.select(*kept, F.when(F.col("_apart"), composed(identity(), F.col("_f"))).otherwise(F.col("_f")).alias("f"))
+    several = found if spans is UNKNOWN else found.join(spans, [*keys], "left_semi")
+    totals = several.groupBy(*keys, "_piece").agg(F.max_by("_f", F.struct(*order)).alias("_f"))
     lists = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_piece", "_f"))).alias("_p"))  # a key's pieces, not its rows
     ran = _running(F.transform("_p", lambda p: p["_f"]))
     before = F.transform("_p", lambda p, i: F.struct(p["_piece"].alias("_piece"), F.when(i > 0, F.get("_ran", i - 1)).otherwise(identity()).alias("_b")))
     starts = lists.withColumn("_ran", ran).select(*keys, F.inline(before))
-    return found.join(starts, [*keys, "_piece"]).select(*kept, composed(F.col("_b"), F.col("_f")).alias("f"))
+    if spans is UNKNOWN:
+        return found.join(starts, [*keys, "_piece"]).select(*kept, composed(F.col("_b"), F.col("_f")).alias("f"))
+    starts = staged(starts, "starts")  # its size tells whether a join moves the rows
+    return found.join(starts, [*keys, "_piece"], "left").select(*kept, composed(F.coalesce("_b", identity()), F.col("_f")).alias("f"))

@@ -12,12 +12,14 @@ are known hand on their value, and passes with one unknown predecessor jump over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heightline.functions import energy as E
 from heightline.operators import clamp
-from heightline.operators.pieces import nearest
+from heightline.operators.pieces import nearest, pieced, spanning
 from heightline.staging import discard, staged
 
 #: events: height, event_order, op (mint, invalid_mint, transfer, burn, balance), inscription_id, owner,
@@ -54,7 +56,7 @@ def _changes(moves: DataFrame, born: DataFrame) -> DataFrame:
     lost = F.col("born").isNull() | (F.col("pos") < F.col("born"))
     known = staged(known.where(_sound(lost, "pass ", F.col("id"), " not found for a ", F.col("op"), " at ", F.col("height"))), "moves")
     moved = F.col("op") == "transfer"
-    seen = nearest(known, ["id"], ["height", "pos"], {"_before": F.when(moved, F.struct("owner", "satpoint"))})
+    seen = nearest(known, ["id"], ["height", "pos"], {"_before": F.when(moved, F.struct("owner", "satpoint"))}, spans=spanning(pieced(known), ["id"]))
     owner = F.coalesce("_before.owner", "minter")
     at = F.when(F.col("_before").isNull(), F.col("mint_satpoint")).otherwise(F.col("_before.satpoint"))
     kept = lambda new, old: F.when(moved, F.col(new)).otherwise(old)
@@ -62,21 +64,30 @@ def _changes(moves: DataFrame, born: DataFrame) -> DataFrame:
 
 
 def _marks(changes: DataFrame) -> DataFrame:
-    """id, away (first move to another owner) and burnt of the passes that changed."""
-    moved = (F.col("op") == "transfer") & (F.col("new_owner") != F.col("minter"))
-    return changes.groupBy("id").agg(F.min(F.when(moved, F.col("pos"))).alias("away"), F.min(F.when(F.col("op") == "burn", F.col("pos"))).alias("burnt"))
+    """id, moved (first move), away (first one to another owner) and burnt of the passes that changed."""
+    moved = F.col("op") == "transfer"
+    away = moved & (F.col("new_owner") != F.col("minter"))
+    return changes.groupBy("id").agg(F.min(F.when(moved, F.col("pos"))).alias("moved"), F.min(F.when(away, F.col("pos"))).alias("away"), F.min(F.when(F.col("op") == "burn", F.col("pos"))).alias("burnt"))
 
 
 def _claims(born: DataFrame, changes: DataFrame) -> DataFrame:
     """heir, pos, place, id: the predecessors of mints that exist by then, are the minter's and not burned; each once a mint."""
     asked = born.where("may").select(F.col("id").alias("heir"), F.col("born").alias("pos"), F.col("minter").alias("by"), F.posexplode("prev").alias("place", "id"))
     asked = asked.where("id is not null").groupBy("heir", "pos", "by", "id").agg(F.min("place").alias("place"))
-    could = asked.join(born.where("may").select("id", "born", "minter", "burnt"), "id")
+    could = asked.join(born.where("may").select("id", "born", "minter", "moved", "burnt"), "id")
     could = could.where((F.col("born") < F.col("pos")) & (F.col("burnt").isNull() | (F.col("burnt") > F.col("pos")))).drop("born", "burnt")
+    could = staged(could, "could")
+    stayed = could.where(_stayed()).where(F.col("minter") == F.col("by")).select("heir", "pos", "place", "id")
+    could = could.where(~_stayed()).drop("moved")
     moved = changes.where("op = 'transfer'").select("id", "pos", F.col("new_owner").alias("owner"))
     line = staged(could.withColumn("owner", F.lit(None).cast("string")).unionByName(moved, allowMissingColumns=True).withColumn("height", F.col("pos.height")), "claims")
-    held = nearest(line, ["id"], ["height", "pos"], {"_held": F.col("owner")}).where("heir is not null")
-    return held.where(F.coalesce("_held", "minter") == F.col("by")).select("heir", "pos", "place", "id")
+    held = nearest(line, ["id"], ["height", "pos"], {"_held": F.col("owner")}, spans=spanning(pieced(line), ["id"])).where("heir is not null")
+    return stayed.unionByName(held.where(F.coalesce("_held", "minter") == F.col("by")).select("heir", "pos", "place", "id"))
+
+
+def _stayed() -> Column:
+    """Whether a pass had not moved before pos, so that its owner and place are those of its mint."""
+    return F.coalesce(F.col("moved") > F.col("pos"), F.lit(True))
 
 
 def _valid(born: DataFrame, claims: DataFrame, whole_prev: bool) -> DataFrame:
@@ -87,17 +98,42 @@ def _valid(born: DataFrame, claims: DataFrame, whole_prev: bool) -> DataFrame:
     held = claims.groupBy(F.col("heir").alias("id")).agg(F.count("*").alias("_n"))
     could = born.join(held, "id", "left").select("id", (F.col("may") & (F.greatest(F.coalesce(F.size("prev"), F.lit(0)), F.lit(0)) == F.coalesce("_n", F.lit(0)))).alias("could"))
     could = staged(could, "mints")
-    guess = could.withColumn("valid", F.col("could"))
-    while True:
-        sound = guess.where("valid").select("id")
-        first = claims.join(sound.withColumnRenamed("id", "heir"), "heir").groupBy("id").agg(F.min("pos").alias("_first"))
-        open_ = claims.join(first, "id", "left").join(sound.withColumn("_there", F.lit(True)), "id", "left")
-        refused = open_.where(F.col("_there").isNull() | (F.col("_first") < F.col("pos"))).select(F.col("heir").alias("id"), F.lit(True).alias("_refused")).distinct()
-        again = could.join(refused, "id", "left").select("id", "could", (F.col("could") & F.col("_refused").isNull()).alias("valid"))
-        again = staged(again.join(guess.select("id", F.col("valid").alias("_old")), "id"), "mints")
-        if again.where("valid <> _old").isEmpty():
-            return again.select("id", "valid")
-        guess = again.drop("_old")
+    named = lambda of, value: could.select(F.col("id").alias(of), F.col("could").alias(value))
+    claims = staged(claims.select("heir", "pos", "id").join(named("heir", "_sound"), "heir").join(named("id", "_there"), "id"), "claims-of-mints")
+    found, news, all_ = _refused(claims, claims), [], claims.count()
+    changed = staged(found.where("_sound and _refused").select(F.col("heir").alias("id"), F.lit(False).alias("valid")), "changed")
+    while not changed.isEmpty():
+        news.append(changed.withColumn("_round", F.lit(len(news))))
+        latest = reduce(DataFrame.unionByName, news).groupBy("id").agg(F.max_by("valid", "_round").alias("valid"))
+        mine = rivals = claims
+        used = []
+        if changed.count() * ASIDE < all_:
+            # Only heirs whose predecessors, or whose rivals for one, changed may change now.
+            touched = changed.select("id").unionByName(claims.join(changed.select(F.col("id").alias("heir")), "heir", "left_semi").select("id"))
+            used.append(staged(touched.distinct(), "touched"))
+            used.append(staged(claims.where("_sound").join(used[-1], "id", "left_semi").select("heir").distinct(), "heirs"))
+            used.append(staged(claims.join(used[-1], "heir", "left_semi"), "claims-of-heirs"))
+            mine = used[-1]
+            rivals = claims.join(mine.select("id").distinct(), "id", "left_semi")
+        now = lambda rows, of, value: rows.join(latest.select(F.col("id").alias(of), F.col("valid").alias("_now")), of, "left").withColumn(value, F.coalesce("_now", value)).drop("_now")
+        found = _refused(now(mine, "id", "_there"), now(rivals, "heir", "_sound"))
+        found = now(found.where("_sound").withColumn("_old", F.col("_sound")), "heir", "_old")
+        changed = staged(found.where("_old = _refused").select(F.col("heir").alias("id"), (~F.col("_refused")).alias("valid")), "changed")
+        discard(*used)
+    if not news:
+        return could.select("id", F.col("could").alias("valid"))
+    return could.join(latest, "id", "left").select("id", F.coalesce("valid", "could").alias("valid"))
+
+
+#: A round reads the claims that the last one's changes touch, where these changes are fewer than one in so many claims; else all of them.
+ASIDE = 8
+
+
+def _refused(mine: DataFrame, rivals: DataFrame) -> DataFrame:
+    """heir, _sound (as in mine) and _refused: whether one of its predecessors isn't there, or an earlier sound heir among rivals has it."""
+    first = rivals.where("_sound").groupBy("id").agg(F.min("pos").alias("_first"))
+    bad = ~F.col("_there") | F.coalesce(F.col("_first") < F.col("pos"), F.lit(False))
+    return mine.join(first, "id", "left").groupBy("heir").agg(F.max("_sound").alias("_sound"), F.max(bad).alias("_refused"))
 
 
 def passes(born: DataFrame, changes: DataFrame, whole_prev: bool) -> DataFrame:
@@ -130,13 +166,14 @@ def _functions(events: DataFrame, held: DataFrame, changes: DataFrame) -> DataFr
     rows = rows.join(busy, ["id", "height"], "left").where("delta <> 0 or _last or _busy").drop("_last", "_busy")
     finals = held.where(F.col("cause").isin(REMINT, AWAY)).select("id", F.col("end.height").alias("height"), F.lit(FINAL).alias("kind"), F.col("end").alias("pos"))
     steps = seeds.unionByName(rows).unionByName(asked, allowMissingColumns=True).unionByName(finals, allowMissingColumns=True)
-    steps = staged(steps, "steps-of-passes")
+    steps = pieced(staged(steps, "steps-of-passes"))
+    spans = spanning(steps, ["id"])
     own = F.col("kind") <= SETTLED
-    before = nearest(steps, ["id"], ["height", "kind", "pos"], {"_last": F.when(own, F.struct("height", "balance")), "_from": F.when((F.col("kind") == SEED) | (own & (F.col("delta") < 0)), F.col("height"))})
+    before = nearest(steps, ["id"], ["height", "kind", "pos"], {"_last": F.when(own, F.struct("height", "balance")), "_from": F.when((F.col("kind") == SEED) | (own & (F.col("delta") < 0)), F.col("height"))}, spans=spans)
     grown = E.increase(F.col("_last.balance"), F.col("_from"), F.col("_last.height"), F.col("height"))
     up = F.when(F.col("kind").isin(SETTLED, FINAL), grown).otherwise(E.wide(0))
     down = F.when(F.col("kind") == SETTLED, E.penalty(F.col("delta"))).otherwise(E.wide(0))
-    made = clamp.prefixes(before.select("id", "height", "kind", "pos", up.alias("up"), down.alias("down")), ["id"], ["height", "kind", "pos"])
+    made = clamp.prefixes(before.select("id", "height", "kind", "pos", "_piece", up.alias("up"), down.alias("down")), ["id"], ["height", "kind", "pos"], spans=spans)
     return staged(made.where(F.col("kind") >= ASKED).select("id", "kind", "pos", "f"), "functions")
 
 
@@ -198,11 +235,12 @@ def run(events: DataFrame, strict_terminal_energy: bool = False, strict_prev: bo
     valid = F.col("valid")
     mints = full.select(*row(F.col("born"), 1, F.lit(0), F.when(valid, "mint").otherwise("invalid_mint"), (nothing, F.when(valid, "active").otherwise("invalid")), (nothing, F.col("minter")), (nothing, F.col("mint_satpoint")), F.when(valid, F.col("gained"))))
     # Where a pass and its owner stood when another pass's mint changed it.
-    marks = full.where(F.col("cause") == REMINT).select("id", F.col("end").alias("pos"), F.lit(0).alias("step"), F.lit(0).alias("place"), "minter", "mint_satpoint", F.col("kept").alias("energy"))
-    marks = marks.unionByName(full.where("heir is not null").select("id", F.col("taken").alias("pos"), F.lit(2).alias("step"), "place", "minter", "mint_satpoint", E.wide(0).alias("energy")))
+    marks = full.where(F.col("cause") == REMINT).select("id", F.col("end").alias("pos"), F.lit(0).alias("step"), F.lit(0).alias("place"), "minter", "mint_satpoint", "moved", F.col("kept").alias("energy"))
+    marks = marks.unionByName(full.where("heir is not null").select("id", F.col("taken").alias("pos"), F.lit(2).alias("step"), "place", "minter", "mint_satpoint", "moved", E.wide(0).alias("energy")))
+    stayed, marks = marks.where(_stayed()).drop("moved"), marks.where(~_stayed()).drop("moved")
     moved = changes.where("op = 'transfer'").select("id", "pos", F.struct("new_owner", "new_satpoint").alias("_new"))
     line = staged(marks.unionByName(moved, allowMissingColumns=True).withColumns({"height": F.col("pos.height"), "step": F.coalesce("step", F.lit(-1))}), "marks")
-    stood = nearest(line, ["id"], ["height", "pos", "step"], {"_at": F.col("_new")}).where("step >= 0")
+    stood = nearest(line, ["id"], ["height", "pos", "step"], {"_at": F.col("_new")}, spans=spanning(pieced(line), ["id"])).where("step >= 0").unionByName(stayed, allowMissingColumns=True)
     owner, place = F.coalesce("_at.new_owner", "minter"), F.when(F.col("_at").isNull(), F.col("mint_satpoint")).otherwise(F.col("_at.new_satpoint"))
     slept = stood.where("step = 0").select(*row(F.col("pos"), 0, F.col("place"), "state_update", (text("active"), text("dormant")), (owner, owner), (place, place), F.col("energy")))
     eaten = stood.where("step = 2").select(*row(F.col("pos"), 2, F.col("place"), "state_update", (text("dormant"), text("consumed")), (owner, owner), (place, place), F.col("energy")))

@@ -111,19 +111,20 @@ def ids_apart(primary: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
     return parts["primary"].withColumn("only", F.lit("primary")).unionByName(parts["shadow"].withColumn("only", F.lit("shadow")))
 
 
-def sat_positions(inputs: DataFrame, outputs: DataFrame, sats: DataFrame) -> DataFrame:
+def sat_positions(inputs: DataFrame, outputs: DataFrame, sats: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Output of a transaction that a satoshi of one of its inputs moves to.
 
     inputs: txid, input_index, value; outputs: txid, vout, value; sats: txid, input_index, offset and
-    others. A position past all outputs went to the fee: vout and new_offset are null.
+    others. A position past all outputs went to the fee: vout and new_offset are null. also:
+    other columns of outputs to give, by names that sats hasn't.
     """
     before = Window.partitionBy("txid").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
     starts = inputs.select("txid", "input_index", F.coalesce(F.sum("value").over(before), F.lit(0)).alias("_start"))
     upto = Window.partitionBy("txid").orderBy("vout").rowsBetween(Window.unboundedPreceding, 0)
-    spans = outputs.withColumn("_to", F.sum("value").over(upto)).select("txid", "vout", (F.col("_to") - F.col("value")).alias("_from"), "_to")
+    spans = outputs.withColumn("_to", F.sum("value").over(upto)).select("txid", "vout", (F.col("_to") - F.col("value")).alias("_from"), "_to", *also)
     placed = sats.join(starts, ["txid", "input_index"]).withColumn("position", F.col("_start") + F.col("offset")).drop("_start")
     where = (placed["txid"] == spans["txid"]) & (F.col("position") >= F.col("_from")) & (F.col("position") < F.col("_to"))
-    return placed.join(spans, where, "left").select(placed["*"], "vout", (F.col("position") - F.col("_from")).alias("new_offset"))
+    return placed.join(spans, where, "left").select(placed["*"], "vout", (F.col("position") - F.col("_from")).alias("new_offset"), *also)
 
 
 def tracked_moves(inputs: DataFrame, outputs: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def tracked_moves(inputs: DataFrame, outputs: DataFrame, tracked: DataFrame) ->
     offset never move.
     """
     ends = inputs.select("height", "tx_index", "txid", "input_index", F.col("prev_txid").alias("_txid"), F.col("prev_vout").alias("_vout"))
-    owners = outputs.select("txid", "vout", F.col("owner").alias("new_owner"))
+    made = outputs.select("txid", "vout", "value", F.col("owner").alias("new_owner"))
     names = ["inscription_id", "owner", "txid", "vout", "offset"]
     lying = tracked.select(names).distinct()
     kind = F.when(F.col("vout").isNull(), "fee").when(F.col("new_owner").isNull(), "burn").otherwise("transfer")
@@ -150,8 +151,8 @@ def tracked_moves(inputs: DataFrame, outputs: DataFrame, tracked: DataFrame) ->
         at = lying.select("inscription_id", F.col("owner").alias("prev_owner"), F.col("txid").alias("_txid"), F.col("vout").alias("_vout"), "offset")
         spent = staged(at.join(ends, ["_txid", "_vout"]), "spent")
         touched = spent.select("txid").distinct()
-        placed = sat_positions(inputs.join(touched, "txid", "left_semi"), outputs.join(touched, "txid", "left_semi"), spent)
-        moved = placed.join(owners, ["txid", "vout"], "left").select(
+        placed = sat_positions(inputs.join(touched, "txid", "left_semi"), made.join(touched, "txid", "left_semi"), spent, ("new_owner",))
+        moved = placed.select(
             "inscription_id", F.lit(hop).alias("hop"), "height", "tx_index", "input_index", kind.alias("kind"), "prev_owner", "new_owner", F.coalesce(F.col("prev_owner") == F.col("new_owner"), F.lit(False)).alias("same_owner"),
             F.col("_txid").alias("prev_txid"), F.col("_vout").alias("prev_vout"), F.col("offset").alias("prev_offset"), "txid", "vout", F.col("new_offset").alias("offset"),
         )

@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from heightline.plans import catalog
+from tests.oracle import same
 from heightline.operators import clamp, derived, pieces, temporal
 from heightline.schema import U64_MAX
 
@@ -91,3 +93,13 @@ def test_clamped_steps_of_any_size(spark):
         for k, h, up, down in rows:
             last[k] = max(min(last.get(k, start) + up, U64_MAX) - down, 0)
             assert got[k, h] == last[k]
+
+
+def test_blocks_are_made_once(spark, sf_dir, monkeypatch):
+    """What reads inputs and outputs of blocks reads them from one staged table."""
+    made, kept = [], catalog.staged
+    monkeypatch.setattr(catalog, "staged", lambda df, name: (made.append(name), kept(df, name))[1])
+    for name in ("pass_moves", "decoded_ledger"):
+        made.clear()
+        same(catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name], sf_dir)
+        assert made.count("blocks") == 1 and made.count("outputs") == 1

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heightline.functions import energy as E
@@ -44,10 +44,10 @@ def _sound(bad: Column, *message: Column | str) -> Column:
 
 def _born(moves: DataFrame) -> DataFrame:
     """id, born, minter, mint_satpoint, prev, may (be valid) of every pass."""
-    mints = moves.where("op in ('mint', 'invalid_mint')").groupBy(F.col("inscription_id").alias("id"))
-    first = mints.agg(F.count("*").alias("_n"), F.min_by(F.struct("owner", "satpoint", "prev", "op"), "pos").alias("_m"), F.min("pos").alias("born"))
-    first = first.where(_sound(F.col("_n") > 1, "pass ", F.col("id"), " is minted twice"))
-    return first.select("id", "born", F.col("_m.owner").alias("minter"), F.col("_m.satpoint").alias("mint_satpoint"), "_m.prev", (F.col("_m.op") == "mint").alias("may"))
+    mints = moves.where("op in ('mint', 'invalid_mint')").withColumnRenamed("inscription_id", "id")
+    counted = mints.withColumn("_n", F.count("*").over(Window.partitionBy("id")))  # one row, or else it raises
+    counted = counted.where(_sound(F.col("_n") > 1, "pass ", F.col("id"), " is minted twice"))
+    return counted.select("id", F.col("pos").alias("born"), F.col("owner").alias("minter"), F.col("satpoint").alias("mint_satpoint"), "prev", (F.col("op") == "mint").alias("may"))
 
 
 def _changes(moves: DataFrame, born: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def _marks(changes: DataFrame) -> DataFrame:
 
 def _claims(born: DataFrame, changes: DataFrame) -> DataFrame:
     """heir, pos, place, id: the predecessors of mints that exist by then, are the minter's and not burned; each once a mint."""
-    asked = born.where("may").select(F.col("id").alias("heir"), F.col("born").alias("pos"), F.col("minter").alias("by"), F.posexplode("prev").alias("place", "id"))
-    asked = asked.where("id is not null").groupBy("heir", "pos", "by", "id").agg(F.min("place").alias("place"))
+    asked = born.where("may").select(F.col("id").alias("heir"), F.col("born").alias("pos"), F.col("minter").alias("by"), "prev", F.posexplode("prev").alias("place", "id"))
+    asked = asked.where("place + 1 = array_position(prev, id)").drop("prev")
     could = asked.join(born.where("may").select("id", "born", "minter", "moved", "burnt"), "id")
     could = could.where((F.col("born") < F.col("pos")) & (F.col("burnt").isNull() | (F.col("burnt") > F.col("pos")))).drop("born", "burnt")
     could = staged(could, "could")
@@ -90,11 +90,8 @@ def _stayed() -> Column:
     return F.coalesce(F.col("moved") > F.col("pos"), F.lit(True))
 
 
-def _valid(born: DataFrame, claims: DataFrame, whole_prev: bool) -> DataFrame:
-    """id and valid of every pass. With whole_prev a mint is invalid unless it gets every one of prev, each named once."""
-    found = born.select("id", F.col("may").alias("valid"))
-    if not whole_prev:
-        return found
+def _valid(born: DataFrame, claims: DataFrame) -> DataFrame:
+    """id and valid of every pass, where a mint is invalid unless it gets every one of prev, each named once."""
     held = claims.groupBy(F.col("heir").alias("id")).agg(F.count("*").alias("_n"))
     could = born.join(held, "id", "left").select("id", (F.col("may") & (F.greatest(F.coalesce(F.size("prev"), F.lit(0)), F.lit(0)) == F.coalesce("_n", F.lit(0)))).alias("could"))
     could = staged(could, "mints")
@@ -140,18 +137,23 @@ def passes(born: DataFrame, changes: DataFrame, whole_prev: bool) -> DataFrame:
     """All passes with validity, end and cause of their active time, burnt, and heir, taken and place where a mint consumes them."""
     born = staged(born.join(_marks(changes), "id", "left"), "born")
     claims = staged(_claims(born, changes), "claimed")
-    rows = staged(born.join(_valid(born, claims, whole_prev), "id"), "valid")
+    if whole_prev:
+        rows = staged(born.join(_valid(born, claims), "id"), "valid")
+        sound = rows.where("valid").select("id")
+        claims = claims.join(sound.withColumnRenamed("id", "heir"), "heir").join(sound, "id")
+    else:
+        rows = born.withColumn("valid", F.col("may"))  # claims are of such heirs, on such passes
     sound = rows.where("valid").select("id", "minter", "born", F.col("born.height").alias("height"))
     following = nearest(sound, ["minter"], ["height", "born"], {"_next": F.col("born")}, back=False).select("id", F.col("_next").alias("remint"))
-    mine = claims.join(sound.select(F.col("id").alias("heir")), "heir").join(sound.select("id"), "id").groupBy("id").agg(F.min(F.struct("pos", "heir", "place")).alias("t"))
+    mine = claims.groupBy("id").agg(F.min(F.struct("pos", "heir", "place")).alias("t"))
     full = rows.join(following, "id", "left").join(mine.select("id", F.col("t.pos").alias("taken"), "t.heir", "t.place"), "id", "left")
     end = F.when(F.col("valid"), F.least("remint", "away", "burnt"))
     cause = F.when(F.col("end") == F.col("remint"), REMINT).when(F.col("end") == F.col("away"), AWAY).when(F.col("end").isNotNull(), BURN)
-    return staged(full.withColumn("end", end).withColumn("cause", cause).drop("remint", "away"), "passes")
+    return staged(full.withColumn("end", end).withColumn("cause", cause).drop("remint", "away", "prev", "may"), "passes")
 
 
 def _functions(events: DataFrame, held: DataFrame, changes: DataFrame) -> DataFrame:
-    """id, kind, pos, f: what a pass's energy is, of what it inherits, at the end of its active time and at changes in it."""
+    """id, kind, pos, ends, f: what a pass's energy is, of what it inherits, at the end of its active time (ends) and at changes in it."""
     balances = events.where("op = 'balance'").select("owner", "height", F.lit(0).alias("kind"), F.lit(None).cast(held.schema["born"].dataType).alias("pos"), F.struct(F.col("balance").cast("bigint").alias("balance"), F.col("delta").cast("bigint").alias("delta")).alias("b"))
     minted = held.where("valid").select(F.col("minter").alias("owner"), F.col("born.height").alias("height"), F.lit(1).alias("kind"), F.col("born").alias("pos"), F.struct("id", "end", F.col("born")).alias("m"))
     line = staged(balances.unionByName(minted, allowMissingColumns=True), "owners")
@@ -160,11 +162,11 @@ def _functions(events: DataFrame, held: DataFrame, changes: DataFrame) -> DataFr
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     seeds = seen.where("kind = 1").select("m.id", "height", F.lit(SEED).alias("kind"), F.col("m.born").alias("pos"), zero("_b.balance").alias("balance"), F.lit(0).cast("bigint").alias("delta"))
     rows = seen.where("kind = 0 and _m is not null and (_m.end is null or _m.end.height >= height)").select("_m.id", "height", F.lit(SETTLED).alias("kind"), F.col("_m.born").alias("pos"), "b.balance", "b.delta", (F.col("_m.end.height") == F.col("height")).alias("_last"))
-    known = changes.join(held.where("valid").select("id", "end"), "id").where((F.col("end").isNull()) | (F.col("pos") <= F.col("end")))
-    asked = staged(known.select("id", "height", F.lit(ASKED).alias("kind"), "pos"), "asked")
+    known = changes.join(held.where("valid").select("id", "end", "cause"), "id").where((F.col("end").isNull()) | (F.col("pos") <= F.col("end")))
+    asked = staged(known.select("id", "height", F.lit(ASKED).alias("kind"), "pos", F.coalesce((F.col("pos") == F.col("end")) & (F.col("cause") == BURN) & (F.col("op") == "burn"), F.lit(False)).alias("ends")), "asked")
     busy = asked.select("id", "height", F.lit(True).alias("_busy")).distinct()
     rows = rows.join(busy, ["id", "height"], "left").where("delta <> 0 or _last or _busy").drop("_last", "_busy")
-    finals = held.where(F.col("cause").isin(REMINT, AWAY)).select("id", F.col("end.height").alias("height"), F.lit(FINAL).alias("kind"), F.col("end").alias("pos"))
+    finals = held.where(F.col("cause").isin(REMINT, AWAY)).select("id", F.col("end.height").alias("height"), F.lit(FINAL).alias("kind"), F.col("end").alias("pos"), F.lit(True).alias("ends"))
     steps = seeds.unionByName(rows).unionByName(asked, allowMissingColumns=True).unionByName(finals, allowMissingColumns=True)
     steps = pieced(staged(steps, "steps-of-passes"))
     spans = spanning(steps, ["id"])
@@ -173,8 +175,8 @@ def _functions(events: DataFrame, held: DataFrame, changes: DataFrame) -> DataFr
     grown = E.increase(F.col("_last.balance"), F.col("_from"), F.col("_last.height"), F.col("height"))
     up = F.when(F.col("kind").isin(SETTLED, FINAL), grown).otherwise(E.wide(0))
     down = F.when(F.col("kind") == SETTLED, E.penalty(F.col("delta"))).otherwise(E.wide(0))
-    made = clamp.prefixes(before.select("id", "height", "kind", "pos", "_piece", up.alias("up"), down.alias("down")), ["id"], ["height", "kind", "pos"], spans=spans)
-    return staged(made.where(F.col("kind") >= ASKED).select("id", "kind", "pos", "f"), "functions")
+    made = clamp.prefixes(before.select("id", "height", "kind", "pos", "ends", "_piece", up.alias("up"), down.alias("down")), ["id"], ["height", "kind", "pos"], spans=spans)
+    return staged(made.where(F.col("kind") >= ASKED).select("id", "kind", "pos", "ends", "f"), "functions")
 
 
 def inherited(edges: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def inherited(edges: DataFrame) -> DataFrame:
     kinds = "ptr string, g " + clamp.KIND
     open_ = edges.groupBy(F.col("heir").alias("id")).agg(F.count("*").alias("open"))
     rest = staged(edges.join(open_, "id", "left").select("id", "heir", "f", E.wide(0).alias("acc"), F.coalesce("open", F.lit(0)).alias("open"), *(F.lit(None).cast(t).alias(n) for n, t in (x.split(" ", 1) for x in kinds.split(", ", 1)))), "rest")
-    done = edges.sparkSession.createDataFrame([], f"id string, heir string, v {clamp.WIDE}")
+    done = edges.where(F.lit(False)).select("id", "heir", E.wide(0).alias("v"))  # no rows, and no tasks
     last = done
     while not rest.isEmpty():
         came = last.groupBy(F.col("heir").alias("id")).agg(F.sum("v").cast(clamp.WIDE).alias("_sum"), F.count("*").alias("_n"))
@@ -217,13 +219,12 @@ def run(events: DataFrame, strict_terminal_energy: bool = False, strict_prev: bo
     changes = staged(_changes(moves, born), "changes")
     held = passes(born, changes, strict_prev)
     functions = _functions(events, held, changes)
-    finals = functions.where(F.col("kind") == FINAL).select("id", F.col("f").alias("_final"))
-    edges = staged(held.where("heir is not null").select("id", "heir").join(finals.withColumnRenamed("_final", "f"), "id"), "edges")
+    finals = functions.where("ends").select("id", F.col("f").alias("_final"))
+    edges = staged(held.where(F.col("heir").isNotNull() & F.col("cause").isin(REMINT, AWAY)).select("id", "heir").join(finals.withColumnRenamed("_final", "f"), "id"), "edges")
     asked = functions.where(F.col("kind") == ASKED).select("id", "pos", F.col("f").alias("_asked"))
-    full = held.join(inherited(edges), "id", "left").join(finals, "id", "left").join(asked.select("id", F.col("pos").alias("end"), F.col("_asked").alias("_burning")), ["id", "end"], "left")
+    full = held.join(inherited(edges), "id", "left").join(finals, "id", "left")
     gained = F.coalesce("inherited", E.wide(0))
-    kept = F.when(F.col("cause") == BURN, clamp.applied(F.col("_burning"), gained)).otherwise(clamp.applied(F.col("_final"), gained))
-    full = staged(full.withColumn("gained", gained).withColumn("kept", kept).drop("_final", "_burning", "inherited"), "full")
+    full = staged(full.withColumn("gained", gained).withColumn("kept", clamp.applied(F.col("_final"), gained)).drop("_final", "inherited"), "full")
 
     nothing = F.lit(None).cast("string")
 

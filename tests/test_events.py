@@ -180,3 +180,21 @@ def test_rounds_read_what_may_still_change(spark, monkeypatch):
 
 def test_no_events(spark):
     assert run(spark, []) == [] and run(spark, [balance(3, "A", 5, 5)], strict_prev=True) == []
+
+
+def test_a_run_without_strict_predecessors_writes_no_table_twice(spark, monkeypatch):
+    """Validity is known from the mints alone; passes leave their predecessors behind, and inheritance starts without Python tasks."""
+    rows = [balance(1, "A", 200_000, 200_000), mint(1, 1, "p1", "A"), mint(5, 1, "p2", "A", ["p1", "p1"]), (9, 1, "burn", "p2", None, None, None, None, None)]
+    written = {}
+    kept = fsm.staged
+
+    def seen(df, name):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString() or name in ("events", "owners")
+        written[name] = df.columns
+        return kept(df, name)
+
+    monkeypatch.setattr(fsm, "staged", seen)
+    event = namedtuple("event", [c.split(" ")[0] for c in KIND.split(", ")])
+    got = [(r.block_height, *r[6:14], None if r.energy is None else int(r.energy)) for r in run(spark, rows)]
+    assert sorted(got, key=repr) == sorted(replay([event(*r) for r in rows]), key=repr) and got[-1][-1] == 8 * 10**9
+    assert "valid" not in written and "prev" not in written["passes"]

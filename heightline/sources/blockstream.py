@@ -29,6 +29,8 @@ from heightline.sources.blockfiles import AT_ONCE, MAGIC
 SCHEMA = "file string, file_offset bigint, block_hash string, prev_hash string, time bigint, payload binary"
 #: Bytes in one partition.
 RANGE = 64 << 20
+#: Payload bytes that leave a task at once, about.
+BYTES_AT_ONCE = 16 << 20
 NAME = re.compile(r"blk\d+\.dat$")
 
 
@@ -100,6 +102,7 @@ def ranges(name: str, start: int, stop: int, each: int, last: bool) -> list[Rang
 
 def read_range(options: Options, part: Range) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
+    held = 0
 
     def batch():
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -112,9 +115,11 @@ def read_range(options: Options, part: Range) -> Iterator[pa.RecordBatch]:
             if at >= part.start:
                 p = options.plain(file.read_at(size, at + 8), at + 8)
                 rows.append((part.name, at + 8, hashlib.sha256(hashlib.sha256(p[:80]).digest()).digest()[::-1].hex(), p[4:36][::-1].hex(), struct.unpack_from("<I", p, 68)[0], p))
-            if len(rows) == AT_ONCE:
+                held += size
+            if len(rows) == AT_ONCE or held >= BYTES_AT_ONCE:
                 yield batch()
                 rows.clear()
+                held = 0
     if rows:
         yield batch()
 

@@ -59,7 +59,11 @@ def decoded(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     txs: array of (txid, vin array of (txid, vout), vout array of (value, script binary)).
     """
-    tx = blocks.select("height", F.posexplode("txs").alias("tx_index", "tx"))
+    return decoded_transactions(blocks.select("height", F.posexplode("txs").alias("tx_index", "tx")))
+
+
+def decoded_transactions(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As decoded, of rows (height, tx_index, tx) that hold a transaction each."""
     vin = tx.select("height", "tx_index", F.col("tx.txid").alias("txid"), F.posexplode("tx.vin").alias("input_index", "i")).select("height", "tx_index", "txid", "input_index", F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout")).where("prev_txid is not null")
     vout = tx.select("height", "tx_index", F.col("tx.txid").alias("txid"), F.posexplode("tx.vout").alias("vout", "o")).select("height", "tx_index", "txid", F.col("vout").cast("bigint"), F.col("o.value").alias("value"), F.col("o.script").alias("script_pubkey"))
     return vin, vout.where(~F.hex("script_pubkey").startswith("6A"))

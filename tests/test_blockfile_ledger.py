@@ -58,3 +58,16 @@ def test_a_transaction_cut_off_anywhere_raises(cut):
     raw = rawblocks.serialised([("ab" * 32, 7, [b"x" * 300])], [(5, b"s" * 300)])
     with pytest.raises(ValueError, match="cut off"):
         rawblocks.transaction(rawblocks.Cursor(raw[: len(raw) * cut // 60]))
+
+
+def test_decoded_ledger_gathers_no_blocks_and_hashes_sums(spark, twice, monkeypatch):
+    """What is staged has a row for each transaction, not one for each day, and scripts are hashed behind the sums."""
+    written = {}
+    for module in (catalog, blockfile_ledger):
+        kept = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name, kept=kept: written.setdefault(name, kept(df, name)))
+    same(catalog.queries()["decoded_ledger"](spark, twice), catalog.oracle_sql()["decoded_ledger"], twice)
+    lines = spark.read.parquet(f"{twice}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"))
+    txs = spark.read.parquet(f"{twice}/orders.parquet").join(lines, "o_orderkey", "left_semi")
+    assert sorted(written) == ["deltas", "transactions"] and written["transactions"].count() == txs.count()
+    assert written["deltas"].count() == written["deltas"].select("account", "height").distinct().count()
